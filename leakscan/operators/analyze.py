@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .detect import with_raw_findings
+from .detect import spread_for_cpu, with_raw_findings
 from .findings import with_kept_findings
 from .scoring import final_score, model_score_col
 
@@ -18,6 +18,7 @@ def scan_and_score(df: DataFrame, text_col: str = "text", model_col: str | None
     ``engine='pandas'`` computes the raw findings with Python ``re`` inside
     ``mapInPandas`` (same output); everything after it is shared.
     """
+    df = spread_for_cpu(df)
     if engine == "native":
         out = with_raw_findings(df, text_col)
     elif engine == "pandas":

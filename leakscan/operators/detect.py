@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog as C
-from ..functions.regex import match_spans, ustrip
+from ..functions.regex import spans_sql, sql_str, ustrip, ustrip_sql
 
 CONF_TYPE = "decimal(4,2)"
 WEIGHT_TYPE = "decimal(4,2)"
@@ -93,81 +93,93 @@ def keep_value(name: str, v: Column) -> Column:
     return ok_len & ~F.lower(v).isin(C.WHITELIST)
 
 
-def _gate(d: C.Detector, has_cyr: Column, has_digit: Column, text: Column) -> Column | None:
+def _sql_gate(d: C.Detector, text: str) -> str | None:
     conds = []
     if d.name in _NEEDS_CYRILLIC:
-        conds.append(has_cyr)
+        conds.append("_cyr")
     if d.name in _NEEDS_DIGIT:
-        conds.append(has_digit)
+        conds.append("_dig")
     lit = _NEEDS_LITERAL.get(d.name)
     if lit:
-        conds.append(F.instr(text, lit) > 0)
-    if not conds:
-        return None
-    g = conds[0]
-    for c in conds[1:]:
-        g = g & c
-    return g
-
-
-def detector_findings(d: C.Detector, text: Column, lower_text: Column, text_len: Column,
-                      has_cyr: Column, has_digit: Column) -> Column:
-    """All findings of one detector in one message, after F2/F3, with F4-F6."""
-    spans = match_spans(text, d.java_pattern)
-    cand = F.transform(spans, lambda s: F.struct(s["pos"].alias("pos"), s["raw"].alias("raw"),
-                                                 ustrip(s["raw"]).alias("v")))
-    cand = F.filter(cand, lambda c: keep_value(d.name, c["v"]))
-
-    def build(c):
-        ctx = context_window(lower_text, text_len, c["pos"], F.length(c["raw"]))
-        conf = confidence(d.severity, boost_count(ctx, d.boost))
-        return F.struct(
-            F.lit(-d.rank).alias("nrank"),
-            (-conf).cast(CONF_TYPE).alias("nconf"),
-            F.lit(d.no).alias("det"),
-            c["pos"].alias("pos"),
-            F.lit(d.name).alias("type"),
-            mask(c["v"]).alias("value"),
-            c["v"].alias("full"),
-            conf.alias("confidence"),
-            F.lit(d.severity).cast(CONF_TYPE).alias("severity"),
-            F.lit(d.priority).alias("priority"),
-            F.lit(d.rank).alias("rank"),
-            F.lit(d.group).alias("grp"),
-            F.lit(d.weight).cast(WEIGHT_TYPE).alias("weight"),
-        )
-
-    found = F.transform(cand, build).cast(FINDING_TYPE)
-    gate = _gate(d, has_cyr, has_digit, text)
-    if gate is None:
-        return found
-    return F.when(gate, found).otherwise(empty_findings())
+        conds.append(f"instr({text}, {sql_str(lit)}) > 0")
+    return " AND ".join(conds) if conds else None
+
+
+def _sql_mask(v: str) -> str:
+    (ln, lk), (mn, mk) = C.MASK_LONG, C.MASK_MEDIUM
+    return (f"CASE WHEN length({v}) > {ln} THEN concat(substring({v}, 1, {lk}), {sql_str(C.ELLIPSIS)}, substring({v}, -{lk}, {lk})) "
+            f"WHEN length({v}) > {mn} THEN concat(substring({v}, 1, {mk}), {sql_str(C.ELLIPSIS)}, substring({v}, -{mk}, {mk})) "
+            f"ELSE {v} END")
+
+
+def detector_sql(d: C.Detector, text: str = "`text`") -> str:
+    """SQL of all findings of one detector in one message (F2-F6 applied).
+
+    Uses the helper columns ``_lt`` (lower text), ``_len``, ``_cyr``,
+    ``_dig`` and ``_blank`` made by ``with_raw_findings``. Stages: match
+    spans -> stripped candidates passing F2/F3 -> context window (once per
+    finding) -> confidence -> finding struct.
+    """
+    wl = ", ".join(sql_str(w) for w in C.WHITELIST)
+    len_ok = "TRUE" if d.name in C.SHORT_VALUE_TYPES else f"length(c.v) >= {C.MIN_VALUE_LENGTH}"
+    cand = (f"filter(transform({spans_sql(text, d.java_pattern)}, "
+            f"s -> named_struct('pos', s.pos, 'raw', s.raw, 'v', {ustrip_sql('s.raw')})), "
+            f"c -> {len_ok} AND NOT lower(c.v) IN ({wl}))")
+    start = f"greatest(0, c.pos - {C.CONTEXT_RADIUS})"
+    end = f"least(_len, c.pos + length(c.raw) + {C.CONTEXT_RADIUS})"
+    with_ctx = (f"transform({cand}, c -> named_struct('c', c, "
+                f"'ctx', substring(_lt, {start} + 1, greatest({end} - {start}, 0))))")
+    boost = " + ".join(f"CASE WHEN contains(w.ctx, {sql_str(x)}) THEN 1 ELSE 0 END" for x in d.boost) or "0"
+    conf = (f"CAST(least(CAST(1.00 AS {CONF_TYPE}), CAST({d.severity} AS {CONF_TYPE}) + "
+            f"CAST(({boost}) AS DECIMAL(4,0)) * {C.BOOST_STEP}BD) AS {CONF_TYPE})")
+    with_conf = f"transform({with_ctx}, w -> named_struct('c', w.c, 'conf', {conf}))"
+    build = (f"transform({with_conf}, w -> named_struct("
+             f"'nrank', {-d.rank}, 'nconf', CAST(-w.conf AS {CONF_TYPE}), 'det', {d.no}, 'pos', w.c.pos, "
+             f"'type', {sql_str(d.name)}, 'value', {_sql_mask('w.c.v')}, 'full', w.c.v, "
+             f"'confidence', w.conf, 'severity', CAST({d.severity} AS {CONF_TYPE}), 'priority', {d.priority}, "
+             f"'rank', {d.rank}, 'grp', {sql_str(d.group)}, 'weight', CAST({d.weight} AS {WEIGHT_TYPE})))")
+    found = f"CAST({build} AS {FINDING_TYPE})"
+    empty = f"CAST(array() AS {FINDING_TYPE})"
+    gate = _sql_gate(d, text)
+    if gate:
+        return f"CASE WHEN _blank OR NOT ({gate}) THEN {empty} ELSE {found} END"
+    return f"CASE WHEN _blank THEN {empty} ELSE {found} END"
 
 
 def with_raw_findings(df: DataFrame, text_col: str = "text", out_col: str = "raw_findings",
                       detectors=None) -> DataFrame:
     """add the union of all detector findings of each row (unsorted).
 
-    Blank text gives no findings. Each detector gets its own projection so
-    the generated code of one stage stays small; Catalyst does not merge
-    them because every array is referenced more than once downstream.
+    Blank text gives no findings. Three projections: helper columns, one
+    array per detector, their concatenation.
     """
     detectors = C.DETECTORS if detectors is None else detectors
     t = F.col(text_col)
     blank = t.isNull() | (F.length(ustrip(t)) == 0)
-    out = (df.withColumn("_lt", F.lower(t))
-             .withColumn("_len", F.length(t))
-             .withColumn("_cyr", F.coalesce(t.rlike(_CYR), F.lit(False)))
-             .withColumn("_dig", F.coalesce(t.rlike(r"(?U)\d"), F.lit(False)))
-             .withColumn("_blank", blank))
-    cols = []
-    for d in detectors:
-        c = f"_d{d.no}"
-        out = out.withColumn(c, F.when(F.col("_blank"), empty_findings()).otherwise(
-            detector_findings(d, t, F.col("_lt"), F.col("_len"), F.col("_cyr"), F.col("_dig"))))
-        cols.append(F.col(c))
-    out = out.withColumn(out_col, F.concat(*cols) if cols else empty_findings())
-    return out.drop("_lt", "_len", "_cyr", "_dig", "_blank", *[f"_d{d.no}" for d in detectors])
+    base = df.columns
+    helpers = df.select("*", F.lower(t).alias("_lt"), F.length(t).alias("_len"),
+                        F.coalesce(t.rlike(_CYR), F.lit(False)).alias("_cyr"),
+                        F.coalesce(t.rlike(r"(?U)\d"), F.lit(False)).alias("_dig"),
+                        blank.alias("_blank"))
+    tsql = f"`{text_col}`"
+    arrays = helpers.select(*base, *[F.expr(detector_sql(d, tsql)).alias(f"_d{d.no}") for d in detectors])
+    cols = [F.col(f"_d{d.no}") for d in detectors]
+    return arrays.select(*base, (F.concat(*cols) if cols else empty_findings()).alias(out_col))
+
+
+def spread_for_cpu(df: DataFrame, keys=("chat_id", "message_id")) -> DataFrame:
+    """Give a CPU-heavy text scan at least one partition per core.
+
+    Large inputs already arrive in many splits and are left alone (no
+    shuffle). A small input that fits one parquet row group would run the
+    whole scan as one task, so it is hash-spread by its unique message key
+    (deterministic on retry, skew-free even when one chat is hot).
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= par:
+        return df
+    cols = [k for k in keys if k in df.columns]
+    return df.repartition(par, *cols) if cols else df.repartition(par)
 
 
 def explode_findings(df: DataFrame, keys, col: str = "raw_findings") -> DataFrame:

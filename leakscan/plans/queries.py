@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..operators.analyze import scan_and_score
-from ..operators.detect import with_raw_findings
+from ..operators.detect import spread_for_cpu, with_raw_findings
 from . import fixtures as FX
 
 REGISTRY: dict = {}
@@ -47,7 +47,7 @@ def q_scan_score(spark, sf_dir):
 
 def _detect_query(det: C.Detector):
     def fn(spark, sf_dir):
-        df = with_raw_findings(scan_source(spark, sf_dir), detectors=[det])
+        df = with_raw_findings(spread_for_cpu(scan_source(spark, sf_dir)), detectors=[det])
         return (df.select("chat_id", "message_id", F.explode("raw_findings").alias("f"))
                   .select("chat_id", "message_id",
                           F.col("f.pos").cast("bigint").alias("position"),
