@@ -188,3 +188,59 @@ def processed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").cast("bigint").alias("chat_id"),
                     (F.col("event_id") % 50).cast("bigint").alias("message_id"),
                     F.col("ts").alias("processed_at"), F.col("event_id").cast("bigint").alias("seq"))
+
+
+# --- composed inputs of the alert flow -----------------------------------------
+ALERT_DAY0 = "2024-01-20 00:00:00"
+BATCH_TS = "2024-03-01 00:00:00"
+
+
+def processed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages already alerted before this run: message_id % 11 = 0."""
+    return msgs(spark, sf_dir).where(F.col("message_id") % 11 == 0).select("chat_id", "message_id")
+
+
+def ocr_for_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OCR text of every media message whose attachment has >= 100 bytes."""
+    from ..operators.ocr import best_ocr_text
+    from ..sources.messages import attachment_bytes
+    m = msgs(spark, sf_dir)
+    att = attachment_bytes(m, attachments(spark, sf_dir)).where(F.col("content").isNotNull())
+    imgs = att.select(F.col("message_id").alias("image_id"))
+    best = best_ocr_text(imgs, ocr_candidates(spark, sf_dir), ocr_base(spark, sf_dir))
+    return best.select(F.col("image_id").alias("message_id"), "ocr_text")
+
+
+def analyzed(spark: SparkSession, sf_dir: str, engine: str = "native") -> DataFrame:
+    from ..operators.alerts import analyze_messages
+    return analyze_messages(msgs(spark, sf_dir), ocr_for_messages(spark, sf_dir),
+                            processed_keys(spark, sf_dir), engine=engine)
+
+
+def alert_created_at():
+    """One poll per 50 message ids, one day apart (spans month partitions)."""
+    return F.timestamp_add("DAY", (F.col("message_id") / 50).cast("int"), F.lit(ALERT_DAY0).cast("timestamp"))
+
+
+def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.alerts import build_alerts
+    return build_alerts(analyzed(spark, sf_dir), alert_created_at())
+
+
+_ALERT_TABLES: dict = {}
+
+
+def alerts_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alert table as the reports read it: built once per session and
+    sf, written month-partitioned (S12) below the shared checkpoint folder,
+    then read back. Later report queries read the table, not the scan."""
+    import uuid
+    from ..session import scratch_path
+    from ..sources.alert_store import read_alerts, write_alerts
+    key = (id(spark), sf_dir.rstrip("/"))
+    path = _ALERT_TABLES.get(key)
+    if path is None:
+        path = scratch_path(spark, f"alerts-{uuid.uuid4().hex}")
+        write_alerts(alerts(spark, sf_dir), path, mode="overwrite")
+        _ALERT_TABLES[key] = path
+    return read_alerts(spark, path)

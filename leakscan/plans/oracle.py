@@ -152,7 +152,8 @@ def detector_select(d: C.Detector, src: str = "scan_src") -> str:
     return f"""
     SELECT chat_id, message_id, {d.no} AS det, {q(d.name)} AS type, pos, raw, v, {_mask('v')} AS value,
            CAST(least(1.00, {d.severity} + 0.15 * ({boost})) AS DECIMAL(4,2)) AS confidence,
-           {d.rank} AS rank, {q(d.group)} AS grp, CAST({d.weight} AS DECIMAL(4,2)) AS weight
+           {d.rank} AS rank, {q(d.group)} AS grp, CAST({d.weight} AS DECIMAL(4,2)) AS weight,
+           CAST({d.severity} AS DECIMAL(4,2)) AS severity, {d.priority} AS priority
     FROM (
       SELECT *, substr(lower(text), greatest(0, pos - 100) + 1,
                        least(length(text), pos + length(raw) + 100) - greatest(0, pos - 100)) AS ctx
@@ -196,12 +197,14 @@ def analysis_ctes(src_sql: str, text_col_sql: str = "text") -> str:
     lists AS (
       SELECT chat_id, message_id, count(*) AS n_raw,
              list({{'pos': pos, 'det': det, 'type': type, 'value': value, 'confidence': confidence,
-                   'rank': rank, 'grp': grp, 'weight': weight}} ORDER BY rank DESC, confidence DESC, det, pos) AS fl
+                   'rank': rank, 'grp': grp, 'weight': weight, 'severity': severity, 'priority': priority}}
+                  ORDER BY rank DESC, confidence DESC, det, pos) AS fl
       FROM rf GROUP BY chat_id, message_id),
     folded AS (SELECT chat_id, message_id, n_raw, {_FOLD} AS kl FROM lists),
     kept AS (
       SELECT chat_id, message_id, n_raw, k.pos AS pos, k.type AS type, k.value AS value,
-             k.confidence AS confidence, k.grp AS grp, k.weight AS weight, fold_ord,
+             k.confidence AS confidence, k.grp AS grp, k.weight AS weight, k.severity AS severity,
+             k.priority AS priority, k.rank AS rank, k.det AS det, fold_ord,
              row_number() OVER (PARTITION BY chat_id, message_id ORDER BY k.pos, fold_ord) AS ord
       FROM (SELECT chat_id, message_id, n_raw, unnest(kl) AS k, unnest(range(len(kl))) AS fold_ord FROM folded) u),
     agg AS (
@@ -212,11 +215,15 @@ def analysis_ctes(src_sql: str, text_col_sql: str = "text") -> str:
              CAST(sum(confidence * weight) AS DECIMAL(12,6)) AS wsum,
              bool_or(type IN ('free_email_combo', 'email')) AS has_mail,
              bool_or(contains(type, 'passport')) AS has_pass,
-             string_agg(CAST(pos AS VARCHAR) || ':' || type || ':' || CAST(confidence AS VARCHAR) || ':' || value, '; ' ORDER BY ord) AS leaks
+             string_agg(CAST(pos AS VARCHAR) || ':' || type || ':' || CAST(confidence AS VARCHAR) || ':' || value, '; ' ORDER BY ord) AS leaks,
+             to_json(list({{'type': type, 'value': value, 'confidence': CAST(confidence AS DOUBLE),
+                           'severity': CAST(severity AS DOUBLE), 'position': CAST(pos AS INTEGER),
+                           'priority': CAST(priority AS INTEGER)}} ORDER BY ord)) AS leaks_json
       FROM kept GROUP BY chat_id, message_id),
     scored AS (
       SELECT s.chat_id, s.message_id, s.text AS text,
              coalesce(a.n_raw, 0) AS n_raw, coalesce(a.n_kept, 0) AS n_kept, coalesce(a.leaks, '') AS leaks,
+             coalesce(a.leaks_json, '[]') AS leaks_json, a.has_mail, a.has_pass,
              a.n_types, a.n_cat, a.max_conf, a.wsum, s.model_eff,
              CASE WHEN coalesce(a.n_kept, 0) = 0 AND s.model_eff < 0.5 THEN 0.0 ELSE CAST(round(CAST(
                least(1, greatest(0,
@@ -234,3 +241,130 @@ def analysis_ctes(src_sql: str, text_col_sql: str = "text") -> str:
             FROM scan_src) s
       LEFT JOIN agg a ON a.chat_id = s.chat_id AND a.message_id = s.message_id)
     """
+
+
+# --- scalar text operators (X1-X16) in DuckDB ---------------------------------
+def cut_sql(t: str, n: int) -> str:
+    return f"CASE WHEN length({t}) > {n} THEN substr({t}, 1, {n}) || '...' ELSE {t} END"
+
+
+def compose_sql(t: str, o: str) -> str:
+    return (f"CASE WHEN coalesce({o}, '') = '' THEN coalesce({t}, '') WHEN coalesce({t}, '') = '' THEN {o} "
+            f"ELSE {t} || ' [OCR] ' || {o} END")
+
+
+def clean_sql(t: str) -> str:
+    x = rf"""regexp_replace({t}, '[^а-яА-ЯёЁa-zA-Z0-9{WSI}.,!?()\[\]{{}}+*/=\\|"'':;@#$%^&*+-]', '?', 'g')"""
+    x = _strip(f"regexp_replace({x}, '{WS}+', ' ', 'g')")
+    return (f"CASE WHEN {t} IS NULL OR {t} = '' THEN '' WHEN length({x}) > 1000 OR {x} = '' "
+            f"THEN '{C.OCR_CLEAN_SENTINEL}' ELSE {x} END")
+
+
+def date_sql(d: str, fallback: str) -> str:
+    s_ = f"replace(replace(split_part(split_part({d}, '.', 1), '+', 1), 'Z', ''), 'T', ' ')"
+    core = (f"regexp_extract({s_}, '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?: [0-9]{{2}}:[0-9]{{2}}(?::[0-9]{{2}})?)?)"
+            f"(?:-[0-9]{{2}}(?::?[0-9]{{2}})?)?$', 1)")
+    return (f"coalesce(try_strptime({core}, '%Y-%m-%d %H:%M:%S'), try_strptime({core}, '%Y-%m-%d %H:%M'), "
+            f"try_strptime({core}, '%Y-%m-%d'), {fallback})")
+
+
+def normalize_sql(t: str) -> str:
+    x = f"regexp_replace({t}, '[\\x00-\\x08\\x0e-\\x1b\\x7f-\\x84\\x86-\\x9f\\p{{Cf}}\\p{{Co}}]', '', 'g')"
+    return _strip(f"regexp_replace({x}, '{WS}+', ' ', 'g')")
+
+
+def correct_sql(t: str) -> str:
+    x = f"translate({t}, '{C.OCR_DIGIT_FROM}', '{C.OCR_DIGIT_TO}')"
+    x = f"regexp_replace({x}, '{WS}+', ' ', 'g')"
+    x = f"regexp_replace({x}, '[^{WI}{WSI}\\x{{0400}}-\\x{{04FF}}.,-]', '', 'g')"
+    return f"CASE WHEN {t} IS NULL OR {t} = '' THEN {t} ELSE {_strip(x)} END"
+
+
+def quality_sql(t: str) -> str:
+    n = f"CAST(length({t}) AS DOUBLE)"
+    a = f"CAST(length(regexp_replace({t}, '[^\\pL\\pN]', '', 'g')) AS DOUBLE)"
+    return (f"CASE WHEN length({t}) > 0 THEN ({a} / {n}) * least(1.0, {n} / 100.0) + "
+            f"CASE WHEN regexp_matches({t}, '[\\x{{0400}}-\\x{{04FF}}]') THEN 0.1 ELSE 0.0 END END")
+
+
+def preview_sql(t: str) -> str:
+    return cut_sql(t, C.PREVIEW_LIMIT)
+
+
+def truncate_words_sql(t: str, n: int = 100, leeway: int = 5) -> str:
+    cut = f"substr({t}, 1, {n - 3})"
+    head = f"regexp_extract({cut}, '(?s)^(.*) ', 1)"
+    return (f"CASE WHEN length({t}) > {n + leeway} THEN "
+            f"(CASE WHEN strpos({cut}, ' ') > 0 THEN {head} ELSE {cut} END) || '...' ELSE {t} END")
+
+
+def mask_sql(v: str) -> str:
+    return _mask(v)
+
+
+def word_count_sql(t: str) -> str:
+    return f"len(regexp_extract_all({t}, '[^{WSI}]+', 0))"
+
+
+# --- composed flow: OCR, analysis, alerts ---------------------------------------
+def ocr_ctes() -> str:
+    """CTEs msgs, ocr_cand, ocr_best_img (image_id, ocr_text over all images), ocr (message_id, ocr_text)."""
+    clean = correct_sql(normalize_sql(_strip("text")))
+    return f"""
+    msgs AS ({msgs_sql()}),
+    att AS (SELECT CAST(conv_id AS BIGINT) AS message_id, encode(text) AS content FROM conversations WHERE turn = 0),
+    media_att AS (SELECT m.chat_id, m.message_id FROM msgs m JOIN att a ON a.message_id = m.message_id
+                  WHERE m.media AND octet_length(a.content) >= 100),
+    ocr_cand AS (SELECT CAST(conv_id AS BIGINT) AS image_id, CAST(turn // 4 AS INTEGER) AS variant_no,
+                        CAST(turn % 4 AS INTEGER) AS param_no, 640 AS width,
+                        CASE WHEN conv_id % 9 = 0 THEN 40 ELSE 480 END AS height,
+                        CASE WHEN conv_id % 13 = 0 THEN '   ' ELSE text END AS text
+                 FROM conversations),
+    ocr_clean AS (SELECT image_id, variant_no, param_no, {clean} AS clean FROM ocr_cand WHERE height >= 50 AND width >= 50),
+    ocr_q AS (SELECT *, {quality_sql('clean')} AS quality FROM ocr_clean),
+    ocr_top AS (SELECT image_id, clean FROM (
+                  SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY quality DESC, variant_no, param_no) AS rn
+                  FROM ocr_q WHERE clean <> '' AND quality > 0) t WHERE rn = 1),
+    ocr_base AS (SELECT CAST(conv_id AS BIGINT) AS image_id, {correct_sql(_strip('text'))} AS base_text
+                 FROM conversations WHERE turn = 0 AND conv_id % 5 <> 0),
+    images AS (SELECT DISTINCT CAST(conv_id AS BIGINT) AS image_id FROM conversations),
+    ocr_best_img AS (SELECT i.image_id, coalesce(nullif(b.clean, ''), nullif(bs.base_text, ''), '{C.OCR_NOT_RECOGNISED}') AS ocr_text
+                     FROM images i LEFT JOIN ocr_top b ON b.image_id = i.image_id LEFT JOIN ocr_base bs ON bs.image_id = i.image_id),
+    ocr AS (SELECT ma.message_id, o.ocr_text FROM media_att ma JOIN ocr_best_img o ON o.image_id = ma.message_id)
+    """
+
+
+def analyzed_ctes() -> str:
+    """CTEs up to ``an``: one row per message with scan, score, OCR and alert fields."""
+    m2 = f"""
+    m2 AS (SELECT m.*, CASE WHEN m.text IS NULL OR m.text = '' THEN '{C.EMPTY_MESSAGE_TEXT}' ELSE m.text END AS text2,
+                  CASE WHEN m.media THEN coalesce(o.ocr_text, '') ELSE '' END AS ocr_raw
+           FROM msgs m LEFT JOIN ocr o ON o.message_id = m.message_id),
+    m3 AS (SELECT *, {compose_sql('text2', 'ocr_raw')} AS full_text, message_id % 11 = 0 AS is_processed FROM m2),"""
+    return ocr_ctes() + "," + m2 + analysis_ctes(
+        "SELECT chat_id, message_id, full_text AS text, model_score FROM m3") + f""",
+    an AS (SELECT m3.chat_id, m3.message_id, m3.date, m3.sender_id, m3.text2 AS text, m3.is_forward, m3."out", m3.media,
+                  m3.full_text, m3.sender, s.n_raw, s.n_kept, s.leaks, s.leaks_json,
+                  CAST(s.model_eff AS DOUBLE) AS model_score, s.sx_score,
+                  s.sx_score > 0.55 AND NOT m3.is_processed AS alert,
+                  m3.ocr_raw <> '' AS has_ocr, {clean_sql('m3.ocr_raw')} AS ocr_text
+           FROM m3 JOIN scored s ON s.chat_id = m3.chat_id AND s.message_id = m3.message_id)
+    """
+
+
+ALERT_DAY0_SQL = "TIMESTAMP '2024-01-20 00:00:00'"
+
+
+def alerts_ctes() -> str:
+    """... plus ``al``: the stored alert rows (A3), before the FLOAT cast."""
+    created = f"({ALERT_DAY0_SQL} + CAST(floor(message_id / 50) AS INTEGER) * INTERVAL 1 DAY)"
+    return analyzed_ctes() + f""",
+    al AS (SELECT chat_id, message_id, sx_score, model_score, {preview_sql('full_text')} AS text_preview,
+                  leaks_json AS leaks, ocr_text,
+                  coalesce(to_json(sender), '{{}}') AS sender,
+                  {date_sql('date', created)} AS date, {created} AS created_at
+           FROM an WHERE alert),
+    st AS (SELECT chat_id, message_id, CAST(CAST(sx_score AS FLOAT) AS DOUBLE) AS sx_score,
+                  CAST(CAST(model_score AS FLOAT) AS DOUBLE) AS model_score, text_preview, leaks, ocr_text, sender,
+                  date, created_at, strftime(created_at, '%Y%m') AS month FROM al)
+    """
