@@ -186,3 +186,56 @@ def explode_findings(df: DataFrame, keys, col: str = "raw_findings") -> DataFram
     """One row per finding, with the message keys."""
     return (df.select(*keys, F.posexplode(col).alias("ord", "f"))
               .select(*keys, "ord", "f.*"))
+
+
+STEP_TYPE = ("array<struct<type:string,det:int,pos:int,raw:string,v:string,len_ok:boolean,wl_ok:boolean,"
+             "ctx:string,boost:int,confidence:decimal(4,2),value:string,severity:decimal(4,2),priority:int>>")
+
+
+def detector_steps_sql(d: C.Detector, text: str = "`text`") -> str:
+    """Every match of one detector with the outcome of each step F2-F6
+    (length floor, whitelist, context window, boost count, confidence,
+    masked value), before the filters drop anything."""
+    wl = ", ".join(sql_str(w) for w in C.WHITELIST)
+    len_ok = "TRUE" if d.name in C.SHORT_VALUE_TYPES else f"length(c.v) >= {C.MIN_VALUE_LENGTH}"
+    cand = (f"transform({spans_sql(text, d.java_pattern)}, "
+            f"s -> named_struct('pos', s.pos, 'raw', s.raw, 'v', {ustrip_sql('s.raw')}))")
+    start = f"greatest(0, c.pos - {C.CONTEXT_RADIUS})"
+    end = f"least(_len, c.pos + length(c.raw) + {C.CONTEXT_RADIUS})"
+    with_ctx = (f"transform({cand}, c -> named_struct('c', c, 'len_ok', {len_ok}, "
+                f"'wl_ok', NOT lower(c.v) IN ({wl}), "
+                f"'ctx', substring(_lt, {start} + 1, greatest({end} - {start}, 0))))")
+    boost = " + ".join(f"CASE WHEN contains(w.ctx, {sql_str(x)}) THEN 1 ELSE 0 END" for x in d.boost) or "0"
+    build = (f"transform({with_ctx}, w -> named_struct("
+             f"'type', {sql_str(d.name)}, 'det', {d.no}, 'pos', w.c.pos, 'raw', w.c.raw, 'v', w.c.v, "
+             f"'len_ok', w.len_ok, 'wl_ok', w.wl_ok, 'ctx', w.ctx, 'boost', {boost}, "
+             f"'confidence', CAST(least(CAST(1.00 AS {CONF_TYPE}), CAST({d.severity} AS {CONF_TYPE}) + "
+             f"CAST(({boost}) AS DECIMAL(4,0)) * {C.BOOST_STEP}BD) AS {CONF_TYPE}), "
+             f"'value', {_sql_mask('w.c.v')}, 'severity', CAST({d.severity} AS {CONF_TYPE}), 'priority', {d.priority}))")
+    empty = f"CAST(array() AS {STEP_TYPE})"
+    return f"CASE WHEN _blank THEN {empty} ELSE CAST({build} AS {STEP_TYPE}) END"
+
+
+def with_finding_steps(df: DataFrame, text_col: str = "text", out_col: str = "steps", detectors=None) -> DataFrame:
+    detectors = C.DETECTORS if detectors is None else detectors
+    t = F.col(text_col)
+    base = df.columns
+    helpers = df.select("*", F.lower(t).alias("_lt"), F.length(t).alias("_len"),
+                        (t.isNull() | (F.length(ustrip(t)) == 0)).alias("_blank"))
+    tsql = f"`{text_col}`"
+    arrays = helpers.select(*base, *[F.expr(detector_steps_sql(d, tsql)).alias(f"_s{d.no}") for d in detectors])
+    return arrays.select(*base, F.concat(*[F.col(f"_s{d.no}") for d in detectors]).alias(out_col))
+
+
+def explode_fields(df: DataFrame, keys, arr_col: str, fields: dict, pos_name: str | None = None) -> DataFrame:
+    """One row per array element with only ``fields`` (name -> expression
+    over the element ``e``).
+
+    The fields are projected inside the array before the explode, so the
+    optimizer has no nested field access to push below the generator (it
+    would otherwise copy the expensive array expression once per field).
+    """
+    arr = F.transform(F.col(arr_col), lambda e: F.struct(*[fn(e).alias(n) for n, fn in fields.items()]))
+    if pos_name:
+        return df.select(*keys, F.posexplode(arr).alias(pos_name, "_e")).select(*keys, pos_name, "_e.*")
+    return df.select(*keys, F.explode(arr).alias("_e")).select(*keys, "_e.*")

@@ -133,7 +133,7 @@ def _mask(v: str) -> str:
             f"WHEN length({v}) > 8 THEN left({v}, 4) || '...' || right({v}, 4) ELSE {v} END")
 
 
-def detector_select(d: C.Detector, src: str = "scan_src") -> str:
+def detector_select(d: C.Detector, src: str = "scan_src", steps: bool = False) -> str:
     """Findings of one detector over ``src(chat_id, message_id, text)``:
     chat_id, message_id, det, type, pos, raw, v (stripped), value (masked),
     confidence DECIMAL(4,2), rank, grp, weight."""
@@ -149,11 +149,14 @@ def detector_select(d: C.Detector, src: str = "scan_src") -> str:
         span = f"{{'pos': {pos_expr}, 'raw': vals[i+1]}}"
     boost = " + ".join(f"CAST(contains(ctx, {q(w)}) AS INTEGER)" for w in d.boost) or "0"
     len_ok = "TRUE" if d.name in C.SHORT_VALUE_TYPES else "length(v) >= 3"
+    wl_ok = f"lower(v) NOT IN {_in_list(C.WHITELIST)}"
+    where = "TRUE" if steps else f"{len_ok} AND {wl_ok}"
     return f"""
     SELECT chat_id, message_id, {d.no} AS det, {q(d.name)} AS type, pos, raw, v, {_mask('v')} AS value,
            CAST(least(1.00, {d.severity} + 0.15 * ({boost})) AS DECIMAL(4,2)) AS confidence,
            {d.rank} AS rank, {q(d.group)} AS grp, CAST({d.weight} AS DECIMAL(4,2)) AS weight,
-           CAST({d.severity} AS DECIMAL(4,2)) AS severity, {d.priority} AS priority
+           CAST({d.severity} AS DECIMAL(4,2)) AS severity, {d.priority} AS priority,
+           {len_ok} AS len_ok, {wl_ok} AS wl_ok, ctx, CAST(({boost}) AS INTEGER) AS boost
     FROM (
       SELECT *, substr(lower(text), greatest(0, pos - 100) + 1,
                        least(length(text), pos + length(raw) + 100) - greatest(0, pos - 100)) AS ctx
@@ -169,7 +172,7 @@ def detector_select(d: C.Detector, src: str = "scan_src") -> str:
           ) x1
         ) x2
       ) x3
-      WHERE {len_ok} AND lower(v) NOT IN {_in_list(C.WHITELIST)}
+      WHERE {where}
     ) x4
     """
 

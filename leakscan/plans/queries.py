@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..operators.analyze import scan_and_score
-from ..operators.detect import spread_for_cpu, with_raw_findings
+from ..operators.detect import explode_fields, spread_for_cpu, with_raw_findings
 from . import fixtures as FX
 
 REGISTRY: dict = {}
@@ -48,12 +48,9 @@ def q_scan_score(spark, sf_dir):
 def _detect_query(det: C.Detector):
     def fn(spark, sf_dir):
         df = with_raw_findings(spread_for_cpu(scan_source(spark, sf_dir)), detectors=[det])
-        return (df.select("chat_id", "message_id", F.explode("raw_findings").alias("f"))
-                  .select("chat_id", "message_id",
-                          F.col("f.pos").cast("bigint").alias("position"),
-                          F.col("f.full").alias("full_value"),
-                          F.col("f.value").alias("value"),
-                          F.col("f.confidence").cast("double").alias("confidence")))
+        return explode_fields(df, ["chat_id", "message_id"], "raw_findings", {
+            "position": lambda e: e["pos"].cast("bigint"), "full_value": lambda e: e["full"],
+            "value": lambda e: e["value"], "confidence": lambda e: e["confidence"].cast("double")})
     fn.__doc__ = f"D{det.no + 1}: every {det.name} finding (after length/whitelist filters)."
     return fn
 
