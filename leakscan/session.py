@@ -51,6 +51,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared checkpoint folder for derived tables."""
+    """A path below the shared checkpoint folder for derived tables
+    (callers make ``name`` unique)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
