@@ -175,6 +175,8 @@ def spread_for_cpu(df: DataFrame, keys=("chat_id", "message_id")) -> DataFrame:
     whole scan as one task, so it is hash-spread by its unique message key
     (deterministic on retry, skew-free even when one chat is hot).
     """
+    if df.isStreaming:
+        return df
     par = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= par:
         return df
