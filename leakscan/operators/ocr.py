@@ -32,9 +32,12 @@ def best_ocr_text(images: DataFrame, cands: DataFrame, base: DataFrame, key: str
     """Per image the cleaned text of the best read (quality > 0; ties ->
     earliest variant, then parameter set); else the corrected base read;
     else the 'not recognised' sentinel. Every image of ``images`` is kept."""
-    scored = score_candidates(gate_candidates(cands)).where(
-        (F.col("clean") != "") & (F.col("quality") > 0))
-    order = F.struct(F.col("quality"), -F.col("variant_no"), -F.col("param_no"))
+    scored = score_candidates(gate_candidates(cands))
+    # reads that do not qualify get a null ordering key, which max_by skips;
+    # a Filter here would be pushed below the cleaning projection and
+    # re-evaluate the cleaning regexes inside the predicate
+    ok = (F.col("clean") != "") & (F.col("quality") > 0)
+    order = F.when(ok, F.struct(F.col("quality"), -F.col("variant_no"), -F.col("param_no")))
     best = scored.groupBy(key).agg(F.max_by("clean", order).alias("best"))
     base_txt = base.select(key, correct_ocr_text(ustrip(F.col("text"))).alias("base_text"))
     out = (images.select(key).join(best, key, "left").join(base_txt, key, "left"))
