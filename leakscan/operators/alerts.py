@@ -17,38 +17,69 @@ from ..sources.registry import with_processed_flag
 from .analyze import scan_and_score
 
 
-def analyze_messages(msgs: DataFrame, ocr: DataFrame | None, processed: DataFrame | None,
-                     engine: str = "native") -> DataFrame:
-    """A1 + A2: message rows (whole texts) -> response rows with findings,
-    model and risk scores, OCR fields and the alert flag.
-
-    ``ocr``: (message_id, ocr_text) for media messages with an image;
-    ``processed``: (chat_id, message_id) keys already alerted.
+def score_messages(msgs: DataFrame, ocr: DataFrame | None, engine: str = "native") -> DataFrame:
+    """A1 without the processed flag: whole text (+ OCR text of media
+    messages) -> findings, model score, risk score.
+
+    Only media messages can carry OCR text, so only they take part in the
+    OCR join (one shuffle of the media subset); all other messages stay in
+    place. The OCR side is left to Catalyst/AQE: broadcast when its
+    measured size is under the broadcast threshold, shuffle join beyond.
     """
     m = msgs.withColumn("text", message_text(F.col("text"), None))
     if ocr is not None:
         o = ocr.select("message_id", F.col("ocr_text").alias("_ocr"))
-        m = m.join(o, "message_id", "left").withColumn(
-            "ocr_raw", F.when(F.col("media"), F.coalesce(F.col("_ocr"), F.lit(""))).otherwise(F.lit(""))).drop("_ocr")
+        media = (m.where(F.col("media")).join(o, "message_id", "left")
+                  .withColumn("ocr_raw", F.coalesce(F.col("_ocr"), F.lit(""))).drop("_ocr"))
+        other = m.where(~F.coalesce(F.col("media"), F.lit(False))).withColumn("ocr_raw", F.lit(""))
+        m = media.unionByName(other)
     else:
         m = m.withColumn("ocr_raw", F.lit(""))
     m = m.withColumn("full_text", compose_full_text(F.col("text"), F.col("ocr_raw")))
-    scored = scan_and_score(m, text_col="full_text", model_col="model_score", engine=engine)
-    if processed is not None:
-        scored = with_processed_flag(scored, processed)
-    else:
-        scored = scored.withColumn("is_processed", F.lit(False))
+    return scan_and_score(m, text_col="full_text", model_col="model_score", engine=engine)
+
+
+def _response_columns(scored: DataFrame, alert) -> DataFrame:
     return scored.select(
         "chat_id", "message_id", "date", "sender_id", "text", "is_forward", "out", "media",
         "full_text", "findings", "raw_findings",
         F.col("model_score_eff").cast("double").alias("model_score"),
-        "sx_score",
-        ((F.col("sx_score") > float(C.ALERT_THRESHOLD)) & ~F.col("is_processed")).alias("alert"),
+        "sx_score", alert.alias("alert"),
         (F.col("ocr_raw") != "").alias("has_ocr"),
         safe_clean_text(F.col("ocr_raw")).alias("ocr_text"),
         "sender")
 
 
+def analyze_messages(msgs: DataFrame, ocr: DataFrame | None, processed: DataFrame | None,
+                     engine: str = "native") -> DataFrame:
+    """A1 + A2: response rows for every message with findings, scores, OCR
+    fields and the alert flag (score > 0.55 and key not processed).
+
+    ``ocr``: (message_id, ocr_text) for media messages with an image;
+    ``processed``: (chat_id, message_id) keys already alerted.
+    """
+    scored = score_messages(msgs, ocr, engine)
+    if processed is not None:
+        scored = with_processed_flag(scored, processed)
+    else:
+        scored = scored.withColumn("is_processed", F.lit(False))
+    return _response_columns(scored, (F.col("sx_score") > float(C.ALERT_THRESHOLD)) & ~F.col("is_processed"))
+
+
+def alert_candidates(msgs: DataFrame, ocr: DataFrame | None, processed: DataFrame | None,
+                     engine: str = "native") -> DataFrame:
+    """A2 for the alert path: rows scoring above 0.55 whose key is not
+    processed. The score filter is narrow and comes first, so only the
+    (few) candidates meet the processed keys in the anti join; the whole
+    corpus is never shuffled for it."""
+    scored = score_messages(msgs, ocr, engine)
+    scored = scored.withColumn("_cand", F.col("sx_score") > float(C.ALERT_THRESHOLD))
+    cands = keep_rows(scored, "_cand").drop("_cand")
+    if processed is not None:
+        cands = cands.join(processed.select("chat_id", "message_id").distinct(), ["chat_id", "message_id"], "left_anti")
+    return _response_columns(cands, F.lit(True))
+
+
 def keep_rows(df: DataFrame, flag: str) -> DataFrame:
     """Rows whose boolean column ``flag`` is true, without a Filter node.
 

@@ -223,8 +223,9 @@ def alert_created_at():
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.alerts import build_alerts
-    return build_alerts(analyzed(spark, sf_dir), alert_created_at())
+    from ..operators.alerts import alert_candidates, build_alerts
+    cands = alert_candidates(msgs(spark, sf_dir), ocr_for_messages(spark, sf_dir), processed_keys(spark, sf_dir))
+    return build_alerts(cands, alert_created_at())
 
 
 _ALERT_TABLES: dict = {}

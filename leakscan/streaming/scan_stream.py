@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.alerts import analyze_messages, build_alerts
+from ..operators.alerts import alert_candidates, build_alerts
 from ..sources.messages import MESSAGE_SCHEMA
 
 KEYS = ["chat_id", "message_id"]
@@ -58,9 +58,8 @@ def process_batch(batch: DataFrame, batch_id: int, *, sources: DataFrame | None,
     if sources is not None:
         good = good.join(sources.select("chat_id").distinct(), "chat_id", "left_semi")
     good = good.dropDuplicates(KEYS)
-    analyzed = analyze_messages(good, ocr, None)
     ts = created_at if created_at is not None else F.current_timestamp()
-    alerts = build_alerts(analyzed, ts)
+    alerts = build_alerts(alert_candidates(good, ocr, None), ts)
     prior = _existing_keys(spark, alerts_path, batch_id)
     if prior is not None:
         alerts = alerts.join(prior, KEYS, "left_anti")
