@@ -26,3 +26,5 @@ SELECT chat_id, message_id, CAST(pos AS BIGINT) AS position, v AS full_value, va
        CAST(confidence AS DOUBLE) AS confidence
 FROM ({detector_select(_d, 'scan_src')}) f
 """
+
+ORACLES["scan_score_pandas_engine"] = ORACLES["scan_score"]

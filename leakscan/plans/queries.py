@@ -45,6 +45,17 @@ def q_scan_score(spark, sf_dir):
                       F.col("sx_score"))
 
 
+@register("scan_score_pandas_engine")
+def q_scan_score_pandas(spark, sf_dir):
+    """F1 with the second engine (Python re in mapInPandas); same output as scan_score."""
+    out = scan_and_score(scan_source(spark, sf_dir), engine="pandas")
+    return out.select("chat_id", "message_id",
+                      F.size("raw_findings").cast("bigint").alias("n_raw"),
+                      F.size("findings").cast("bigint").alias("n_kept"),
+                      leaks_text().alias("leaks"),
+                      F.col("sx_score"))
+
+
 def _detect_query(det: C.Detector):
     def fn(spark, sf_dir):
         df = with_raw_findings(spread_for_cpu(scan_source(spark, sf_dir)), detectors=[det])

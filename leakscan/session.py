@@ -55,3 +55,36 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     (callers make ``name`` unique)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``leakscan`` importable in Python workers (pandas engine): zip
+    the package into the shared checkpoint folder once per session and
+    add it with ``addPyFile``."""
+    import os
+    import uuid
+    import zipfile
+    key = id(spark.sparkContext)
+    if key in _SHIPPED:
+        return
+    import tempfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    target = scratch_path(spark, f"pyfiles-{uuid.uuid4().hex}")
+    if "://" in target and not target.startswith("file:"):
+        # addPyFile reads a driver-side file and serves it to the executors
+        local = tempfile.mkdtemp(prefix="leakscan-pyfiles-")
+    else:
+        local = target[len("file:"):] if target.startswith("file:") else target
+    os.makedirs(local, exist_ok=True)
+    zpath = os.path.join(local, "leakscan.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.join("leakscan", os.path.relpath(full, pkg)))
+    spark.sparkContext.addPyFile(zpath)
+    _SHIPPED.add(key)
