@@ -45,6 +45,11 @@ _NEEDS_LITERAL = {
 }
 
 
+def is_blank(t: Column) -> Column:
+    """Null or only (Unicode) whitespace; stops at the first other character."""
+    return t.isNull() | ~t.rlike(r"(?U)[^\s\x1c-\x1f]")
+
+
 def empty_findings() -> Column:
     return F.array().cast(FINDING_TYPE)
 
@@ -155,7 +160,7 @@ def with_raw_findings(df: DataFrame, text_col: str = "text", out_col: str = "raw
     """
     detectors = C.DETECTORS if detectors is None else detectors
     t = F.col(text_col)
-    blank = t.isNull() | (F.length(ustrip(t)) == 0)
+    blank = is_blank(t)
     base = df.columns
     helpers = df.select("*", F.lower(t).alias("_lt"), F.length(t).alias("_len"),
                         F.coalesce(t.rlike(_CYR), F.lit(False)).alias("_cyr"),
@@ -177,8 +182,11 @@ def spread_for_cpu(df: DataFrame, keys=("chat_id", "message_id")) -> DataFrame:
     """
     if df.isStreaming:
         return df
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= par:
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= par:
+            return df
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): leave placement to Spark
         return df
     cols = [k for k in keys if k in df.columns]
     return df.repartition(par, *cols) if cols else df.repartition(par)
@@ -223,7 +231,7 @@ def with_finding_steps(df: DataFrame, text_col: str = "text", out_col: str = "st
     t = F.col(text_col)
     base = df.columns
     helpers = df.select("*", F.lower(t).alias("_lt"), F.length(t).alias("_len"),
-                        (t.isNull() | (F.length(ustrip(t)) == 0)).alias("_blank"))
+                        is_blank(t).alias("_blank"))
     tsql = f"`{text_col}`"
     arrays = helpers.select(*base, *[F.expr(detector_steps_sql(d, tsql)).alias(f"_s{d.no}") for d in detectors])
     return arrays.select(*base, F.concat(*[F.col(f"_s{d.no}") for d in detectors]).alias(out_col))
