@@ -8,13 +8,11 @@ as ``@``) gate the regex work per row; they never change a result.
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog as C
-from ..functions.regex import spans_sql, sql_str, ustrip, ustrip_sql
+from ..functions.regex import spans_sql, sql_str, ustrip_sql
 
 CONF_TYPE = "decimal(4,2)"
 WEIGHT_TYPE = "decimal(4,2)"
@@ -67,37 +65,6 @@ def mask(v: Column) -> Column:
             .otherwise(v))
 
 
-def context_window(lower_text: Column, text_len: Column, pos: Column, raw_len: Column) -> Column:
-    """lower-cased text from 100 before the match start to 100 after its end."""
-    start = F.greatest(F.lit(0), pos - C.CONTEXT_RADIUS)
-    end = F.least(text_len, pos + raw_len + C.CONTEXT_RADIUS)
-    return F.substring(lower_text, start + 1, F.greatest(end - start, F.lit(0)))
-
-
-def boost_count(ctx: Column, words) -> Column:
-    """F5 helper: number of boost-list entries (duplicates included) found in ctx."""
-    if not words:
-        return F.lit(0)
-    total = None
-    for w in words:
-        term = F.when(ctx.contains(F.lit(w)), F.lit(1)).otherwise(F.lit(0))
-        total = term if total is None else total + term
-    return total
-
-
-def confidence(severity: Decimal, count: Column) -> Column:
-    """min(1, severity + 0.15 * count), exact in DECIMAL."""
-    raw = F.lit(severity).cast(CONF_TYPE) + count.cast("decimal(4,0)") * F.lit(Decimal(C.BOOST_STEP))
-    return F.least(F.lit(Decimal("1.00")), raw).cast(CONF_TYPE)
-
-
-def keep_value(name: str, v: Column) -> Column:
-    """F2 + F3: length floor (inn/snils exempt) and whitelist."""
-    ok_len = F.lit(True) if name in C.SHORT_VALUE_TYPES else (F.length(v) >= C.MIN_VALUE_LENGTH)
-    # the whitelist is all lower case, so ``v in wl or lower(v) in wl`` == ``lower(v) in wl``
-    return ok_len & ~F.lower(v).isin(C.WHITELIST)
-
-
 def _sql_gate(d: C.Detector, text: str) -> str | None:
     conds = []
     if d.name in _NEEDS_CYRILLIC:
@@ -192,12 +159,6 @@ def spread_for_cpu(df: DataFrame, keys=("chat_id", "message_id")) -> DataFrame:
     return df.repartition(par, *cols) if cols else df.repartition(par)
 
 
-def explode_findings(df: DataFrame, keys, col: str = "raw_findings") -> DataFrame:
-    """One row per finding, with the message keys."""
-    return (df.select(*keys, F.posexplode(col).alias("ord", "f"))
-              .select(*keys, "ord", "f.*"))
-
-
 STEP_TYPE = ("array<struct<type:string,det:int,pos:int,raw:string,v:string,len_ok:boolean,wl_ok:boolean,"
              "ctx:string,boost:int,confidence:decimal(4,2),value:string,severity:decimal(4,2),priority:int>>")
 

@@ -22,7 +22,9 @@ def write_alerts(alerts: DataFrame, path: str, mode: str = "append") -> None:
         F.date_trunc("millisecond", F.col("date")).alias("date"),
         F.date_trunc("millisecond", F.col("created_at")).alias("created_at"))
         .withColumn("month", F.date_format("created_at", "yyyyMM")))
-    (out.repartition("month").sortWithinPartitions("created_at", "chat_id")
+    # range partitioning on the clustering order: a hot month is split over
+    # many tasks (hash-partitioning by month would give it one writer)
+    (out.repartitionByRange("created_at", "chat_id").sortWithinPartitions("created_at", "chat_id")
         .write.mode(mode).partitionBy("month").parquet(path))
 
 
