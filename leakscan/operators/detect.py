@@ -35,13 +35,57 @@ _NEEDS_DIGIT = {
     "passport_series_number", "passport_rf", "passport_number", "inn", "snils", "birth_date",
     "fio_phone_combo", "phone_ru", "ipv4_private", "card_number",
 }
-_NEEDS_LITERAL = {
-    "email": "@",
-    "free_email_combo": "@",
-    "jwt_token": "eyJ",
-    "private_key": "-----BEGIN ",
+# Further necessary conditions, as clauses that must all hold; a clause
+# holds when one of its words occurs. ("f", w): w occurs in the case-folded
+# text ``_fold``; ("r", w): w occurs in the raw text. Every keyword-led
+# pattern needs one of its keywords; ``_fold`` maps every character that
+# Java's (?iU) equates with a keyword letter onto that letter, so the test
+# is exact (the characters were enumerated from Java over the whole BMP).
+def _f(*ws):
+    return [("f", w) for w in ws]
+
+
+def _r(*ws):
+    return [("r", w) for w in ws]
+
+
+_GATES = {
+    "passport_series_number_request": [_f("пришли", "покажи", "отправь", "сфоткай", "фото", "скинь", "сери", "номер")],
+    "passport_rf": [_f("паспорт")],
+    "passport_mention": [_f("паспорт", "серия", "номер")],
+    "snils": [_r("-")],
+    "address": [_f("ул.", "улица", "пр.", "проспект", "пер.", "переулок", "дом", "д.", "кв.", "квартира",
+                   "прописка", "адрес", "г.", "город")],
+    "login_password_pair": [_f("логин", "login", "user"), _f("пароль", "pass", "pwd", "secret", "ключ", "токен"),
+                            _r(":", "=")],
+    "password": [_f("пароль", "pass", "pwd", "secret", "key", "credential", "токен", "auth", "ключ", "секрет"),
+                 _r(":", "=")],
+    "password_loose": [_f("пароль", "pass", "pwd", "secret", "key")],
+    "pdn_auth_combo": [_f("паспорт", "инн", "снилс"), _f("логин", "пароль", "login", "password")],
+    "fio_address_combo": [_f("ул.", "улица", "дом", "кв.", "квартира", "прописка", "адрес")],
+    "passport_fio_combo": [_f("паспорт", "серия", "номер")],
+    "email": [_r("@")],
+    "free_email_combo": [_r("@"), _f("mail.ru", "yandex.ru", "bk.ru", "gmail.com", "inbox.ru", "list.ru", "rambler.ru",
+                                    "ya.ru", "proton.me", "tutanota.com", "hotmail.com", "outlook.com")],
+    "ipv4_private": [_r("10.", "172.", "192.168.")],
+    "jwt_token": [_r("eyJ")],
+    "api_key": [_f("key", "token"), _r(":", "=")],
+    "private_key": [_r("-----BEGIN ")],
+    "seed_phrase": [_f("seed", "мнемоника", "фразы", "wallet", "кошелёк")],
+    # {...} needs '{' and '}'; the YAML form needs '- '
+    "config_fragment": [_r("{", "- "), _r("}", "- ")],
 }
 
+# characters that (?iU) equates with a keyword letter but lower() does not map to it
+FOLD_PRE = ("İ", "i")
+FOLD_FROM = "ıſᲀᲁᲂᲃᲄᲅᲆ"
+FOLD_TO = "isвдосттъ"
+
+
+def fold_sql(text: str) -> str:
+    return (f"translate(lower(translate({text}, {sql_str(FOLD_PRE[0])}, {sql_str(FOLD_PRE[1])})), "
+            f"{sql_str(FOLD_FROM)}, {sql_str(FOLD_TO)})")
+
 
 def is_blank(t: Column) -> Column:
     """Null or only (Unicode) whitespace; stops at the first other character."""
@@ -71,9 +115,9 @@ def _sql_gate(d: C.Detector, text: str) -> str | None:
         conds.append("_cyr")
     if d.name in _NEEDS_DIGIT:
         conds.append("_dig")
-    lit = _NEEDS_LITERAL.get(d.name)
-    if lit:
-        conds.append(f"instr({text}, {sql_str(lit)}) > 0")
+    for clause in _GATES.get(d.name, []):
+        alts = [f"instr({'_fold' if kind == 'f' else text}, {sql_str(w)}) > 0" for kind, w in clause]
+        conds.append("(" + " OR ".join(alts) + ")")
     return " AND ".join(conds) if conds else None
 
 
@@ -130,6 +174,7 @@ def with_raw_findings(df: DataFrame, text_col: str = "text", out_col: str = "raw
     blank = is_blank(t)
     base = df.columns
     helpers = df.select("*", F.lower(t).alias("_lt"), F.length(t).alias("_len"),
+                        F.expr(fold_sql(f"`{text_col}`")).alias("_fold"),
                         F.coalesce(t.rlike(_CYR), F.lit(False)).alias("_cyr"),
                         F.coalesce(t.rlike(r"(?U)\d"), F.lit(False)).alias("_dig"),
                         blank.alias("_blank"))

@@ -10,7 +10,9 @@ from leakscan.plans import fixtures as FX
 PIECES = ["Паспорт 4510 123456 ", "СНИЛС 112-233-445 95", "тел. Петров Пётр Петрович 89161234567", "ул. Ленина, д. 5",
           "a@b.co ", "bob@mail.ru", "+7(916)123-45-67", "10.1.2.3", "login: x password: yyyy", "é4510 123456",
           "серия 4510 номер 123456", "4276 1234 5678 9012", "12.05.1990", "{pwd: 'z'}", "- a: b", "\n", " ", " ",
-          "naïve 1234567890", "ÀÉÎ", "eyJa.eyJb.c", "seed: " + "word " * 12, "-----BEGIN EC PRIVATE KEY-----\nx\n-----END EC PRIVATE KEY-----"]
+          "naïve 1234567890", "ÀÉÎ", "eyJa.eyJb.c", "paſs: hunter22", "credentİal=abcd1234", "PAſSWORD=qwerty12",
+          "Seed: " + "Apple " * 12, "логин: u пᲀроль: 12345", "api_KEY=ABCDEFGHIJKLMNOPQRSTUV", "паᲃпорт 4510 123456",
+          "{ secret: 'x' }", "USER=bob; PWD=abcdef", "seed: " + "word " * 12, "-----BEGIN EC PRIVATE KEY-----\nx\n-----END EC PRIVATE KEY-----"]
 
 
 def compare(df):
