@@ -5,7 +5,8 @@ readStream (file source) -> micro-batch -> ``process_batch``:
 * R3: rows without a message key go to a dead-letter folder of the batch;
   the rest of the batch goes on.
 * R1: keep registered sources (left-semi join, the registry is a small
-  dimension), analyze (scan, dedup, score, OCR join), keep alerting rows.
+  dimension), analyze (scan, dedup, score, OCR join of media messages),
+  keep alert candidates and deduplicate them by key.
 * R2: an alert is written at most once ever: keys already present in the
   alert table from *earlier* batches are removed (left-anti join). The
   alert table is the processed set, so no unbounded streaming state is
@@ -57,9 +58,11 @@ def process_batch(batch: DataFrame, batch_id: int, *, sources: DataFrame | None,
         .write.mode("overwrite").parquet(f"{dead_letter_path}/batch_id={batch_id}"))
     if sources is not None:
         good = good.join(sources.select("chat_id").distinct(), "chat_id", "left_semi")
-    good = good.dropDuplicates(KEYS)
     ts = created_at if created_at is not None else F.current_timestamp()
-    alerts = build_alerts(alert_candidates(good, ocr, None), ts)
+    # duplicates only matter among alert candidates: deduplicate those (few)
+    # instead of shuffling the whole micro-batch with its texts
+    cands = alert_candidates(good, ocr, None).dropDuplicates(KEYS)
+    alerts = build_alerts(cands, ts)
     prior = _existing_keys(spark, alerts_path, batch_id)
     if prior is not None:
         alerts = alerts.join(prior, KEYS, "left_anti")
