@@ -22,9 +22,10 @@ def write_alerts(alerts: DataFrame, path: str, mode: str = "append") -> None:
         F.date_trunc("millisecond", F.col("date")).alias("date"),
         F.date_trunc("millisecond", F.col("created_at")).alias("created_at"))
         .withColumn("month", F.date_format("created_at", "yyyyMM")))
-    # range partitioning on the clustering order: a hot month is split over
-    # many tasks (hash-partitioning by month would give it one writer)
-    (out.repartitionByRange("created_at", "chat_id").sortWithinPartitions("created_at", "chat_id")
+    # hash on (month, key): a hot month is spread over all writers (by month
+    # alone it would get one). A range partitioning would also spread it but
+    # needs a sampling pass, i.e. a second evaluation of the whole scan.
+    (out.repartition("month", "chat_id", "message_id").sortWithinPartitions("created_at", "chat_id")
         .write.mode(mode).partitionBy("month").parquet(path))
 
 
