@@ -76,12 +76,28 @@ def process_batch(batch: DataFrame, batch_id: int, *, sources: DataFrame | None,
     out.write.mode("overwrite").partitionBy("month").parquet(f"{alerts_path}/batch_id={batch_id}")
 
 
+def with_bounded_dedup(messages: DataFrame, horizon: str, batch_ts=None) -> DataFrame:
+    """R2 alternative with bounded state: drop repeated message keys seen
+    within ``horizon`` of event time (the parsed message date), using a
+    watermark; state older than the watermark is purged."""
+    from ..functions.text import parse_message_date
+    ts = batch_ts if batch_ts is not None else F.current_timestamp()
+    return (messages.withColumn("_event_ts", parse_message_date(F.col("date"), ts))
+                    .withWatermark("_event_ts", horizon)
+                    .dropDuplicatesWithinWatermark(KEYS)
+                    .drop("_event_ts"))
+
+
 def start_scan_stream(messages: DataFrame, *, sources: DataFrame | None, ocr: DataFrame | None,
                       alerts_path: str, dead_letter_path: str, checkpoint_path: str,
-                      trigger: dict | None = None, created_at=None):
+                      trigger: dict | None = None, created_at=None, dedup_horizon: str | None = None):
     """Start the stream. ``trigger`` defaults to a 5-minute processing
-    time (the reference polls every 5 minutes); tests use availableNow."""
+    time (the reference polls every 5 minutes); tests use availableNow.
+    ``dedup_horizon`` (e.g. "7 days") adds the bounded-state key dedup on
+    the stream itself, before the once-ever check of each batch."""
     trigger = trigger or {"processingTime": "5 minutes"}
+    if dedup_horizon:
+        messages = with_bounded_dedup(messages, dedup_horizon, created_at)
 
     def fn(df, i):
         process_batch(df, i, sources=sources, ocr=ocr, alerts_path=alerts_path,

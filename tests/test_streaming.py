@@ -38,3 +38,15 @@ def test_dead_letter(spark):
     dead = SQ.q_stream_errors(spark, SF_SMALL)
     ids = [r.message_id for r in dead.collect()]
     assert ids and all(i % 97 == 0 for i in ids)
+
+
+def test_bounded_state_dedup_option(spark):
+    p = SQ._paths(spark, "wm")
+    SQ._land(spark, SF_SMALL, p["input"], copies=2)
+    stream = SS.read_message_stream(spark, p["input"], max_files_per_trigger=1, schema=SQ.STREAM_SCHEMA)
+    q = SS.start_scan_stream(stream, sources=None, ocr=None, alerts_path=p["alerts"], dead_letter_path=p["dead"],
+                             checkpoint_path=p["checkpoint"], trigger={"availableNow": True},
+                             created_at=F.lit(FX.BATCH_TS).cast("timestamp"), dedup_horizon="3650 days")
+    q.awaitTermination()
+    ks = keys(spark.read.parquet(p["alerts"]))
+    assert ks and len(ks) == len(set(ks))
