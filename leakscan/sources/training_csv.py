@@ -14,15 +14,32 @@ def csv_options(escape: str = '"') -> dict:
             "mode": "DROPMALFORMED"}
 
 
+def _unwrap_doubled(c):
+    """A field quoted with doubled inner quotes that a backslash-escape parse
+    returned raw: strip the outer quotes and collapse "" to "."""
+    wrapped = (F.length(c) >= 2) & c.startswith('"') & c.endswith('"')
+    inner = F.substring(c, F.lit(2), F.length(c) - 2)
+    return F.when(wrapped, F.regexp_replace(inner, '""', '"')).otherwise(c)
+
+
 def read_training_csv(spark: SparkSession, path: str, escape: str = '"') -> DataFrame:
     """S6: ';'-separated, quoted, UTF-8, malformed rows dropped. With a header
     the named columns are used; a file whose header lacks text/label is read
-    positionally as id, text, label, category, comment."""
-    opts = csv_options(escape)
+    positionally as id, text, label, category, comment.
+
+    ``escape='"'`` reads doubled quotes, ``escape='\\'`` backslash-escaped
+    quotes; ``escape='auto'`` accepts both in one file (backslash parse, then
+    single-line doubled-quote fields are unwrapped)."""
+    auto = escape == "auto"
+    opts = csv_options("\\" if auto else escape)
     head = spark.read.options(**opts).option("header", "true").csv(path)
     if {"text", "label"} <= set(head.columns):
-        return head.select(*[F.col(c).cast("string") for c in head.columns])
-    return spark.read.options(**opts).option("header", "false").schema(TRAINING_SCHEMA).csv(path)
+        df = head.select(*[F.col(c).cast("string") for c in head.columns])
+    else:
+        df = spark.read.options(**opts).option("header", "false").schema(TRAINING_SCHEMA).csv(path)
+    if auto:
+        df = df.select(*[_unwrap_doubled(F.col(c)).alias(c) for c in df.columns])
+    return df
 
 
 def write_training_csv(df: DataFrame, path: str, escape: str = '"') -> None:

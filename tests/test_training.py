@@ -28,3 +28,17 @@ def test_save_load_same_scores(spark):
     b = TR.score_with_model(d, load_model(p)).orderBy("id").collect()
     assert a == b
     assert TR.score_with_model(d, load_model(p + "-missing")).where("model_score != 0").count() == 0
+
+
+def test_csv_auto_escape_reads_both_quote_styles(spark):
+    import uuid
+    from leakscan.session import scratch_path
+    from leakscan.sources.training_csv import read_training_csv
+    p = scratch_path(spark, f"csv-{uuid.uuid4().hex}")
+    import os
+    local = p[len("file:"):] if p.startswith("file:") else p
+    os.makedirs(local, exist_ok=True)
+    with open(os.path.join(local, "d.csv"), "w", encoding="utf-8") as fh:
+        fh.write('id;text;label\n1;"a ""q"" b";1\n2;"a \\"q\\" b";0\n3;"multi\nline; x";1\n4;plain;x\n')
+    got = sorted(tuple(r) for r in read_training_csv(spark, p, escape="auto").select("id", "text", "label").collect())
+    assert got == [("1", 'a "q" b', "1"), ("2", 'a "q" b', "0"), ("3", "multi\nline; x", "1"), ("4", "plain", "x")]
