@@ -17,11 +17,9 @@ from ..functions.regex import spans_sql, sql_str, ustrip_sql
 CONF_TYPE = "decimal(4,2)"
 WEIGHT_TYPE = "decimal(4,2)"
 
-FINDING_FIELDS = (
-    "nrank int, nconf decimal(4,2), det int, pos int, type string, value string, full string, "
-    "confidence decimal(4,2), severity decimal(4,2), priority int, rank int, grp string, weight decimal(4,2)"
-)
-FINDING_TYPE = f"array<struct<{FINDING_FIELDS.replace(' string', ':string').replace(' int', ':int').replace(' decimal', ':decimal')}>>"
+# one finding; the first four fields are the sort key of the dedup fold
+FINDING_TYPE = ("array<struct<nrank:int,nconf:decimal(4,2),det:int,pos:int,type:string,value:string,full:string,"
+                "confidence:decimal(4,2),severity:decimal(4,2),priority:int,rank:int,grp:string,weight:decimal(4,2)>>")
 
 # Necessary-condition gates (our own optimisation, exact by construction).
 # A Cyrillic letter (or a letter that case-folds to one) is required by every
