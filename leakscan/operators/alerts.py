@@ -58,11 +58,13 @@ def analyze_messages(msgs: DataFrame, ocr: DataFrame | None, processed: DataFram
     ``ocr``: (message_id, ocr_text) for media messages with an image;
     ``processed``: (chat_id, message_id) keys already alerted.
     """
-    scored = score_messages(msgs, ocr, engine)
+    # the existence join runs before the scan: if it shuffles, it moves the
+    # raw message rows, not texts plus findings arrays
     if processed is not None:
-        scored = with_processed_flag(scored, processed)
+        msgs = with_processed_flag(msgs, processed)
     else:
-        scored = scored.withColumn("is_processed", F.lit(False))
+        msgs = msgs.withColumn("is_processed", F.lit(False))
+    scored = score_messages(msgs, ocr, engine)
     return _response_columns(scored, (F.col("sx_score") > float(C.ALERT_THRESHOLD)) & ~F.col("is_processed"))
 
 
