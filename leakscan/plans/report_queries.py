@@ -446,3 +446,26 @@ def q_alerts_page(spark, sf):
     a = FX.alerts_table(spark, sf)
     df = S.recent_alerts_by_source(a, FX.sources(spark, sf), 50) if only_sources else S.recent_alerts(a, 50)
     return df.select("chat_id", "message_id", "sx_score", A.ocr_column_text(F.col("ocr_text")).alias("ocr_text"))
+
+
+@reg("leaks_from_json", f"""{_ST}
+SELECT chat_id, message_id, CAST(json_array_length(leaks) AS BIGINT) AS n_leaks,
+       json_extract_string(leaks, '$[0].type') AS first_type,
+       CAST(json_extract(leaks, '$[0].position') AS BIGINT) AS first_position FROM st""")
+def q_leaks_from_json(spark, sf):
+    """X15 (decode): stored JSON text back to the findings array."""
+    a = FX.alerts_table(spark, sf)
+    arr = T.leaks_from_json(F.col("leaks"))
+    return a.select("chat_id", "message_id", F.size(arr).cast("bigint").alias("n_leaks"),
+                    arr[0]["type"].alias("first_type"), arr[0]["position"].cast("bigint").alias("first_position"))
+
+
+@reg("sender_from_json", f"""
+SELECT chat_id, message_id, sender.id AS sender_id, sender.first_name AS first_name, sender.last_name AS last_name
+FROM ({O.msgs_sql()}) m""")
+def q_sender_from_json(spark, sf):
+    """X16 (decode): sender JSON text back to the struct ('{{}}' -> null)."""
+    m = FX.msgs(spark, sf)
+    s = T.sender_from_json(T.sender_to_json(F.col("sender")))
+    return m.select("chat_id", "message_id", s["id"].alias("sender_id"), s["first_name"].alias("first_name"),
+                    s["last_name"].alias("last_name"))
