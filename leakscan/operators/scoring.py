@@ -1,10 +1,14 @@
 """Risk score of one message (C1-C12), as an expression over its kept
 findings array: no grouping, no shuffle.
 
-All arithmetic is DECIMAL (every constant has at most 3 decimals), the
-score is rounded half-up once at the end and cast to DOUBLE last. This is
-deterministic and order independent; a binary-float implementation can
-differ only where the exact value is a half-tie at the third decimal.
+The components are exact DECIMAL values. The final score reproduces the
+reference's binary-float result bit for bit: away from a half-tie at the
+3rd decimal, rounding the exact value half-up gives the same digits as
+rounding the float (the float error, ~1e-16, cannot cross a boundary that
+is >= 1e-7 away). At an exact tie the float computation - same operations
+in the same order, in DOUBLE - decides the side: the score rounds up iff
+that double lies above the exact value. The comparison uses an
+error-free product (Veltkamp split), so it is exact in IEEE arithmetic.
 """
 
 from __future__ import annotations
@@ -95,17 +99,67 @@ def document_bonus(f: Column, model: Column) -> Column:
     return F.when(has_passport(f) & (model > _dec("0.8")), _dec("0.22")).otherwise(_dec("0.00"))
 
 
-def final_score(f: Column, model: Column, text_len: Column) -> Column:
-    """C1 + C12: DOUBLE rounded to 3 decimals.
-
-    ``model`` is the model score as DECIMAL(5,3) (0 for blank text).
-    """
+def exact_score(f: Column, model: Column, text_len: Column) -> Column:
+    """C12 before rounding, exact (DECIMAL)."""
     n = n_findings(f)
     s = (regex_score(f) * _dec("0.50") + model_weight(f, text_len) * model
          + document_bonus(f, model) + n.cast("decimal(6,0)") * _dec("0.01"))
-    score = F.round(clamp01(s).cast(FINAL_TYPE), 3)
+    return clamp01(s).cast(FINAL_TYPE)
+
+
+def float_score(f: Column, model: Column, text_len: Column) -> Column:
+    """C12 before rounding as the reference computes it: binary floats, the
+    same operations in the same order (weighted sum in position order)."""
+    d = lambda x: F.lit(float(x))
+    n = n_findings(f)
+    conf = lambda x: x["confidence"].cast("double")
+    mx = F.coalesce(F.array_max(F.transform(f, conf)), d(0.0))
+    ws = F.aggregate(f, d(0.0), lambda acc, x: acc + conf(x) * x["weight"].cast("double"))
+    n_cat = distinct_categories(f)
+    bonus = F.when(n_cat >= 3, d(0.40)).when(n_cat >= 2, d(0.25)).otherwise(d(0.0))
+    has_mail = F.exists(f, lambda x: x["type"].isin(C.FREE_EMAIL_TYPES))
+    bonus = F.when(has_mail & (n_cat >= 2), bonus + d(0.15)).otherwise(bonus)
+    count = F.least(d(0.45), (n - 1).cast("double") * d(0.09))
+    rx = F.least(d(1.0), F.greatest(d(0.0), mx * d(0.50) + ws * d(0.30) + bonus + count))
+    w = F.when(has_passport(f), d(0.40)).otherwise(d(0.35))
+    w = F.when(n == 0, d(0.20)).otherwise(w)
+    w = F.when(text_len < 20, w * d(0.7)).otherwise(w)
+    md = model.cast("double")
+    doc = F.when(has_passport(f) & (md > d(0.8)), d(0.22)).otherwise(d(0.0))
+    return F.least(d(1.0), F.greatest(d(0.0), d(0.50) * rx + w * md + doc + d(0.10) * (n.cast("double") / d(10.0))))
+
+
+_SPLIT = float(2 ** 27 + 1)
+
+
+def round3_like_float(v: Column, x: Column) -> Column:
+    """Round the exact value ``v`` to 3 decimals the way the binary float
+    ``x`` (its float twin) rounds. Away from ties: half-up of v. At a tie
+    v = (2k+1)/2000: up iff x > v. With y = double(v): x > y or x < y gives
+    the side directly; if x == y, the side is the sign of y*2000 - (2k+1),
+    computed exactly (Dekker product of y and 2000 after a Veltkamp split)."""
+    tie = (v * _dec("2000")) % _dec("2") == _dec("1")
+    y = v.cast("double")
+    c = F.lit(_SPLIT) * y
+    yh = c - (c - y)
+    yl = y - yh
+    p = y * F.lit(2000.0)
+    err = (yh * F.lit(2000.0) - p) + yl * F.lit(2000.0)
+    t = (v * _dec("2000")).cast("double")
+    y_above = ((p - t) + err) > F.lit(0.0)
+    up = F.when(x > y, F.lit(True)).when(x < y, F.lit(False)).otherwise(y_above)
+    half = _dec("0.0005")
+    tied = F.when(up, v + half).otherwise(v - half)
+    return F.when(tie, tied).otherwise(F.round(v, 3)).cast("decimal(6,3)").cast("double")
+
+
+def final_score(f: Column, model: Column, text_len: Column) -> Column:
+    """C1 + C12: DOUBLE rounded to 3 decimals, equal to the reference's
+    ``round(float, 3)``. ``model`` is DECIMAL(5,3) (0 for blank text)."""
+    n = n_findings(f)
     zero_rule = (n == 0) & (model < _dec("0.5"))
-    return F.when(zero_rule, F.lit(0.0)).otherwise(score.cast("double"))
+    score = round3_like_float(exact_score(f, model, text_len), float_score(f, model, text_len))
+    return F.when(zero_rule, F.lit(0.0)).otherwise(score)
 
 
 def model_score_col(model: Column, text: Column) -> Column:

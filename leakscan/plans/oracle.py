@@ -223,13 +223,18 @@ def analysis_ctes(src_sql: str, text_col_sql: str = "text") -> str:
                            'severity': CAST(severity AS DOUBLE), 'position': CAST(pos AS INTEGER),
                            'priority': CAST(priority AS INTEGER)}} ORDER BY ord)) AS leaks_json
       FROM kept GROUP BY chat_id, message_id),
-    scored AS (
+    fl2 AS (
+      SELECT chat_id, message_id,
+             coalesce(list_reduce(list(CAST(confidence AS DOUBLE) * CAST(weight AS DOUBLE) ORDER BY ord),
+                                  lambda a, b: a + b), 0.0::DOUBLE) AS wsum_d,
+             max(CAST(confidence AS DOUBLE)) AS max_d
+      FROM kept GROUP BY chat_id, message_id),
+    sc0 AS (
       SELECT s.chat_id, s.message_id, s.text AS text,
              coalesce(a.n_raw, 0) AS n_raw, coalesce(a.n_kept, 0) AS n_kept, coalesce(a.leaks, '') AS leaks,
              coalesce(a.leaks_json, '[]') AS leaks_json, a.has_mail, a.has_pass,
              a.n_types, a.n_cat, a.max_conf, a.wsum, s.model_eff,
-             CASE WHEN coalesce(a.n_kept, 0) = 0 AND s.model_eff < 0.5 THEN 0.0 ELSE CAST(round(CAST(
-               least(1, greatest(0,
+             CAST(least(1, greatest(0,
                  0.50 * CAST(least(1, greatest(0,
                      coalesce(a.max_conf, 0) * 0.50 + coalesce(a.wsum, 0) * 0.30
                      + CASE WHEN a.n_cat >= 3 THEN 0.40 WHEN a.n_cat >= 2 THEN 0.25 ELSE 0 END
@@ -238,11 +243,39 @@ def analysis_ctes(src_sql: str, text_col_sql: str = "text") -> str:
                  + (CASE WHEN coalesce(a.n_kept, 0) = 0 THEN 0.20 WHEN a.has_pass THEN 0.40 ELSE 0.35 END)
                    * (CASE WHEN coalesce(length(s.text), 0) < 20 THEN 0.7 ELSE 1.0 END) * s.model_eff
                  + CASE WHEN a.has_pass AND s.model_eff > 0.8 THEN 0.22 ELSE 0 END
-                 + coalesce(a.n_kept, 0) * 0.01)) AS DECIMAL(16,8)), 3) AS DOUBLE) END AS sx_score
+                 + coalesce(a.n_kept, 0) * 0.01)) AS DECIMAL(16,8)) AS v,
+             -- the same score in binary floats, in the order the reference computes it
+             least(1.0::DOUBLE, greatest(0.0::DOUBLE,
+                 0.50::DOUBLE * least(1.0::DOUBLE, greatest(0.0::DOUBLE,
+                     coalesce(f.max_d, 0.0::DOUBLE) * 0.50::DOUBLE + coalesce(f.wsum_d, 0.0::DOUBLE) * 0.30::DOUBLE
+                     + (CASE WHEN a.n_cat >= 3 THEN 0.40::DOUBLE WHEN a.n_cat >= 2 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END
+                        + CASE WHEN a.has_mail AND a.n_cat >= 2 THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END)
+                     + least(0.45::DOUBLE, CAST(coalesce(a.n_kept, 0) - 1 AS DOUBLE) * 0.09::DOUBLE)))
+                 + (CASE WHEN coalesce(a.n_kept, 0) = 0 THEN 0.20::DOUBLE WHEN a.has_pass THEN 0.40::DOUBLE ELSE 0.35::DOUBLE END)
+                   * (CASE WHEN coalesce(length(s.text), 0) < 20 THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END)
+                   * CAST(s.model_eff AS DOUBLE)
+                 + CASE WHEN a.has_pass AND s.model_eff > 0.8 THEN 0.22::DOUBLE ELSE 0.0::DOUBLE END
+                 + 0.10::DOUBLE * (CAST(coalesce(a.n_kept, 0) AS DOUBLE) / 10.0::DOUBLE))) AS x
       FROM (SELECT chat_id, message_id, text,
                    CASE WHEN {BLANK} THEN CAST(0 AS DECIMAL(5,3)) ELSE CAST(coalesce(model_score, 0) AS DECIMAL(5,3)) END AS model_eff
             FROM scan_src) s
-      LEFT JOIN agg a ON a.chat_id = s.chat_id AND a.message_id = s.message_id)
+      LEFT JOIN agg a ON a.chat_id = s.chat_id AND a.message_id = s.message_id
+      LEFT JOIN fl2 f ON f.chat_id = s.chat_id AND f.message_id = s.message_id),
+    sc1 AS (
+      SELECT *, floor(v * 2000) = v * 2000 AND CAST(floor(v * 2000) AS BIGINT) % 2 = 1 AS tie,
+             CAST(v AS DOUBLE) AS y, 134217729.0::DOUBLE * CAST(v AS DOUBLE) AS c
+      FROM sc0),
+    sc2 AS (
+      SELECT *, c - (c - y) AS yh, y * 2000.0::DOUBLE AS p, CAST(v * 2000 AS DOUBLE) AS t FROM sc1),
+    scored AS (
+      SELECT chat_id, message_id, text, n_raw, n_kept, leaks, leaks_json, has_mail, has_pass, n_types, n_cat,
+             max_conf, wsum, model_eff,
+             CASE WHEN n_kept = 0 AND model_eff < 0.5 THEN 0.0
+                  WHEN tie THEN CAST(CASE WHEN (CASE WHEN x > y THEN TRUE WHEN x < y THEN FALSE
+                                                     ELSE (p - t) + ((yh * 2000.0::DOUBLE - p) + (y - yh) * 2000.0::DOUBLE) > 0.0 END)
+                                          THEN v + 0.0005 ELSE v - 0.0005 END AS DOUBLE)
+                  ELSE CAST(round(v, 3) AS DOUBLE) END AS sx_score
+      FROM sc2)
     """
 
 
