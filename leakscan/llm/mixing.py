@@ -132,3 +132,14 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     out = laid.where("size > 0").join(taken, ["source_no", "first_word"], "left").unionByName(
         laid.where("size = 0").withColumns({"taken": F.lit(0).cast("bigint"), "copies": F.lit(0).cast("bigint")}))
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), F.coalesce("copies", F.lit(0)).cast("bigint").alias("copies"))
+
+
+def repeat_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """The mix as rows: each document as often as the block with its first word is taken.
+    Documents without words are never taken. Rows that share doc_id and source share the mean
+    of their copies, rounded up, so that repeated rows can't multiply."""
+    times = mix_documents(docs, mix).groupBy("doc_id", F.col("source").alias("m_source")).agg(
+        F.ceil(F.avg("copies")).alias("copies__")).where("copies__ > 0").withColumnRenamed("doc_id", "m_id")
+    d = docs.join(times, docs.doc_id.eqNullSafe(times.m_id) & docs.source.eqNullSafe(times.m_source))
+    d = d.withColumn("copy__", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies__")))
+    return d.where(F.regexp_count("text", F.lit(WORD)) > 0).select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, quality, token_file
+from . import bpe, chat, minhash, mixing, quality, suffix_dedup, token_file
 from .common import table
 
 QUERIES: dict = {}
@@ -38,6 +38,12 @@ def op5(spark, sf_dir):
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN), path)
 
 
+@_register("op6_dart_minhash")
+def op6(spark, sf_dir):
+    """Class of exact copies and component of near duplicates for every document."""
+    return minhash.per_row(minhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 @_register("op7_chat_format")
 def op7(spark, sf_dir):
     """All conversations and one of control strings, formatted and read back."""
@@ -47,6 +53,12 @@ def op7(spark, sf_dir):
     return chat.digests(chat.format_conversations(rows.unionByName(own)))
 
 
+@_register("op8_suffix_dedup")
+def op8(spark, sf_dir):
+    """Bytes of 100-byte strings that start earlier elsewhere, removed from every document."""
+    return suffix_dedup.digests(suffix_dedup.spans(table(spark, sf_dir, "documents")))
+
+
 @_register("op9_source_mix")
 def op9(spark, sf_dir):
     """All documents mixed by source weights 1, 2, 3."""
