@@ -154,8 +154,9 @@ def keep(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     refs = put(_final_references(docs, rules), "quality-refs")
     cols = docs.columns
     d = docs.withColumn("row__", F.struct(*[f"`{c}`" for c in cols]))
-    feats = features(d, rules, carry=["row__"])
-    return judge(feats, refs, rules).where("kept").select("row__.*")
+    judged = judge(features(d, rules, carry=["row__"]), refs, rules)
+    # a filter would be pushed below the projections and repeat their expressions; a generator is not
+    return judged.select(F.inline(F.when(F.col("kept"), F.array("row__")).otherwise(F.slice(F.array("row__"), 1, 0))))
 
 
 def _final_references(docs: DataFrame, rules: QualityRules) -> DataFrame:
