@@ -10,6 +10,7 @@ from ..session import scratch_path, ship_package
 
 #: White space of the word rule: space and the control characters 9 to 13.
 SPACE = " \t\n\x0b\x0c\r"
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -19,10 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def put(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back: cuts
-    the lineage, survives lost executors and gives the planner real sizes."""
-    path = scratch_path(df.sparkSession, f"llm-{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    the lineage, survives lost executors and gives the planner real sizes. The shuffle files of
+    the write go with it; the written table is all that is read later."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:

@@ -5,9 +5,10 @@ document of smaller id, or earlier in the same one). Windows of that length are
 anchor: the smallest hash among the window's 50-byte strings. Equal windows have equal anchors, so
 runs of windows with the same anchor (100 to 150 bytes of text) are the unit that travels:
 
-1. Of documents with the same text the first is scanned; in the others every window starts
+1. Of documents with the same text the first counts; in the others every window starts
    earlier.
-2. Anchors that occur once in the whole corpus cannot hold a repeated window and are dropped.
+2. Anchors that occur in one text only, and there once, cannot hold a repeated window and are
+   dropped.
 3. Runs with equal bytes are one string, kept with its first place (map-side combine).
 4. Strings of the same anchor meet in one collection. There the suffixes of all strings are
    built column by column: each round puts one more symbol in front of every string and
@@ -34,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import put, ship
 
 LENGTH = 100
 ANCHOR = 50
@@ -169,21 +170,63 @@ def first_places(strings: list[bytes], docs, starts):
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """(g, doc_id, n) for every anchor of every document."""
+    """(g, c1, key, n): the different anchors of every document, with its text's hash and their number."""
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 64):
-                gs, ds, ns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for d, t in zip(b.column("key")[lo:lo + 64].to_pylist(), b.column("bytes")[lo:lo + 64].to_pylist()):
-                    g, n = np.unique(runs(t)[2], return_counts=True)
-                    gs.append(g)
-                    ns.append(n)
-                    ds.append(np.full(len(g), d))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (gs, ds, ns)], names=["g", "key", "n"])
+                c1, keys, texts = (b.column(c)[lo:lo + 64] for c in ("c1", "key", "bytes"))
+                found = [np.unique(runs(t)[2], return_counts=True) for t in texts.to_pylist()]
+                size = [len(g) for g, _ in found]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([g for g, _ in found])), pa.array(np.repeat(c1.to_numpy(zero_copy_only=False), size)),
+                     pa.array(np.repeat(keys.to_numpy(zero_copy_only=False), size)), pa.array(np.concatenate([n for _, n in found]))],
+                    names=["g", "c1", "key", "n"])
 
-    return docs.select("key", "bytes").mapInArrow(run, "g bigint, key bigint, n bigint")
+    return docs.select("c1", "key", "bytes").mapInArrow(run, "g bigint, c1 bigint, key bigint, n bigint")
+
+
+def _repeated(seen: DataFrame) -> DataFrame:
+    """(g, key): anchors that come twice in a text or in different texts, for the first document of
+    each text. The rows of an anchor stream by, sorted; a task holds one batch."""
+    import pyarrow as pa
+
+    def run(batches):
+        held = [np.zeros(0, np.int64)] * 4
+
+        def lead(cols, done):
+            """First row of each (g, c1) whose g has several of them or a count over one; the
+            rows of the last g stay, one per c1, unless all are done."""
+            g, c, key, n = cols
+            first = np.ones(len(g), bool)
+            first[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+            start = np.flatnonzero(first)
+            top = np.maximum.reduceat(n, start) if len(start) else n
+            g, c, key, n = g[first], c[first], key[first], top
+            new = np.ones(len(g), bool)
+            new[1:] = g[1:] != g[:-1]
+            group = np.cumsum(new) - 1
+            begin = np.flatnonzero(new)
+            many = (np.diff(np.append(begin, len(g))) > 1) | (np.maximum.reduceat(n, begin) > 1) if len(g) else new
+            ok = many[group] if len(g) else new
+            last = len(g) if done or not len(g) else int(begin[-1])
+            if last < len(g) and ok[last]:
+                # known to be repeated: all but the newest row can go, which keeps the mark
+                out = ok.copy()
+                out[-1] = False
+                return (g[out], key[out]), [x[-1:] for x in (g, c, key, np.maximum(n, 2))]
+            ok[last:] = False
+            return (g[ok], key[ok]), [x[last:] for x in (g, c, key, n)]
+
+        for b in batches:
+            cols = [np.concatenate([h, b.column(k).to_numpy(zero_copy_only=False)]) for h, k in zip(held, ("g", "c1", "key", "n"))]
+            (g, key), held = lead(cols, False)
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(key)], names=["g", "key"])
+        (g, key), _ = lead(held, True)
+        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(key)], names=["g", "key"])
+
+    return seen.repartition("g").sortWithinPartitions("g", "c1", "key").mapInArrow(run, "g bigint, key bigint")
 
 
 def _strings(hits: DataFrame) -> DataFrame:
@@ -249,29 +292,25 @@ def _windows(strings: DataFrame) -> DataFrame:
 
 def spans(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """``docs`` with ``bytes`` and ``spans`` (array of struct<start, stop>: the maximal removed runs of
-    bytes). The documents cross the cluster once, by doc_id; scan, strings and result read
-    that exchange."""
+    bytes). The texts are scanned where they lie and cross the cluster twice by doc_id: to meet
+    their repeated anchors, and their first places."""
     import pyarrow as pa
     ship(docs.sparkSession)
     carry = carry or []
-    key = F.coalesce("doc_id", F.lit(LAST))
-    d = docs.select(key.alias("key"), F.coalesce("text", F.lit("")).alias("text"), "doc_id", *[f"`{c}`" for c in carry])
-    h = [F.xxhash64("text"), F.xxhash64(F.lit(7), "text")]
-    firsts = d.groupBy(h[0].alias("c1"), h[1].alias("c2")).agg(F.min("key").alias("f_key"))
-    everything = d.join(firsts, (d.key == firsts.f_key) & (h[0] == firsts.c1) & (h[1] == firsts.c2), "left")
-    everything = everything.withColumn("bytes", F.col("text").cast("binary")).drop("c1", "c2", "text")
-    once = everything.where("f_key IS NOT NULL")
-    seen = _scan(once)
-    repeated = seen.groupBy("g").agg(F.sum("n").alias("total")).where("total > 1").select("g")
-    per_doc = seen.select("g", "key").join(repeated, "g").groupBy("key").agg(F.collect_set("g").alias("gs"))
-    strings = _first_of(_strings(once.join(per_doc.withColumnRenamed("key", "g_key"), F.col("key") == F.col("g_key"))), "g", "s")
+    d = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("key"), F.coalesce("text", F.lit("")).alias("text"), "doc_id", *[f"`{c}`" for c in carry])
+    d = d.withColumns({"c1": F.xxhash64("text"), "c2": F.xxhash64(F.lit(7), "text"), "bytes": F.col("text").cast("binary")}).drop("text")
+    firsts = put(d.groupBy("c1", "c2").agg(F.min("key").alias("f_key")), "firsts")
+    per_doc = put(_repeated(_scan(d)).groupBy(F.col("key").alias("g_key")).agg(F.collect_set("g").alias("gs")), "anchors")
+    hits = d.select("key", "bytes", "c1", "c2").join(per_doc, F.col("key") == F.col("g_key")).join(
+        firsts.toDF("f1", "f2", "f_key"), (F.col("key") == F.col("f_key")) & (F.col("c1") == F.col("f1")) & (F.col("c2") == F.col("f2")))
+    strings = put(_first_of(_strings(hits), "g", "s"), "strings")
     hot = strings.groupBy("g").agg(F.count("*").alias("n_strings")).where(F.col("n_strings") > HOT)
     cool = strings.join(hot, "g", "left")
     window = _first_of(_windows(cool.where("n_strings IS NOT NULL")), "s").select("key", F.col("start").alias("lo"), F.col("start").alias("hi"))
-    places = _firsts(cool.where("n_strings IS NULL").drop("n_strings")).unionByName(window)
-    places = places.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("firsts"))
-    full = everything.join(per_doc.withColumnRenamed("key", "g_key"), F.col("key") == F.col("g_key"), "left").join(
-        places.withColumnRenamed("key", "p_key"), F.col("key") == F.col("p_key"), "left")
+    places = _firsts(strings.join(hot, "g", "left_anti")).unionByName(window)
+    places = put(places.groupBy(F.col("key").alias("p_key")).agg(F.collect_list(F.struct("lo", "hi")).alias("firsts")), "places")
+    full = d.join(per_doc, F.col("key") == F.col("g_key"), "left").join(places, F.col("key") == F.col("p_key"), "left").join(
+        firsts.toDF("f1", "f2", "f_key"), (F.col("key") == F.col("f_key")) & (F.col("c1") == F.col("f1")) & (F.col("c2") == F.col("f2")), "left")
     names = ["doc_id", *carry, "bytes", "f_key", "gs", "firsts"]
     full = full.select(*[f"`{c}`" for c in names])
     schema = full.select("doc_id", *[f"`{c}`" for c in carry], "bytes").withColumn("spans", F.lit(None).cast("array<struct<start: bigint, stop: bigint>>")).schema

@@ -81,7 +81,8 @@ def test_collection():
 
 
 def test_remove_keeps_columns_and_whole_characters(spark):
-    t = "".join(random.Random(1).choice("éèàüñ") for _ in range(80))
+    rnd = random.Random(1)
+    t = "".join(rnd.choice("éèàüñ") for _ in range(80))
     rows = [(1, "x" + t, "en"), (2, "yy" + t + "z", "de"), (3, None, None), (4, "", "fr")]
     df = spark.createDataFrame([(d, x, lang, 5) for d, x, lang in rows], "doc_id bigint, text string, lang string, n_chars bigint")
     out = {r.doc_id: r for r in S.remove(df).collect()}
