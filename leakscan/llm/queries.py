@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, minhash, mixing, quality, suffix_dedup, token_file
+from . import bpe, cap_filters, chat, minhash, mixing, quality, suffix_dedup, token_file, toxicity, url_rules
 from .common import table
 
 QUERIES: dict = {}
@@ -30,6 +30,29 @@ def op1(spark, sf_dir):
     return d.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@_register("op2_url_rules")
+def op2(spark, sf_dir):
+    """Every page URL by fixed rules, else by rules mined from the labels of pages."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    # a page is labelled by the document of the same number
+    bad = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).alias("bad"))
+    labelled = url_rules.split(pages.select("page_id", "url")).join(bad, "page_id").select("tokens", "bad")
+    fixed = url_rules.fixed_rules(spark, [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")])
+    return url_rules.judge(pages, fixed, url_rules.mine(labelled)).select("page_id", "host", "path", "rule", "verdict")
+
+
+@_register("op3_toxicity")
+def op3(spark, sf_dir):
+    """Toxicity score of every text, learned from labels that are not held out."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_register("op4_cap_filters")
+def op4(spark, sf_dir):
+    """Links and components of all embeddings at cosine 0.95."""
+    return cap_filters.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @_register("op5_byte_bpe")
 def op5(spark, sf_dir):
     """Byte-level BPE ids of every text, and the bytes decoded from them."""
