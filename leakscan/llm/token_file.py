@@ -30,7 +30,7 @@ from .bpe import IdTable, groups, sums
 from .common import ship
 
 BLOCK_IDS = 1 << 18
-CACHE = 500_000
+CACHE = 900_000
 SAMPLE = 256
 MAGIC = b"EFTB"
 HEAD = struct.Struct("<4sHHIIQQqQQ")
