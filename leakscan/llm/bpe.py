@@ -31,7 +31,7 @@ from .common import ship
 NONE = np.int64(1 << 62)
 LONG = 512
 CELLS = 1 << 21
-CACHE = 700_000
+CACHE = 500_000
 GROUP_CHARS = 2_000_000
 
 
