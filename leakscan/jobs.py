@@ -42,10 +42,8 @@ def _with_model_score(msgs: DataFrame, model_path: str | None) -> DataFrame:
 
 
 def _existing_alert_keys(spark: SparkSession, alerts_path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(alerts_path).select(*KEYS).distinct()
-    except Exception:  # noqa: BLE001 - no alert table yet
-        return None
+    prior = SS.read_if_there(spark, alerts_path)
+    return None if prior is None else prior.select(*KEYS).distinct()
 
 
 def batch_job(spark: SparkSession, messages: str, alerts: str, sources: str | None = None, ocr: str | None = None,
@@ -53,8 +51,8 @@ def batch_job(spark: SparkSession, messages: str, alerts: str, sources: str | No
     msgs = _with_model_score(_read(spark, messages, fmt, MESSAGE_SCHEMA if fmt == "json" else None), model)
     if sources:
         msgs = msgs.join(_read(spark, sources, "parquet").select("chat_id").distinct(), "chat_id", "left_semi")
-    ocr_df = _read(spark, ocr, "parquet").select("message_id", "ocr_text") if ocr else None
-    cands = alert_candidates(msgs, ocr_df, _existing_alert_keys(spark, alerts))
+    ocr_df = _read(spark, ocr, "parquet").select(*KEYS, "ocr_text") if ocr else None
+    cands = alert_candidates(msgs, ocr_df, _existing_alert_keys(spark, alerts)).dropDuplicates(KEYS)
     write_alerts(build_alerts(cands, F.current_timestamp()), alerts, mode="append")
 
 
@@ -63,7 +61,7 @@ def stream_job(spark: SparkSession, messages: str, alerts: str, checkpoint: str,
                schema: str = MESSAGE_SCHEMA + ", model_score DECIMAL(5,3)"):
     stream = SS.read_message_stream(spark, messages, schema=schema)
     src = _read(spark, sources, "parquet") if sources else None
-    ocr_df = _read(spark, ocr, "parquet").select("message_id", "ocr_text") if ocr else None
+    ocr_df = _read(spark, ocr, "parquet").select(*KEYS, "ocr_text") if ocr else None
     return SS.start_scan_stream(stream, sources=src, ocr=ocr_df, alerts_path=alerts, dead_letter_path=dead_letter,
                                 checkpoint_path=checkpoint, trigger={"processingTime": trigger})
 

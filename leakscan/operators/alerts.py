@@ -17,7 +17,7 @@ from ..sources.registry import with_processed_flag
 from .analyze import scan_and_score
 
 
-def score_messages(msgs: DataFrame, ocr: DataFrame | None, engine: str = "native") -> DataFrame:
+def score_messages(msgs: DataFrame, ocr: DataFrame | None) -> DataFrame:
     """A1 without the processed flag: whole text (+ OCR text of media
     messages) -> findings, model score, risk score.
 
@@ -28,15 +28,16 @@ def score_messages(msgs: DataFrame, ocr: DataFrame | None, engine: str = "native
     """
     m = msgs.withColumn("text", message_text(F.col("text"), None))
     if ocr is not None:
-        o = ocr.select("message_id", F.col("ocr_text").alias("_ocr"))
-        media = (m.where(F.col("media")).join(o, "message_id", "left")
+        # message ids are per chat; one text per message, whatever the table holds
+        o = ocr.groupBy("chat_id", "message_id").agg(F.min("ocr_text").alias("_ocr"))
+        media = (m.where(F.col("media")).join(o, ["chat_id", "message_id"], "left")
                   .withColumn("ocr_raw", F.coalesce(F.col("_ocr"), F.lit(""))).drop("_ocr"))
         other = m.where(~F.coalesce(F.col("media"), F.lit(False))).withColumn("ocr_raw", F.lit(""))
         m = media.unionByName(other)
     else:
         m = m.withColumn("ocr_raw", F.lit(""))
     m = m.withColumn("full_text", compose_full_text(F.col("text"), F.col("ocr_raw")))
-    return scan_and_score(m, text_col="full_text", model_col="model_score", engine=engine)
+    return scan_and_score(m, text_col="full_text", model_col="model_score")
 
 
 def _response_columns(scored: DataFrame, alert) -> DataFrame:
@@ -50,12 +51,11 @@ def _response_columns(scored: DataFrame, alert) -> DataFrame:
         "sender")
 
 
-def analyze_messages(msgs: DataFrame, ocr: DataFrame | None, processed: DataFrame | None,
-                     engine: str = "native") -> DataFrame:
+def analyze_messages(msgs: DataFrame, ocr: DataFrame | None, processed: DataFrame | None) -> DataFrame:
     """A1 + A2: response rows for every message with findings, scores, OCR
     fields and the alert flag (score > 0.55 and key not processed).
 
-    ``ocr``: (message_id, ocr_text) for media messages with an image;
+    ``ocr``: (chat_id, message_id, ocr_text) for media messages with an image;
     ``processed``: (chat_id, message_id) keys already alerted.
     """
     # the existence join runs before the scan: if it shuffles, it moves the
@@ -64,17 +64,16 @@ def analyze_messages(msgs: DataFrame, ocr: DataFrame | None, processed: DataFram
         msgs = with_processed_flag(msgs, processed)
     else:
         msgs = msgs.withColumn("is_processed", F.lit(False))
-    scored = score_messages(msgs, ocr, engine)
+    scored = score_messages(msgs, ocr)
     return _response_columns(scored, (F.col("sx_score") > float(C.ALERT_THRESHOLD)) & ~F.col("is_processed"))
 
 
-def alert_candidates(msgs: DataFrame, ocr: DataFrame | None, processed: DataFrame | None,
-                     engine: str = "native") -> DataFrame:
+def alert_candidates(msgs: DataFrame, ocr: DataFrame | None, processed: DataFrame | None) -> DataFrame:
     """A2 for the alert path: rows scoring above 0.55 whose key is not
     processed. The score filter is narrow and comes first, so only the
     (few) candidates meet the processed keys in the anti join; the whole
     corpus is never shuffled for it."""
-    scored = score_messages(msgs, ocr, engine)
+    scored = score_messages(msgs, ocr)
     scored = scored.withColumn("_cand", F.col("sx_score") > float(C.ALERT_THRESHOLD))
     cands = keep_rows(scored, "_cand").drop("_cand")
     if processed is not None:

@@ -5,28 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .detect import spread_for_cpu, with_raw_findings
+from .detect import with_raw_findings
 from .findings import with_kept_findings
 from .scoring import final_score, model_score_col
 
 
-def scan_and_score(df: DataFrame, text_col: str = "text", model_col: str | None = "model_score",
-                   engine: str = "native") -> DataFrame:
+def scan_and_score(df: DataFrame, text_col: str = "text", model_col: str | None = "model_score") -> DataFrame:
     """Adds ``raw_findings``, ``findings`` (kept, by position), ``model_score_eff``
     (DECIMAL, 0 for blank text) and ``sx_score`` (DOUBLE, 3 dp).
-
-    ``engine='pandas'`` computes the raw findings with Python ``re`` inside
-    ``mapInPandas`` (same output); everything after it is shared.
     """
-    df = spread_for_cpu(df)
-    if engine == "native":
-        out = with_raw_findings(df, text_col)
-    elif engine == "pandas":
-        from .detect_pandas import with_raw_findings_pandas
-        out = with_raw_findings_pandas(df, text_col)
-    else:
-        raise ValueError(engine)
-    out = with_kept_findings(out)
+    out = with_kept_findings(with_raw_findings(df, text_col))
     model = F.col(model_col) if model_col else F.lit(None)
     out = out.withColumn("model_score_eff", model_score_col(model, F.col(text_col)))
     return out.withColumn("sx_score", final_score(F.col("findings"), F.col("model_score_eff"),

@@ -182,26 +182,6 @@ def with_raw_findings(df: DataFrame, text_col: str = "text", out_col: str = "raw
     return arrays.select(*base, (F.concat(*cols) if cols else empty_findings()).alias(out_col))
 
 
-def spread_for_cpu(df: DataFrame, keys=("chat_id", "message_id")) -> DataFrame:
-    """Give a CPU-heavy text scan at least one partition per core.
-
-    Large inputs already arrive in many splits and are left alone (no
-    shuffle). A small input that fits one parquet row group would run the
-    whole scan as one task, so it is hash-spread by its unique message key
-    (deterministic on retry, skew-free even when one chat is hot).
-    """
-    if df.isStreaming:
-        return df
-    try:
-        par = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= par:
-            return df
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): leave placement to Spark
-        return df
-    cols = [k for k in keys if k in df.columns]
-    return df.repartition(par, *cols) if cols else df.repartition(par)
-
-
 STEP_TYPE = ("array<struct<type:string,det:int,pos:int,raw:string,v:string,len_ok:boolean,wl_ok:boolean,"
              "ctx:string,boost:int,confidence:decimal(4,2),value:string,severity:decimal(4,2),priority:int>>")
 

@@ -9,7 +9,7 @@ from .. import catalog as C
 from ..operators import findings as FN
 from ..operators import scoring as SC
 from ..operators.analyze import scan_and_score
-from ..operators.detect import explode_fields, spread_for_cpu, with_finding_steps, with_raw_findings
+from ..operators.detect import explode_fields, with_finding_steps, with_raw_findings
 from . import oracle as O
 from .queries import REGISTRY, scan_source
 from .report_queries import ORACLES, reg
@@ -26,7 +26,7 @@ def _scored(spark, sf):
 @reg("scan_all", f"""{_AN}
 SELECT chat_id, message_id, type, CAST(pos AS BIGINT) AS position, value, CAST(confidence AS DOUBLE) AS confidence FROM rf""")
 def q_scan_all(spark, sf):
-    df = with_raw_findings(spread_for_cpu(scan_source(spark, sf)))
+    df = with_raw_findings(scan_source(spark, sf))
     return explode_fields(df, KEYS, "raw_findings", {
         "type": lambda e: e["type"], "position": lambda e: e["pos"].cast("bigint"), "value": lambda e: e["value"],
         "confidence": lambda e: e["confidence"].cast("double")})
@@ -40,7 +40,7 @@ KEYS = ["chat_id", "message_id"]
 
 
 def _steps(spark, sf, fields):
-    df = with_finding_steps(spread_for_cpu(scan_source(spark, sf)))
+    df = with_finding_steps(scan_source(spark, sf))
     base = {"type": lambda e: e["type"], "position": lambda e: e["pos"].cast("bigint")}
     return explode_fields(df, KEYS, "steps", {**base, **fields})
 
@@ -75,7 +75,7 @@ def q_boost(spark, sf):
 SELECT chat_id, message_id, type, value, CAST(confidence AS DOUBLE) AS confidence, CAST(severity AS DOUBLE) AS severity,
        CAST(pos AS BIGINT) AS position, CAST(priority AS BIGINT) AS priority FROM rf""")
 def q_struct(spark, sf):
-    df = with_raw_findings(spread_for_cpu(scan_source(spark, sf)))
+    df = with_raw_findings(scan_source(spark, sf))
     df = df.select(*KEYS, FN.public_findings(F.col("raw_findings")).alias("pub"))
     return explode_fields(df, KEYS, "pub", {
         "type": lambda e: e["type"], "value": lambda e: e["value"],
@@ -90,7 +90,7 @@ SELECT s.chat_id, s.message_id,
                  FROM rf r WHERE r.chat_id = s.chat_id AND r.message_id = s.message_id), '') AS ranked
 FROM scan_src s""")
 def q_rank(spark, sf):
-    df = with_raw_findings(spread_for_cpu(scan_source(spark, sf)))
+    df = with_raw_findings(scan_source(spark, sf))
     ranked = FN.rank_findings(F.col("raw_findings"))
     return df.select("chat_id", "message_id", F.array_join(F.transform(
         ranked, lambda f: F.concat(f["type"], F.lit("@"), f["pos"].cast("string"))), ",").alias("ranked"))
@@ -103,7 +103,7 @@ SELECT chat_id, message_id, type, CAST(pos AS BIGINT) AS position, CAST(confiden
 def q_dedup_type(spark, sf):
     """F8 alone: the best-ranked finding of each type in a message (partial
     min_by per task, one shuffle on the message key)."""
-    df = with_raw_findings(spread_for_cpu(scan_source(spark, sf)))
+    df = with_raw_findings(scan_source(spark, sf))
     ex = explode_fields(df, KEYS, "raw_findings", {
         "type": lambda e: e["type"], "v": lambda e: F.struct(e["pos"].alias("pos"), e["confidence"].alias("confidence")),
         "k": lambda e: F.struct(e["nrank"], e["nconf"], e["det"], e["pos"])})
@@ -120,7 +120,7 @@ SELECT chat_id, message_id, CAST(i AS BIGINT) AS idx, fl[i - 1].type AS type_a,
 FROM (SELECT chat_id, message_id, fl, unnest(range(2, len(fl) + 1)) AS i FROM lists) t""")
 def q_overlap(spark, sf):
     """F9 on each pair of neighbours in rank order (no all-pairs output)."""
-    df = with_raw_findings(spread_for_cpu(scan_source(spark, sf)))
+    df = with_raw_findings(scan_source(spark, sf))
     r = df.select("chat_id", "message_id", FN.rank_findings(F.col("raw_findings")).alias("r"))
     idx = F.when(F.size("r") >= 2, F.sequence(F.lit(2), F.size("r"))).otherwise(F.array().cast("array<int>"))
     pairs = F.transform(idx, lambda i: F.struct(
@@ -135,7 +135,7 @@ def q_overlap(spark, sf):
 SELECT chat_id, message_id, CAST(fold_ord AS BIGINT) AS fold_ord, type, CAST(pos AS BIGINT) AS position,
        CAST(confidence AS DOUBLE) AS confidence, value FROM kept""")
 def q_dedup(spark, sf):
-    df = with_raw_findings(spread_for_cpu(scan_source(spark, sf)))
+    df = with_raw_findings(scan_source(spark, sf))
     et = df.schema["raw_findings"].dataType.simpleString()
     folded = df.select("chat_id", "message_id", FN.dedup_fold(FN.rank_findings(F.col("raw_findings")), et).alias("k"))
     ex = explode_fields(folded, KEYS, "k", {
@@ -171,7 +171,7 @@ _TYPES_SQL = f"""{_AN}, types AS (SELECT DISTINCT type FROM rf UNION SELECT DIST
 
 def _types(spark, sf):
     from . import fixtures as FX
-    df = with_raw_findings(spread_for_cpu(scan_source(spark, sf)))
+    df = with_raw_findings(scan_source(spark, sf))
     t1 = explode_fields(df, [], "raw_findings", {"type": lambda e: e["type"]})
     t2 = FX.table(spark, sf, "events").select(F.col("event_type").alias("type"))
     return t1.union(t2).distinct()

@@ -153,10 +153,11 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attachment bytes of media messages: the UTF-8 bytes of the image's
-    turn-0 conversation text (image id = message id)."""
+    turn-0 conversation text (image id = message id), keyed by chat and message."""
     c = table(spark, sf_dir, "conversations").where(F.col("turn") == 0)
-    return c.select(F.col("conv_id").cast("bigint").alias("message_id"),
-                    F.encode(F.col("text"), "UTF-8").alias("content"))
+    c = c.select(F.col("conv_id").cast("bigint").alias("message_id"),
+                 F.encode(F.col("text"), "UTF-8").alias("content"))
+    return msgs(spark, sf_dir).select("chat_id", "message_id").join(c, "message_id").select("chat_id", "message_id", "content")
 
 
 def training(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,13 +209,14 @@ def ocr_for_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     att = attachment_bytes(m, attachments(spark, sf_dir)).where(F.col("content").isNotNull())
     imgs = att.select(F.col("message_id").alias("image_id"))
     best = best_ocr_text(imgs, ocr_candidates(spark, sf_dir), ocr_base(spark, sf_dir))
-    return best.select(F.col("image_id").alias("message_id"), "ocr_text")
+    # an image is named by its message id alone here; the chat comes from the message
+    return att.select("chat_id", "message_id").join(best, F.col("image_id") == F.col("message_id")).select("chat_id", "message_id", "ocr_text")
 
 
-def analyzed(spark: SparkSession, sf_dir: str, engine: str = "native") -> DataFrame:
+def analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.alerts import analyze_messages
     return analyze_messages(msgs(spark, sf_dir), ocr_for_messages(spark, sf_dir),
-                            processed_keys(spark, sf_dir), engine=engine)
+                            processed_keys(spark, sf_dir))
 
 
 def alert_created_at():

@@ -27,4 +27,3 @@ SELECT chat_id, message_id, CAST(pos AS BIGINT) AS position, v AS full_value, va
 FROM ({detector_select(_d, 'scan_src')}) f
 """
 
-ORACLES["scan_score_pandas_engine"] = ORACLES["scan_score"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..operators.analyze import scan_and_score
-from ..operators.detect import explode_fields, spread_for_cpu, with_raw_findings
+from ..operators.detect import explode_fields, with_raw_findings
 from . import fixtures as FX
 
 REGISTRY: dict = {}
@@ -45,20 +45,9 @@ def q_scan_score(spark, sf_dir):
                       F.col("sx_score"))
 
 
-@register("scan_score_pandas_engine")
-def q_scan_score_pandas(spark, sf_dir):
-    """F1 with the second engine (Python re in mapInPandas); same output as scan_score."""
-    out = scan_and_score(scan_source(spark, sf_dir), engine="pandas")
-    return out.select("chat_id", "message_id",
-                      F.size("raw_findings").cast("bigint").alias("n_raw"),
-                      F.size("findings").cast("bigint").alias("n_kept"),
-                      leaks_text().alias("leaks"),
-                      F.col("sx_score"))
-
-
 def _detect_query(det: C.Detector):
     def fn(spark, sf_dir):
-        df = with_raw_findings(spread_for_cpu(scan_source(spark, sf_dir)), detectors=[det])
+        df = with_raw_findings(scan_source(spark, sf_dir), detectors=[det])
         return explode_fields(df, ["chat_id", "message_id"], "raw_findings", {
             "position": lambda e: e["pos"].cast("bigint"), "full_value": lambda e: e["full"],
             "value": lambda e: e["value"], "confidence": lambda e: e["confidence"].cast("double")})

@@ -221,7 +221,7 @@ FROM msgs m LEFT JOIN ocr o ON o.message_id = m.message_id""")
 def q_compose(spark, sf):
     m = FX.msgs(spark, sf)
     o = FX.ocr_for_messages(spark, sf)
-    j = m.join(o, "message_id", "left")
+    j = m.join(o, ["chat_id", "message_id"], "left")
     ocr = F.when(F.col("media"), F.coalesce(F.col("ocr_text"), F.lit(""))).otherwise(F.lit(""))
     return j.select("chat_id", "message_id", T.compose_full_text(F.col("text"), ocr).alias("full_text"))
 
@@ -239,7 +239,7 @@ SELECT m.chat_id, m.message_id,
 FROM msgs m LEFT JOIN ocr o ON o.message_id = m.message_id""")
 def q_preview(spark, sf):
     m = FX.msgs(spark, sf)
-    j = m.join(FX.ocr_for_messages(spark, sf), "message_id", "left")
+    j = m.join(FX.ocr_for_messages(spark, sf), ["chat_id", "message_id"], "left")
     ocr = F.when(F.col("media"), F.coalesce(F.col("ocr_text"), F.lit(""))).otherwise(F.lit(""))
     return j.select("chat_id", "message_id", T.text_preview(T.compose_full_text(F.col("text"), ocr)).alias("text_preview"))
 

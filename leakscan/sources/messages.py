@@ -65,9 +65,9 @@ def chat_info(chats: DataFrame, chat_id: int) -> DataFrame:
 
 def attachment_bytes(msgs: DataFrame, attachments: DataFrame) -> DataFrame:
     """The photo bytes of media messages; under 100 bytes -> null."""
-    a = attachments.select("message_id", "content")
+    a = attachments.select("chat_id", "message_id", "content")
     return (msgs.where(F.col("media")).select("chat_id", "message_id")
-                .join(a, "message_id", "left")
+                .join(a, ["chat_id", "message_id"], "left")
                 .select("chat_id", "message_id",
                         F.when(F.octet_length("content") >= C.MIN_ATTACHMENT_BYTES, F.col("content")).alias("content")))
 

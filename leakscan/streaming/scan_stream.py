@@ -19,6 +19,7 @@ readStream (file source) -> micro-batch -> ``process_batch``:
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,12 +39,20 @@ def read_message_stream(spark: SparkSession, path: str, glob: str | None = None,
     return r.parquet(path)
 
 
-def _existing_keys(spark: SparkSession, alerts_path: str, batch_id: int) -> DataFrame | None:
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None if its folder is absent or holds no file yet. Any other
+    failure is raised: taking it for an empty table would write every alert again."""
     try:
-        prior = spark.read.parquet(alerts_path)
-    except Exception:  # noqa: BLE001 - no batch written yet
-        return None
-    if "batch_id" not in prior.columns:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def _existing_keys(spark: SparkSession, alerts_path: str, batch_id: int) -> DataFrame | None:
+    prior = read_if_there(spark, alerts_path)
+    if prior is None or "batch_id" not in prior.columns:
         return None
     return prior.where(F.col("batch_id") < batch_id).select(*KEYS).distinct()
 
@@ -76,28 +85,12 @@ def process_batch(batch: DataFrame, batch_id: int, *, sources: DataFrame | None,
     out.write.mode("overwrite").partitionBy("month").parquet(f"{alerts_path}/batch_id={batch_id}")
 
 
-def with_bounded_dedup(messages: DataFrame, horizon: str, batch_ts=None) -> DataFrame:
-    """R2 alternative with bounded state: drop repeated message keys seen
-    within ``horizon`` of event time (the parsed message date), using a
-    watermark; state older than the watermark is purged."""
-    from ..functions.text import parse_message_date
-    ts = batch_ts if batch_ts is not None else F.current_timestamp()
-    return (messages.withColumn("_event_ts", parse_message_date(F.col("date"), ts))
-                    .withWatermark("_event_ts", horizon)
-                    .dropDuplicatesWithinWatermark(KEYS)
-                    .drop("_event_ts"))
-
-
 def start_scan_stream(messages: DataFrame, *, sources: DataFrame | None, ocr: DataFrame | None,
                       alerts_path: str, dead_letter_path: str, checkpoint_path: str,
-                      trigger: dict | None = None, created_at=None, dedup_horizon: str | None = None):
+                      trigger: dict | None = None, created_at=None):
     """Start the stream. ``trigger`` defaults to a 5-minute processing
-    time (the reference polls every 5 minutes); tests use availableNow.
-    ``dedup_horizon`` (e.g. "7 days") adds the bounded-state key dedup on
-    the stream itself, before the once-ever check of each batch."""
+    time (the reference polls every 5 minutes); tests use availableNow."""
     trigger = trigger or {"processingTime": "5 minutes"}
-    if dedup_horizon:
-        messages = with_bounded_dedup(messages, dedup_horizon, created_at)
 
     def fn(df, i):
         process_batch(df, i, sources=sources, ocr=ocr, alerts_path=alerts_path,

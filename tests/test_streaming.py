@@ -40,13 +40,30 @@ def test_dead_letter(spark):
     assert ids and all(i % 97 == 0 for i in ids)
 
 
-def test_bounded_state_dedup_option(spark):
-    p = SQ._paths(spark, "wm")
-    SQ._land(spark, SF_SMALL, p["input"], copies=2)
-    stream = SS.read_message_stream(spark, p["input"], max_files_per_trigger=1, schema=SQ.STREAM_SCHEMA)
-    q = SS.start_scan_stream(stream, sources=None, ocr=None, alerts_path=p["alerts"], dead_letter_path=p["dead"],
-                             checkpoint_path=p["checkpoint"], trigger={"availableNow": True},
-                             created_at=F.lit(FX.BATCH_TS).cast("timestamp"), dedup_horizon="3650 days")
-    q.awaitTermination()
-    ks = keys(spark.read.parquet(p["alerts"]))
-    assert ks and len(ks) == len(set(ks))
+def test_old_and_undated_messages_lose_no_alert(spark):
+    p = SQ._paths(spark, "old")
+    SQ._land(spark, SF_SMALL, p["input"])
+    rows = spark.read.schema(SQ.STREAM_SCHEMA).parquet(p["input"])
+    want = keys(rows_alerts(spark, rows))
+    part = F.pmod(F.col("message_id"), F.lit(4))
+    for k in (1, 0, 3, 2):      # undated first, old ones last
+        d = rows.where(part == k).withColumn("date", F.when(part == 1, F.lit(None)).when(part == 2, F.lit("2001-01-01T00:00:00")).otherwise(F.col("date")))
+        d.coalesce(1).write.mode("append").parquet(p["input"] + "-parts")
+    stream = SS.read_message_stream(spark, p["input"] + "-parts", max_files_per_trigger=1, schema=SQ.STREAM_SCHEMA)
+    SS.start_scan_stream(stream, sources=None, ocr=None, alerts_path=p["alerts"], dead_letter_path=p["dead"],
+                         checkpoint_path=p["checkpoint"], trigger={"availableNow": True}).awaitTermination()
+    assert keys(spark.read.parquet(p["alerts"])) == want and want
+
+
+def rows_alerts(spark, rows):
+    from leakscan.operators.alerts import alert_candidates
+    return alert_candidates(rows.where("chat_id IS NOT NULL AND message_id IS NOT NULL"), None, None).dropDuplicates(SS.KEYS)
+
+
+def test_unreadable_alert_table_fails(spark):
+    import pytest
+    p = SQ._paths(spark, "bad")
+    spark.range(3).selectExpr("string(id) AS value").write.text(p["alerts"])
+    with pytest.raises(Exception):
+        SS.read_if_there(spark, p["alerts"]).count()
+    assert SS.read_if_there(spark, p["alerts"] + "-none") is None
