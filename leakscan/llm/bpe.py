@@ -30,9 +30,9 @@ from .common import ship
 
 NONE = np.int64(1 << 62)
 LONG = 512
-CELLS = 1 << 21
-CACHE = 500_000
-GROUP_CHARS = 2_000_000
+CELLS = 1 << 19
+CACHE = 250_000
+GROUP_CHARS = 1_000_000
 
 
 class PairTable:

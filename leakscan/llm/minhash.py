@@ -39,7 +39,7 @@ WORDS = 5
 K, ROWS = 320, 8
 BANDS = K // ROWS
 BLOCK_UNITS = 1_000_000
-CACHE = 500_000
+CACHE = 250_000
 RANK_BITS = 36
 
 
@@ -107,7 +107,7 @@ def signatures(units, counts, k: int = K):
     step = np.where(counts > 0, np.maximum(1, np.ceil(k * (np.log(k) + 2) / np.maximum(counts, 1))), 0).astype(np.int64)
     while len(todo):
         reps = counts[todo] * step[todo]
-        for a, b in _runs(reps, 1 << 21):
+        for a, b in _runs(reps, 1 << 19):
             part = todo[a:b]
             c, s = counts[part], step[part]
             own = np.concatenate([units[ends[d] - counts[d]:ends[d]] for d in part.tolist()])

@@ -34,7 +34,7 @@ from .common import put, ship
 REPORT = "said says quote quoted called wrote word term sagte schrieb wort zitat dit écrit mot citation dijo escribió palabra cita".split()
 ADDRESS = "you your youre du dich dir ihr tu te toi vous tú ti usted vosotros".split()
 WINDOW = 8
-CACHE = 500_000
+CACHE = 250_000
 FEATURES = ("hits", "strong", "near", "quoted", "density", "address", "kinds")
 
 
