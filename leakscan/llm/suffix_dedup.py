@@ -14,7 +14,8 @@ runs of windows with the same anchor (100 to 150 bytes of text) are the unit tha
    built column by column: each round puts one more symbol in front of every string and
    inserts the new suffixes into the Burrows-Wheeler transform and the common-prefix
    array, both rewritten front to back in sequential passes. Rows that share a prefix of 100
-   bytes are equal windows; the first place of each is kept.
+   bytes are equal windows; the first place of each is kept. A string that is alone at its anchor
+   needs no rounds: its windows all differ.
 5. Per document, the windows of repeated anchors that are not a first place are removed.
 
 A collection is about ``COLLECTION`` bytes. Strings of an anchor with more than ``HOT``
@@ -126,7 +127,12 @@ def collect(strings: list[bytes]):
         same = bwt[a] == bwt[b]
         low = np.zeros(len(t), np.uint16)
         if same.any():
-            low[same] = np.minimum.reduceat(np.append(lcp, 0), np.stack([a[same] + 1, b[same] + 1], 1).reshape(-1))[::2] + np.uint16(1)
+            # from the last pair to the first, so that what lies between two pairs is not read
+            first, last = a[same] + 1, b[same] + 1
+            down = np.argsort(-first)
+            least = np.empty(len(down), np.uint16)
+            least[down] = np.minimum.reduceat(np.append(lcp, np.uint8(0)), np.stack([first[down], last[down]], 1).reshape(-1))[::2]
+            low[same] = least + np.uint16(1)
         old = np.ones(m + len(order), bool)
         old[m + at] = False
         prefix, symbols = np.zeros(len(old), np.uint8), np.zeros(len(old), bwt.dtype)
@@ -254,14 +260,23 @@ def _firsts(strings: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        held: list = [], [], []
+        held: list = [], [], [], []
         size, last = 0, None
 
         def flush():
-            doc, lo, hi = first_places(held[0], np.array(held[1], np.int64), np.array(held[2], np.int64))
+            strings, (key, start, g) = list(held[0]), (np.array(h, np.int64) for h in held[1:])
             for h in held:
                 h.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc, lo, hi)], names=["key", "lo", "hi"])
+            # a string alone at its anchor: equal windows would have their smallest hash at
+            # different places, so all of its windows differ and stay
+            new = np.ones(len(g) + 1, bool)
+            new[1:-1] = g[1:] != g[:-1]
+            alone = new[:-1] & new[1:]
+            n = np.fromiter(map(len, strings), np.int64, len(strings))[alone] - LENGTH
+            out = [(key[alone], start[alone], start[alone] + n)]
+            if not alone.all():
+                out.append(first_places([strings[i] for i in np.flatnonzero(~alone).tolist()], key[~alone], start[~alone]))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], names=["key", "lo", "hi"])
 
         for b in batches:
             for g, s, key, start in zip(*(b.column(c).to_pylist() for c in ("g", "s", "key", "start"))):
@@ -269,7 +284,7 @@ def _firsts(strings: DataFrame) -> DataFrame:
                     yield flush()
                     size = 0
                 last, size = g, size + len(s)
-                for h, x in zip(held, (s, key, start)):
+                for h, x in zip(held, (s, key, start, g)):
                     h.append(x)
         if held[0]:
             yield flush()
