@@ -26,7 +26,7 @@ def _tokenizer(name: str) -> str:
 @_register("op1_token_file")
 def op1(spark, sf_dir):
     """Token-ID blocks with Elias-Fano boundaries, written and read back."""
-    d = token_file.write_and_read(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2)
+    d = token_file.write_and_read(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2, with_ids=False)
     return d.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

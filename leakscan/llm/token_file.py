@@ -202,8 +202,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
         "parquet.block.size", 8 << 20).parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, ids (array of int) of every document, from the blocks."""
+def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (array of int) of every
+    document, from the blocks."""
     import pyarrow as pa
     ship(spark)
     blocks = spark.read.parquet(path)
@@ -220,16 +221,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 wide = k.ids.astype("<u4")
                 raw = memoryview(wide.tobytes())
                 crc = [zlib.crc32(raw[4 * s:4 * e]) for s, e in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(k.doc_ids(), pa.int64()), pa.array(base + k.before + starts), pa.array(ends - starts), pa.array(crc, pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(wide.astype(np.int32)))],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                cols = {"doc_id": pa.array(k.doc_ids(), pa.int64()), "start": pa.array(base + k.before + starts),
+                        "n_tokens": pa.array(ends - starts), "ids_crc32": pa.array(crc, pa.int64())}
+                if with_ids:
+                    cols["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(wide.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    return blocks.join(F.broadcast(shards), "shard").select("data", "shard_start").mapInArrow(
-        run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>")
+    schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<int>" if with_ids else "")
+    return blocks.join(F.broadcast(shards), "shard").select("data", "shard_start").mapInArrow(run, schema)
 
 
-def write_and_read(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
+def write_and_read(docs: DataFrame, tokenizer: str, end_id: int = 2, with_ids: bool = True) -> DataFrame:
     path = scratch_path(docs.sparkSession, f"llm-tokens-{uuid.uuid4().hex}")
     write(docs, tokenizer, end_id, path)
-    return read(docs.sparkSession, path)
+    return read(docs.sparkSession, path, with_ids)
