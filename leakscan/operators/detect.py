@@ -74,6 +74,17 @@ _GATES = {
     "config_fragment": [_r("{", "- "), _r("}", "- ")],
 }
 
+# An address begins where its run of address characters begins, or where the last match
+# ended: from any later place of the run the same "@" and domain decide, so other starts are
+# skipped (a long run without a match is read once, not once per character).
+_RUN_START = r"(?:(?<![a-zA-Z0-9_.+-])|\G)"
+_FROM_RUN_START = {"email", "free_email_combo"}
+
+
+def scan_pattern(d: C.Detector) -> str:
+    return _RUN_START + d.java_pattern if d.name in _FROM_RUN_START else d.java_pattern
+
+
 # characters that (?iU) equates with a keyword letter but lower() does not map to it
 FOLD_PRE = ("İ", "i")
 FOLD_FROM = "ıſᲀᲁᲂᲃᲄᲅᲆ"
@@ -136,7 +147,7 @@ def detector_sql(d: C.Detector, text: str = "`text`") -> str:
     """
     wl = ", ".join(sql_str(w) for w in C.WHITELIST)
     len_ok = "TRUE" if d.name in C.SHORT_VALUE_TYPES else f"length(c.v) >= {C.MIN_VALUE_LENGTH}"
-    cand = (f"filter(transform({spans_sql(text, d.java_pattern)}, "
+    cand = (f"filter(transform({spans_sql(text, scan_pattern(d))}, "
             f"s -> named_struct('pos', s.pos, 'raw', s.raw, 'v', {ustrip_sql('s.raw')})), "
             f"c -> {len_ok} AND NOT lower(c.v) IN ({wl}))")
     start = f"greatest(0, c.pos - {C.CONTEXT_RADIUS})"
@@ -192,7 +203,7 @@ def detector_steps_sql(d: C.Detector, text: str = "`text`") -> str:
     masked value), before the filters drop anything."""
     wl = ", ".join(sql_str(w) for w in C.WHITELIST)
     len_ok = "TRUE" if d.name in C.SHORT_VALUE_TYPES else f"length(c.v) >= {C.MIN_VALUE_LENGTH}"
-    cand = (f"transform({spans_sql(text, d.java_pattern)}, "
+    cand = (f"transform({spans_sql(text, scan_pattern(d))}, "
             f"s -> named_struct('pos', s.pos, 'raw', s.raw, 'v', {ustrip_sql('s.raw')}))")
     start = f"greatest(0, c.pos - {C.CONTEXT_RADIUS})"
     end = f"least(_len, c.pos + length(c.raw) + {C.CONTEXT_RADIUS})"

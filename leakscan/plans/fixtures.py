@@ -13,7 +13,8 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Leak templates put in front of document texts, by doc_id % 20 (12..19: none)
+# Leak templates put in front of document texts, by doc_id % TEMPLATE_CYCLE (the rest: none)
+TEMPLATE_CYCLE = 24
 TEMPLATES = [
     "write to bob@corp.example.org today",
     "write to bob@mail.ru today",
@@ -27,6 +28,16 @@ TEMPLATES = [
     "тел. Петров Пётр Петрович 89161234567",
     "seed: apple apple apple apple apple apple apple apple apple apple apple apple",
     "пришли фото паспорта сотрудника",
+    "сумма 500100732259 руб",
+    "живу ул. Ленина, д. 5, кв. 7;",
+    "born 12.05.1990 ok",
+    "user pass hunter22 ok",
+    "Паспорт 4510 123456 сотрудника Иванов Иван Иванович, тел +7(916)123-45-67 мой логин: vasya пароль: qwerty123",
+    "наш иванов иван иванович дома;",
+    "вот Иванов Иван Иванович - паспорт у него",
+    "xx -----BEGIN RSA PRIVATE KEY-----\nAB\n-----END RSA PRIVATE KEY-----",
+    "- user: root",
+    "cfg {db_password: 'x'} end",
 ]
 BASE_TS = "2024-01-01 00:00:00"
 
@@ -36,7 +47,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _template_col(doc_id):
-    k = doc_id % 20
+    k = doc_id % TEMPLATE_CYCLE
     expr = None
     for i, t in enumerate(TEMPLATES):
         expr = F.when(k == i, F.lit(t)) if expr is None else expr.when(k == i, F.lit(t))

@@ -19,7 +19,7 @@ route from the Spark side.
 from __future__ import annotations
 
 from .. import catalog as C
-from .fixtures import BASE_TS, TEMPLATES
+from .fixtures import BASE_TS, TEMPLATE_CYCLE, TEMPLATES
 
 # --- RE2 building blocks ----------------------------------------------------
 WSI = r"\t\n\x0b\x0c\r\x1c-\x1f\x85\pZ"   # Python str.isspace() set (inner)
@@ -117,7 +117,7 @@ def msgs_sql() -> str:
            CAST(coalesce(l.toxic, 0) * 0.9 AS DECIMAL(5,3)) AS model_score
     FROM documents d
     LEFT JOIN labels l ON l.doc_id = d.doc_id
-    CROSS JOIN LATERAL (SELECT CASE d.doc_id % 20 {cases} END AS t) tm
+    CROSS JOIN LATERAL (SELECT CASE d.doc_id % {TEMPLATE_CYCLE} {cases} END AS t) tm
     """
 
 

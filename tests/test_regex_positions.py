@@ -4,6 +4,7 @@ import re
 import random
 
 from leakscan.catalog import DETECTORS
+from leakscan.operators.detect import scan_pattern
 from leakscan.functions.regex import OPEN, match_spans
 
 PIECES = ["Паспорт 4510 123456", "a@b.co ", "+7(916)123-45-67", " 10.1.2.3 ", "login: x password: yyyy ",
@@ -13,7 +14,7 @@ PIECES = ["Паспорт 4510 123456", "a@b.co ", "+7(916)123-45-67", " 10.1.2.
 
 def check(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
-    cols = [match_spans("t", d.java_pattern).alias(f"m{d.no}") for d in DETECTORS]
+    cols = [match_spans("t", scan_pattern(d)).alias(f"m{d.no}") for d in DETECTORS]
     for r in df.select("id", "t", *cols).collect():
         for d in DETECTORS:
             want = [(m.start(), m.group(0)) for m in re.finditer(d.pattern, r.t)]
