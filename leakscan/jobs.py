@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.alerts import alert_candidates, build_alerts
-from .operators.training import score_with_model
 from .sources.alert_store import write_alerts
 from .sources.messages import MESSAGE_SCHEMA
 from .sources.training_csv import load_model
@@ -34,13 +33,6 @@ def _read(spark: SparkSession, path: str, fmt: str, schema: str | None = None) -
     return r.format(fmt).load(path)
 
 
-def _with_model_score(msgs: DataFrame, model_path: str | None) -> DataFrame:
-    if "model_score" in msgs.columns:
-        return msgs
-    model = load_model(model_path) if model_path else None
-    return score_with_model(msgs, model).withColumn("model_score", F.col("model_score").cast("decimal(5,3)"))
-
-
 def _existing_alert_keys(spark: SparkSession, alerts_path: str) -> DataFrame | None:
     prior = SS.read_if_there(spark, alerts_path)
     return None if prior is None else prior.select(*KEYS).distinct()
@@ -48,22 +40,25 @@ def _existing_alert_keys(spark: SparkSession, alerts_path: str) -> DataFrame | N
 
 def batch_job(spark: SparkSession, messages: str, alerts: str, sources: str | None = None, ocr: str | None = None,
               model: str | None = None, fmt: str = "parquet") -> None:
-    msgs = _with_model_score(_read(spark, messages, fmt, MESSAGE_SCHEMA if fmt == "json" else None), model)
+    msgs = _read(spark, messages, fmt, MESSAGE_SCHEMA if fmt == "json" else None)
     if sources:
         msgs = msgs.join(_read(spark, sources, "parquet").select("chat_id").distinct(), "chat_id", "left_semi")
     ocr_df = _read(spark, ocr, "parquet").select(*KEYS, "ocr_text") if ocr else None
-    cands = alert_candidates(msgs, ocr_df, _existing_alert_keys(spark, alerts)).dropDuplicates(KEYS)
+    fitted = load_model(model) if model else None
+    cands = alert_candidates(msgs, ocr_df, _existing_alert_keys(spark, alerts), fitted).dropDuplicates(KEYS)
     write_alerts(build_alerts(cands, F.current_timestamp()), alerts, mode="append")
 
 
 def stream_job(spark: SparkSession, messages: str, alerts: str, checkpoint: str, dead_letter: str,
                sources: str | None = None, ocr: str | None = None, trigger: str = "5 minutes",
-               schema: str = MESSAGE_SCHEMA + ", model_score DECIMAL(5,3)"):
-    stream = SS.read_message_stream(spark, messages, schema=schema)
+               model: str | None = None):
+    """With ``model`` every message is scored by it; else the landed files bring ``model_score``."""
+    stream = SS.read_message_stream(spark, messages, schema=MESSAGE_SCHEMA + ("" if model else ", model_score DECIMAL(5,3)"))
     src = _read(spark, sources, "parquet") if sources else None
     ocr_df = _read(spark, ocr, "parquet").select(*KEYS, "ocr_text") if ocr else None
     return SS.start_scan_stream(stream, sources=src, ocr=ocr_df, alerts_path=alerts, dead_letter_path=dead_letter,
-                                checkpoint_path=checkpoint, trigger={"processingTime": trigger})
+                                checkpoint_path=checkpoint, trigger={"processingTime": trigger},
+                                model=load_model(model) if model else None)
 
 
 def main(argv=None) -> None:
@@ -83,13 +78,14 @@ def main(argv=None) -> None:
     s.add_argument("--dead-letter", required=True)
     s.add_argument("--sources")
     s.add_argument("--ocr")
+    s.add_argument("--model")
     s.add_argument("--trigger", default="5 minutes")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName(f"leakscan-{a.cmd}").getOrCreate()
     if a.cmd == "batch":
         batch_job(spark, a.messages, a.alerts, a.sources, a.ocr, a.model, a.format)
     else:
-        stream_job(spark, a.messages, a.alerts, a.checkpoint, a.dead_letter, a.sources, a.ocr, a.trigger).awaitTermination()
+        stream_job(spark, a.messages, a.alerts, a.checkpoint, a.dead_letter, a.sources, a.ocr, a.trigger, a.model).awaitTermination()
 
 
 if __name__ == "__main__":

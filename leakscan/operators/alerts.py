@@ -15,11 +15,14 @@ from ..functions.text import (compose_full_text, leaks_to_json, message_text, pa
                               safe_clean_text, sender_to_json, text_preview, truncate_words)
 from ..sources.registry import with_processed_flag
 from .analyze import scan_and_score
+from .training import score_with_model
 
 
-def score_messages(msgs: DataFrame, ocr: DataFrame | None) -> DataFrame:
+def score_messages(msgs: DataFrame, ocr: DataFrame | None, model=None) -> DataFrame:
     """A1 without the processed flag: whole text (+ OCR text of media
-    messages) -> findings, model score, risk score.
+    messages) -> findings, model score, risk score. Messages without a
+    column ``model_score`` are scored by ``model`` over text and OCR text
+    (no model: 0).
 
     Only media messages can carry OCR text, so only they take part in the
     OCR join (one shuffle of the media subset); all other messages stay in
@@ -37,6 +40,8 @@ def score_messages(msgs: DataFrame, ocr: DataFrame | None) -> DataFrame:
     else:
         m = m.withColumn("ocr_raw", F.lit(""))
     m = m.withColumn("full_text", compose_full_text(F.col("text"), F.col("ocr_raw")))
+    if "model_score" not in m.columns:
+        m = score_with_model(m, model, "full_text").withColumn("model_score", F.col("model_score").cast("decimal(5,3)"))
     return scan_and_score(m, text_col="full_text", model_col="model_score")
 
 
@@ -68,12 +73,12 @@ def analyze_messages(msgs: DataFrame, ocr: DataFrame | None, processed: DataFram
     return _response_columns(scored, (F.col("sx_score") > float(C.ALERT_THRESHOLD)) & ~F.col("is_processed"))
 
 
-def alert_candidates(msgs: DataFrame, ocr: DataFrame | None, processed: DataFrame | None) -> DataFrame:
+def alert_candidates(msgs: DataFrame, ocr: DataFrame | None, processed: DataFrame | None, model=None) -> DataFrame:
     """A2 for the alert path: rows scoring above 0.55 whose key is not
     processed. The score filter is narrow and comes first, so only the
     (few) candidates meet the processed keys in the anti join; the whole
     corpus is never shuffled for it."""
-    scored = score_messages(msgs, ocr)
+    scored = score_messages(msgs, ocr, model)
     scored = scored.withColumn("_cand", F.col("sx_score") > float(C.ALERT_THRESHOLD))
     cands = keep_rows(scored, "_cand").drop("_cand")
     if processed is not None:

@@ -19,7 +19,7 @@ from ..functions.text import text_length, word_count
 SEED = 42
 VALIDATION_SHARE = 0.15
 MAX_TOKENS = 128
-SPLIT_BUCKETS = 4096
+SPLIT_BUCKETS = 1 << 16
 
 
 def orient_score(is_leak_label, p, text) -> F.Column:
@@ -60,24 +60,27 @@ def stratified_split(df: DataFrame, key: str = "id", share: float = VALIDATION_S
     ordered by md5(seed || key); the first round(share * n_label) are
     validation rows.
 
-    A label can hold half the data, so the rank inside a label is not one
-    window over the label: rows are spread over ``buckets`` hash-prefix
-    buckets (the prefix keeps the md5 order), each bucket is ranked on its
-    own, and a small (labels x buckets) table of running counts gives each
-    bucket its offset.
+    No text is shuffled and no label is ranked as a whole (it can hold half
+    the data): counts of ``buckets`` hash-prefix buckets (the prefix keeps
+    the md5 order) name the one bucket of each label in which the cut
+    falls, the keys of that bucket alone are ranked, and every row is
+    compared with its label's cut, a table of one row per label. Rows of
+    equal key go to the same side.
     """
     h = F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string")))
-    digits = len(f"{buckets - 1:x}")  # hex digits of the md5 prefix (4096 -> 3)
-    x = df.withColumn("_h", h).withColumn("_b", F.conv(F.substring("_h", 1, digits), 16, 10).cast("int"))
-    counts = x.groupBy("label", "_b").agg(F.count(F.lit(1)).alias("_c"))
-    wl = Window.partitionBy("label").orderBy("_b")
-    offs = (counts.withColumn("_off", F.coalesce(F.sum("_c").over(wl.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-                  .withColumn("_n", F.sum("_c").over(Window.partitionBy("label")))
-                  .select("label", "_b", "_off", "_n"))
-    wb = Window.partitionBy("label", "_b").orderBy("_h", key)
-    ranked = x.join(F.broadcast(offs), ["label", "_b"]).withColumn("_r", F.col("_off") + F.row_number().over(wb))
-    k = F.round(F.col("_n") * F.lit(share)).cast("long")
-    return ranked.withColumn("is_validation", F.col("_r") <= k).drop("_h", "_b", "_off", "_n", "_r")
+    digits = len(f"{buckets - 1:x}")  # hex digits of the md5 prefix (65536 -> 4)
+    keys = df.select("label", F.struct(h.alias("h"), F.col(key).alias("k")).alias("_at")).withColumn(
+        "_b", F.conv(F.substring("_at.h", 1, digits), 16, 10).cast("int"))
+    counts = keys.groupBy("label", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy("label").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    need = F.round(F.sum("_c").over(Window.partitionBy("label")) * F.lit(share)).cast("long") - F.coalesce(F.sum("_c").over(before), F.lit(0))
+    edge = counts.withColumn("_need", need).where("_need BETWEEN 1 AND _c").select("label", "_b", "_need")
+    cut = (keys.join(edge, ["label", "_b"])
+               .withColumn("_r", F.row_number().over(Window.partitionBy("label", "_b").orderBy("_at")))
+               .where("_r = _need").select("label", F.col("_at").alias("_cut")))
+    x = df.join(cut, "label", "left")
+    low = F.struct(h.alias("h"), F.col(key).alias("k")) <= F.col("_cut")
+    return x.select(*df.columns, F.coalesce(low, F.lit(False)).alias("is_validation"))
 
 
 def build_features(df: DataFrame, score_col: str = "model_score") -> DataFrame:
@@ -113,25 +116,26 @@ def train_gbt(features: DataFrame, max_iter: int = 500, step_size: float = 0.05,
     return Pipeline(stages=[asm, gbt]).fit(features)
 
 
-def train_text_classifier(train: DataFrame, reg_params=(0.0, 0.01, 0.1), max_tokens: int = MAX_TOKENS,
+def train_text_classifier(train: DataFrame, reg_params=(0.0, 0.01, 0.1),
                           num_features: int = 1 << 18, max_iter: int = 50):
-    """M9 (re-aimed): tokens (<= 128) -> hashed TF -> IDF -> logistic
+    """M9 (re-aimed): tokens of the whole text -> hashed TF -> IDF -> logistic
     regression; the regParam with the best validation accuracy wins."""
-    from pyspark.ml import Pipeline
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF, IDF, SQLTransformer
 
     tok = SQLTransformer(statement=(
-        "SELECT *, slice(regexp_extract_all(lower(text), '(?U)[^\\\\s\\\\x1c-\\\\x1f]+', 0), 1, "
-        f"{max_tokens}) AS tokens FROM __THIS__"))
+        "SELECT *, regexp_extract_all(lower(text), '(?U)[^\\\\s\\\\x1c-\\\\x1f]+', 0) AS tokens FROM __THIS__"))
     tf = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features)
     idf = IDF(inputCol="tf", outputCol="features")
     fit_rows = train.where(~F.col("is_validation"))
     val_rows = train.where(F.col("is_validation"))
+    prep = Pipeline(stages=[tok, tf, idf]).fit(fit_rows)
+    features = prep.transform(fit_rows).select("label", "features")
     best, best_acc = None, -1.0
     for rp in reg_params:
         lr = LogisticRegression(labelCol="label", featuresCol="features", regParam=rp, maxIter=max_iter)
-        model = Pipeline(stages=[tok, tf, idf, lr]).fit(fit_rows)
+        model = PipelineModel(stages=[*prep.stages, lr.fit(features)])
         acc = accuracy(model.transform(val_rows)).first()["accuracy"] or 0.0
         if acc > best_acc:
             best, best_acc = model, acc
@@ -140,11 +144,13 @@ def train_text_classifier(train: DataFrame, reg_params=(0.0, 0.01, 0.1), max_tok
 
 def score_with_model(df: DataFrame, model, text_col: str = "text") -> DataFrame:
     """M2: model score column from any fitted pipeline with a ``probability``
-    output; no model -> score 0 (the reference's missing-model path)."""
+    output; no model -> score 0 (the reference's missing-model path). The
+    model reads a column ``text``; another ``text_col`` stands in for it."""
     if model is None:
         return df.withColumn("model_score", F.lit(0.0))
     from pyspark.ml.functions import vector_to_array
-    out = model.transform(df)
+    other = text_col != "text"
+    rows = df.withColumn("_own", F.col("text")).withColumn("text", F.coalesce(text_col, F.lit(""))) if other else df
     p1 = vector_to_array(F.col("probability"))[1]
-    keep = df.columns + ["model_score"]
-    return out.withColumn("model_score", orient_score(F.lit(True), p1, F.col(text_col))).select(*keep)
+    out = model.transform(rows).withColumn("model_score", orient_score(F.lit(True), p1, F.col(text_col)))
+    return out.select(*[F.col("_own").alias(c) if other and c == "text" else F.col(c) for c in df.columns], "model_score")

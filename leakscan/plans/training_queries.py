@@ -120,14 +120,14 @@ def q_read_csv(spark, sf):
 def q_gbt(spark, sf):
     """M8 on the features with the split's validation rows as early-stop set."""
     f = TR.stratified_split(_features(spark, sf))
-    model = TR.train_gbt(f, max_iter=20)
+    model = TR.train_gbt(f)
     return model.transform(f.where(F.col("is_validation"))).select("id", "label", F.col("prediction").cast("int"))
 
 
 @reg("train_text_classifier", None)
 def q_text_clf(spark, sf):
     s = TR.stratified_split(TR.clean_labels_strict(FX.training(spark, sf)))
-    model = TR.train_text_classifier(s, reg_params=(0.0, 0.1), max_iter=20)
+    model = TR.train_text_classifier(s)
     return model.transform(s.where(F.col("is_validation"))).select("id", "label", F.col("prediction").cast("int"))
 
 
@@ -135,7 +135,7 @@ def q_text_clf(spark, sf):
 def q_score_text(spark, sf):
     """M2: score every document with a trained text classifier."""
     s = TR.stratified_split(TR.clean_labels_strict(FX.training(spark, sf)))
-    model = TR.train_text_classifier(s, reg_params=(0.1,), max_iter=20)
+    model = TR.train_text_classifier(s)
     d = FX.table(spark, sf, "documents").select(F.col("doc_id").cast("bigint").alias("id"), "text")
     return TR.score_with_model(d, model)
 
@@ -144,7 +144,7 @@ def q_score_text(spark, sf):
 def q_save_load(spark, sf):
     """Save, load, and score with the loaded model."""
     s = TR.stratified_split(TR.clean_labels_strict(FX.training(spark, sf)))
-    model = TR.train_text_classifier(s, reg_params=(0.1,), max_iter=20)
+    model = TR.train_text_classifier(s)
     path = scratch_path(spark, f"model-{uuid.uuid4().hex}")
     TC.save_model(model, path)
     loaded = TC.load_model(path)

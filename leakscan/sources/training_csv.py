@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,9 +54,13 @@ def save_model(model, path: str) -> None:
 
 
 def load_model(path: str):
-    """Load a fitted pipeline; a missing model gives None (scores 0)."""
+    """Load a fitted pipeline; an absent model gives None (scores 0), an
+    unreadable one is an error."""
     from pyspark.ml import PipelineModel
     try:
-        return PipelineModel.load(path)
-    except Exception:  # noqa: BLE001 - absent or unreadable model: the zero-score path
-        return None
+        SparkSession.active().read.text(f"{path}/metadata")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return PipelineModel.load(path)

@@ -27,6 +27,7 @@ from ..operators.alerts import alert_candidates, build_alerts
 from ..sources.messages import MESSAGE_SCHEMA
 
 KEYS = ["chat_id", "message_id"]
+BATCH_TIME = "_batch_time"
 
 
 def read_message_stream(spark: SparkSession, path: str, glob: str | None = None,
@@ -58,9 +59,15 @@ def _existing_keys(spark: SparkSession, alerts_path: str, batch_id: int) -> Data
 
 
 def process_batch(batch: DataFrame, batch_id: int, *, sources: DataFrame | None, ocr: DataFrame | None,
-                  alerts_path: str, dead_letter_path: str, created_at=None) -> None:
-    """One micro-batch (also callable on a static DataFrame for replays)."""
+                  alerts_path: str, dead_letter_path: str, created_at=None, model=None) -> None:
+    """One micro-batch (also callable on a static DataFrame for replays). Without
+    ``created_at`` the alerts carry the batch's own time, which a replay repeats."""
     spark = batch.sparkSession
+    if BATCH_TIME in batch.columns:
+        if created_at is None:
+            at = batch.select(BATCH_TIME).first()
+            created_at = F.lit(at[0]) if at else None
+        batch = batch.drop(BATCH_TIME)
     bad = batch.where(F.col("chat_id").isNull() | F.col("message_id").isNull())
     good = batch.where(F.col("chat_id").isNotNull() & F.col("message_id").isNotNull())
     (bad.withColumn("batch_id", F.lit(batch_id))
@@ -70,7 +77,7 @@ def process_batch(batch: DataFrame, batch_id: int, *, sources: DataFrame | None,
     ts = created_at if created_at is not None else F.current_timestamp()
     # duplicates only matter among alert candidates: deduplicate those (few)
     # instead of shuffling the whole micro-batch with its texts
-    cands = alert_candidates(good, ocr, None).dropDuplicates(KEYS)
+    cands = alert_candidates(good, ocr, None, model).dropDuplicates(KEYS)
     alerts = build_alerts(cands, ts)
     prior = _existing_keys(spark, alerts_path, batch_id)
     if prior is not None:
@@ -87,16 +94,18 @@ def process_batch(batch: DataFrame, batch_id: int, *, sources: DataFrame | None,
 
 def start_scan_stream(messages: DataFrame, *, sources: DataFrame | None, ocr: DataFrame | None,
                       alerts_path: str, dead_letter_path: str, checkpoint_path: str,
-                      trigger: dict | None = None, created_at=None):
+                      trigger: dict | None = None, created_at=None, model=None):
     """Start the stream. ``trigger`` defaults to a 5-minute processing
-    time (the reference polls every 5 minutes); tests use availableNow."""
+    time (the reference polls every 5 minutes); tests use availableNow.
+    ``model`` scores messages that bring no ``model_score``."""
     trigger = trigger or {"processingTime": "5 minutes"}
 
     def fn(df, i):
         process_batch(df, i, sources=sources, ocr=ocr, alerts_path=alerts_path,
-                      dead_letter_path=dead_letter_path, created_at=created_at)
+                      dead_letter_path=dead_letter_path, created_at=created_at, model=model)
 
-    return (messages.writeStream.foreachBatch(fn)
+    # in a stream this is the time logged with the batch's offsets
+    return (messages.withColumn(BATCH_TIME, F.current_timestamp()).writeStream.foreachBatch(fn)
             .option("checkpointLocation", checkpoint_path)
             .trigger(**trigger).start())
 
