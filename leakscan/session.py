@@ -35,15 +35,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def _one_machine(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the session.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is
-    used as is. Only when it is unset (tests, local runs) a fresh local
-    folder is made.
+    used as is; without it the call fails, as no machine-local folder is
+    shared. Only in local mode (tests) a fresh local folder is made.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not _one_machine(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="leakscan-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -73,8 +80,9 @@ def ship_package(spark: SparkSession) -> None:
     import tempfile
     pkg = os.path.dirname(os.path.abspath(__file__))
     target = scratch_path(spark, f"pyfiles-{uuid.uuid4().hex}")
-    if "://" in target and not target.startswith("file:"):
-        # addPyFile reads a driver-side file and serves it to the executors
+    if not target.startswith("file:") and ("://" in target or not _one_machine(spark)):
+        # addPyFile reads a driver-side file and serves it to the executors; without a
+        # scheme the folder lies in the cluster's default file system
         local = tempfile.mkdtemp(prefix="leakscan-pyfiles-")
     else:
         local = target[len("file:"):] if target.startswith("file:") else target
