@@ -1,7 +1,8 @@
 """Repeated passages by column-wise construction of multi-document suffix collections.
 
 A byte is removed if a string of ``LENGTH`` bytes that covers it also starts earlier (in a
-document of smaller id, or earlier in the same one). Windows of that length are grouped by their
+document of smaller id, or earlier in the same one; of different texts with one id, or without any,
+in the one of smaller hash). Windows of that length are grouped by their
 anchor: the smallest hash among the window's 50-byte strings. Equal windows have equal anchors, so
 runs of windows with the same anchor (100 to 150 bytes of text) are the unit that travels:
 
@@ -22,9 +23,9 @@ A collection is about ``COLLECTION`` bytes. Strings of an anchor with more than
 different strings are cut into their windows, which meet by their own bytes instead (the
 column-wise construction of one window alone is its grouping), so no task gathers them.
 
-Defined results: null texts are empty; null doc_ids come last; rows that share a doc_id count
-as one document at the same places, so repeated rows give equal results; texts under 100 bytes
-lose nothing; extra columns are kept by ``remove`` and ignored otherwise; empty tables give
+Defined results: null texts are empty; null doc_ids come last; rows that share a doc_id and the
+text count as one document, so repeated rows give equal results; different texts that share a
+doc_id, or have none, are documents of their own; texts under 100 bytes lose nothing; extra columns are kept by ``remove`` and ignored otherwise; empty tables give
 empty results.
 """
 
@@ -176,40 +177,41 @@ def first_places(strings: list[bytes], docs, starts):
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """(g, c1, key, n): the different anchors of every document, with its text's hash and their number."""
+    """(g, c1, c2, key, n): the different anchors of every document, with its text's hashes and their number."""
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 64):
-                c1, keys, texts = (b.column(c)[lo:lo + 64] for c in ("c1", "key", "bytes"))
+                *own, texts = (b.column(c)[lo:lo + 64] for c in ("c1", "c2", "key", "bytes"))
                 found = [np.unique(runs(t)[2], return_counts=True) for t in texts.to_pylist()]
                 size = [len(g) for g, _ in found]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([g for g, _ in found])), pa.array(np.repeat(c1.to_numpy(zero_copy_only=False), size)),
-                     pa.array(np.repeat(keys.to_numpy(zero_copy_only=False), size)), pa.array(np.concatenate([n for _, n in found]))],
-                    names=["g", "c1", "key", "n"])
+                    [pa.array(np.concatenate([g for g, _ in found])), *[pa.array(np.repeat(x.to_numpy(zero_copy_only=False), size)) for x in own],
+                     pa.array(np.concatenate([n for _, n in found]))],
+                    names=["g", "c1", "c2", "key", "n"])
 
-    return docs.select("c1", "key", "bytes").mapInArrow(run, "g bigint, c1 bigint, key bigint, n bigint")
+    return docs.select("c1", "c2", "key", "bytes").mapInArrow(run, "g bigint, c1 bigint, c2 bigint, key bigint, n bigint")
 
 
 def _repeated(seen: DataFrame) -> DataFrame:
-    """(g, key): anchors that come twice in a text or in different texts, for the first document of
+    """(g, key, c1, c2): anchors that come twice in a text or in different texts, for the first document of
     each text. The rows of an anchor stream by, sorted; a task holds one batch."""
     import pyarrow as pa
 
     def run(batches):
-        held = [np.zeros(0, np.int64)] * 4
+        held = [np.zeros(0, np.int64)] * 5
+        names = ["g", "key", "c1", "c2"]
 
         def lead(cols, done):
-            """First row of each (g, c1) whose g has several of them or a count over one; the
-            rows of the last g stay, one per c1, unless all are done."""
-            g, c, key, n = cols
+            """First row of each (g, c1, c2) whose g has several of them or a count over one; the
+            rows of the last g stay, one per text, unless all are done."""
+            g, key, c, c2, n = cols
             first = np.ones(len(g), bool)
-            first[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+            first[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1]) | (c2[1:] != c2[:-1])
             start = np.flatnonzero(first)
             top = np.maximum.reduceat(n, start) if len(start) else n
-            g, c, key, n = g[first], c[first], key[first], top
+            g, key, c, c2, n = g[first], key[first], c[first], c2[first], top
             new = np.ones(len(g), bool)
             new[1:] = g[1:] != g[:-1]
             group = np.cumsum(new) - 1
@@ -221,22 +223,23 @@ def _repeated(seen: DataFrame) -> DataFrame:
                 # known to be repeated: all but the newest row can go, which keeps the mark
                 out = ok.copy()
                 out[-1] = False
-                return (g[out], key[out]), [x[-1:] for x in (g, c, key, np.maximum(n, 2))]
+                return [x[out] for x in (g, key, c, c2)], [x[-1:] for x in (g, key, c, c2, np.maximum(n, 2))]
             ok[last:] = False
-            return (g[ok], key[ok]), [x[last:] for x in (g, c, key, n)]
+            return [x[ok] for x in (g, key, c, c2)], [x[last:] for x in (g, key, c, c2, n)]
 
         for b in batches:
-            cols = [np.concatenate([h, b.column(k).to_numpy(zero_copy_only=False)]) for h, k in zip(held, ("g", "c1", "key", "n"))]
-            (g, key), held = lead(cols, False)
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(key)], names=["g", "key"])
-        (g, key), _ = lead(held, True)
-        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(key)], names=["g", "key"])
+            cols = [np.concatenate([h, b.column(k).to_numpy(zero_copy_only=False)]) for h, k in zip(held, (*names, "n"))]
+            rows, held = lead(cols, False)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=names)
+        rows, _ = lead(held, True)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=names)
 
-    return seen.repartition("g").sortWithinPartitions("g", "c1", "key").mapInArrow(run, "g bigint, key bigint")
+    return seen.repartition("g").sortWithinPartitions("g", "c1", "c2", "key").mapInArrow(run, "g bigint, key bigint, c1 bigint, c2 bigint")
 
 
 def _strings(hits: DataFrame) -> DataFrame:
-    """(g, s, key, start): the runs of repeated anchors, once per document and string."""
+    """(g, s, key, start): the runs of repeated anchors, once per text and string; ``key`` is the
+    number of the text from here on."""
     import pyarrow as pa
 
     def run(batches):
@@ -307,25 +310,27 @@ def _windows(strings: DataFrame) -> DataFrame:
 
 def spans(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """``docs`` with ``bytes`` and ``spans`` (array of struct<start, stop>: the maximal removed runs of
-    bytes). The texts are scanned where they lie and cross the cluster twice by doc_id: to meet
+    bytes). The texts are scanned where they lie and cross the cluster twice by doc_id and hash: to meet
     their repeated anchors, and their first places."""
     import pyarrow as pa
     ship(docs.sparkSession)
     carry = carry or []
     d = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("key"), F.coalesce("text", F.lit("")).alias("text"), "doc_id", *[f"`{c}`" for c in carry])
     d = d.withColumns({"c1": F.xxhash64("text"), "c2": F.xxhash64(F.lit(7), "text"), "bytes": F.col("text").cast("binary")}).drop("text")
-    firsts = put(d.groupBy("c1", "c2").agg(F.min("key").alias("f_key")), "firsts")
-    per_doc = put(_repeated(_scan(d)).groupBy(F.col("key").alias("g_key")).agg(F.collect_set("g").alias("gs")), "anchors")
-    hits = d.select("key", "bytes", "c1", "c2").join(per_doc, F.col("key") == F.col("g_key")).join(
-        firsts.toDF("f1", "f2", "f_key"), (F.col("key") == F.col("f_key")) & (F.col("c1") == F.col("f1")) & (F.col("c2") == F.col("f2")))
+    # different texts, numbered by the id they come with first; a number is one text's alone, ids need not be
+    firsts = d.groupBy("c1", "c2").agg(F.min("key").alias("f_key")).orderBy("f_key", "c1", "c2").withColumn("no", F.monotonically_increasing_id())
+    firsts = put(firsts.toDF("f1", "f2", "f_key", "no"), "firsts")
+    per_doc = put(_repeated(_scan(d)).groupBy(F.col("key").alias("g_key"), F.col("c1").alias("g1"), F.col("c2").alias("g2")).agg(F.collect_set("g").alias("gs")), "anchors")
+    text = (F.col("f_key") == F.col("g_key")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2"))
+    row = (F.col("key") == F.col("f_key")) & (F.col("c1") == F.col("f1")) & (F.col("c2") == F.col("f2"))
+    hits = d.select("key", "bytes", "c1", "c2").join(firsts.join(per_doc, text), row).select(F.col("no").alias("key"), "bytes", "gs")
     strings = put(_first_of(_strings(hits), "g", "s"), "strings")
     hot = strings.groupBy("g").agg(F.count("*").alias("n_strings")).where(F.col("n_strings") > HOT)
     cool = strings.join(hot, "g", "left")
     window = _first_of(_windows(cool.where("n_strings IS NOT NULL")), "s").select("key", F.col("start").alias("lo"), F.col("start").alias("hi"))
     places = _firsts(strings.join(hot, "g", "left_anti")).unionByName(window)
     places = put(places.groupBy(F.col("key").alias("p_key")).agg(F.collect_list(F.struct("lo", "hi")).alias("firsts")), "places")
-    full = d.join(per_doc, F.col("key") == F.col("g_key"), "left").join(places, F.col("key") == F.col("p_key"), "left").join(
-        firsts.toDF("f1", "f2", "f_key"), (F.col("key") == F.col("f_key")) & (F.col("c1") == F.col("f1")) & (F.col("c2") == F.col("f2")), "left")
+    full = d.join(firsts.join(per_doc, text, "left").join(places, F.col("no") == F.col("p_key"), "left"), row, "left")
     names = ["doc_id", *carry, "bytes", "f_key", "gs", "firsts"]
     full = full.select(*[f"`{c}`" for c in names])
     schema = full.select("doc_id", *[f"`{c}`" for c in carry], "bytes").withColumn("spans", F.lit(None).cast("array<struct<start: bigint, stop: bigint>>")).schema

@@ -88,3 +88,33 @@ def test_remove_keeps_columns_and_whole_characters(spark):
     out = {r.doc_id: r for r in S.remove(df).collect()}
     assert S.remove(df).columns == df.columns
     assert out[1].text == "x" + t and out[2].text == "yyz" and out[2].n_chars == 3 and out[3].text is None and out[4].text == ""
+
+
+def test_different_texts_with_one_id_or_none(spark):
+    rnd = random.Random(3)
+
+    def own(n):
+        return "".join(rnd.choice("abcdefgh ") for _ in range(n))
+
+    p, q = own(150), own(130)
+    rows = []
+    for d in (None, 7):         # the long text's passage starts where the short one has ended
+        rows += [(d, own(500) + p + own(350)), (d, own(60) + p + own(90)), (d, own(200) + q), (d, own(200) + q + own(5)), (d, q + own(40) + q)]
+    rows += [rows[0], rows[6], (9, rows[2][1]), (3, own(20) + q)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    key = df.selectExpr("coalesce(doc_id, 9223372036854775807) AS d", "xxhash64(text) AS c1", "xxhash64(7, text) AS c2", "text").collect()
+    by = [((r.d, r.c1, r.c2), r.text.encode()) for r in key]
+    first = {}
+    for d, b in by:
+        for i in range(len(b) - 99):
+            first[b[i:i + 100]] = min(first.get(b[i:i + 100], (d, i)), (d, i))
+    exp = []
+    for d, b in by:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 99):
+            if first[b[i:i + 100]] < (d, i):
+                gone[i:i + 100] = True
+        exp.append((None if d[0] == S.LAST else d[0], hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest(), int(gone.sum())))
+    got = [(r.doc_id, r.kept_sha256, r.n_removed) for r in S.digests(S.spans(df)).collect()]
+    assert sorted(got, key=repr) == sorted(exp, key=repr)
+    assert sum(n for *_, n in exp) > 1000
