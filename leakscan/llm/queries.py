@@ -34,9 +34,9 @@ def op1(spark, sf_dir):
 def op2(spark, sf_dir):
     """Every page URL by fixed rules, else by rules mined from the labels of pages."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
-    # a page is labelled by the document of the same number
-    bad = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).alias("bad"))
-    labelled = url_rules.split(pages.select("page_id", "url")).join(bad, "page_id").select("tokens", "bad")
+    # a page is labelled by the document whose number stands in its URL
+    bad = labels.where("quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
+    labelled = url_rules.document_number(url_rules.split(pages.select("url"))).join(bad, "doc_id").select("tokens", "bad")
     fixed = url_rules.fixed_rules(spark, [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")])
     return url_rules.judge(pages, fixed, url_rules.mine(labelled)).select("page_id", "host", "path", "rule", "verdict")
 

@@ -55,6 +55,12 @@ def split(urls: DataFrame) -> DataFrame:
     return d.withColumn("tokens", F.when((F.col("host") != "") & F.col("url").isNotNull(), tokens).otherwise(F.array().cast("array<string>")))
 
 
+def document_number(urls: DataFrame) -> DataFrame:
+    """Adds doc_id to rows with a ``path``: the number that its last segment is, before any ending;
+    null if there is none."""
+    return urls.withColumn("doc_id", F.regexp_extract("path", r"/([0-9]+)(\.[A-Za-z]+)?/?$", 1).try_cast("bigint"))
+
+
 def mine(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     """``labelled`` (tokens, bad) -> rules: tokens, confidence, support, lift, head (rarest token)."""
     from pyspark.ml.fpm import FPGrowth

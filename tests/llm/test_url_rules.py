@@ -61,3 +61,19 @@ def test_no_labels_and_registered_query(spark):
     for r in rows:
         assert (r.host, r.path) == parts(pages[r.page_id]) and r.rule == rule(r.host, r.path)[0]
         assert r.rule is None or r.verdict == rule(r.host, r.path)[1]
+
+
+def test_pages_are_labelled_by_the_number_in_their_url(spark, tmp_path):
+    ends = ["", "/", ".html", "?page=2&ref=x", "#top"]
+    hosts = {n: "cheap" if n % 5 == 0 else "site" for n in range(400)}
+    pages = [(k, f"http://{hosts[k * 7 % 400]}.net/it/{k * 7 % 400}{ends[k // 3 % 5]}") for k in range(400)]
+    pages += [(400, "http://cheap.net/it/"), (401, "http://site.net/it/99999999999999999999"), (402, None)]
+    labels = [(n, int(hosts[(n * 3 + 1) % 400 if n > 399 else n] != "cheap"), 0) for n in range(403)]
+    # page ids in another order, so that the document of the page's own number says nothing
+    spark.createDataFrame([((i * 3) % 403, u) for i, u in pages], "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = queries.QUERIES["op2_url_rules"](spark, str(tmp_path)).collect()
+    assert len(out) == 403
+    assert all(r.verdict == ("block" if r.host == "cheap.net" else "allow") for r in out)
+    numbers = U.document_number(spark.createDataFrame([("/en/12.html",), ("/en/7/",), ("/3",), ("/en",), ("",), ("/a9",), ("/99999999999999999999",)], "path string"))
+    assert [r.doc_id for r in numbers.collect()] == [12, 7, 3, None, None, None, None]
