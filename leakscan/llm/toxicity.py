@@ -186,7 +186,7 @@ class Scorer:
 def training_labels(labels: DataFrame, tox: Toxicity = Toxicity()) -> DataFrame:
     """doc_id, toxic of the rows that may be learned from, about ``max_labels`` at most."""
     d = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = min(1.0, tox.max_labels / max(1, labels.count()))
+    share = min(1.0, tox.max_labels / max(1, d.count()))
     return d.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(share * (1 << 32)))
 
 
@@ -195,7 +195,8 @@ def held_out(col: str):
 
 
 def learn_lexicon(docs: DataFrame, train: DataFrame, tox: Toxicity = Toxicity()) -> list[tuple[str, float]]:
-    """Terms and weights (log odds), the strongest first: ``max_terms`` at most."""
+    """Terms and weights (log odds), the strongest first (of equal ones the most frequent):
+    ``max_terms`` at most."""
     # training_labels bounds the broadcast
     d = docs.join(F.broadcast(train), "doc_id").select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0))).alias("w"))
     sizes = train.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
@@ -205,7 +206,7 @@ def learn_lexicon(docs: DataFrame, train: DataFrame, tox: Toxicity = Toxicity())
     words = d.where("length(w) BETWEEN 3 AND 40").groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     odds = ((F.col("t") + 0.5) / (bad + 1)) / ((F.col("c") + 0.5) / (good + 1))
     words = words.where(F.col("t") >= max(tox.min_docs, int(tox.min_share * bad))).withColumn("odds", odds).where(F.col("odds") >= tox.min_odds)
-    return [(r.w, float(np.log(r.odds))) for r in words.orderBy(F.desc("t"), "w").limit(tox.max_terms).collect()]
+    return [(r.w, float(np.log(r.odds))) for r in words.orderBy(F.desc("odds"), F.desc("t"), "w").limit(tox.max_terms).collect()]
 
 
 def features(docs: DataFrame, lexicon: list[tuple[str, float]]) -> DataFrame:

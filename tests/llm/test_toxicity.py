@@ -65,3 +65,15 @@ def test_edges(spark):
     out = T.score(edge_docs(spark), labels).collect()
     assert len(out) == 15 and all(r.score == 0 and r.predicted == 0 for r in out)
     assert T.score(empty_docs(spark), labels).count() == 0
+
+
+def test_strongest_terms_and_share_of_usable_labels(spark):
+    # "topic" is in all toxic texts and some clean ones, "scumbag" in a few toxic ones only
+    rows = [(k, 1, "topic word" + (" scumbag" if k < 8 else "")) for k in range(40)] + [(k, 0, "word" + (" topic" if k % 20 == 0 else "")) for k in range(40, 400)]
+    docs = spark.createDataFrame([(k, t) for k, _, t in rows], "doc_id bigint, text string")
+    train = spark.createDataFrame([(k, y) for k, y, _ in rows], "doc_id bigint, toxic int")
+    assert [w for w, _ in T.learn_lexicon(docs, train)] == ["scumbag", "topic"]
+    assert [w for w, _ in T.learn_lexicon(docs, train, T.Toxicity(max_terms=1))] == ["scumbag"]
+    labels = spark.createDataFrame([(k, k % 2 if k < 100 else None) for k in range(5000)], "doc_id bigint, toxic int")
+    usable = [k for k in range(100) if zlib.crc32(str(k).encode()) % 5]
+    assert sorted(r.doc_id for r in T.training_labels(labels, T.Toxicity(max_labels=100)).collect()) == usable
