@@ -36,7 +36,8 @@ def score_messages(msgs: DataFrame, ocr: DataFrame | None, model=None) -> DataFr
         media = (m.where(F.col("media")).join(o, ["chat_id", "message_id"], "left")
                   .withColumn("ocr_raw", F.coalesce(F.col("_ocr"), F.lit(""))).drop("_ocr"))
         other = m.where(~F.coalesce(F.col("media"), F.lit(False))).withColumn("ocr_raw", F.lit(""))
-        m = media.unionByName(other)
+        # the scan is planned once, after the union, and not once per branch
+        m = finished_rows(media.unionByName(other))
     else:
         m = m.withColumn("ocr_raw", F.lit(""))
     m = m.withColumn("full_text", compose_full_text(F.col("text"), F.col("ocr_raw")))
@@ -58,7 +59,8 @@ def _response_columns(scored: DataFrame, alert) -> DataFrame:
 
 def analyze_messages(msgs: DataFrame, ocr: DataFrame | None, processed: DataFrame | None) -> DataFrame:
     """A1 + A2: response rows for every message with findings, scores, OCR
-    fields and the alert flag (score > 0.55 and key not processed).
+    fields and the alert flag (score > 0.55 and key not processed). The
+    rows are finished: predicates on them don't reach into the scan.
 
     ``ocr``: (chat_id, message_id, ocr_text) for media messages with an image;
     ``processed``: (chat_id, message_id) keys already alerted.
@@ -70,7 +72,7 @@ def analyze_messages(msgs: DataFrame, ocr: DataFrame | None, processed: DataFram
     else:
         msgs = msgs.withColumn("is_processed", F.lit(False))
     scored = score_messages(msgs, ocr)
-    return _response_columns(scored, (F.col("sx_score") > float(C.ALERT_THRESHOLD)) & ~F.col("is_processed"))
+    return finished_rows(_response_columns(scored, (F.col("sx_score") > float(C.ALERT_THRESHOLD)) & ~F.col("is_processed")))
 
 
 def alert_candidates(msgs: DataFrame, ocr: DataFrame | None, processed: DataFrame | None, model=None) -> DataFrame:
@@ -86,6 +88,18 @@ def alert_candidates(msgs: DataFrame, ocr: DataFrame | None, processed: DataFram
     return _response_columns(cands, F.lit(True))
 
 
+def finished_rows(df: DataFrame) -> DataFrame:
+    """The same rows behind a plan barrier (a generator of one row each).
+
+    Catalyst moves predicates and projections below other projections and
+    unions by substituting expressions; with the scan among them a filter on
+    two columns of the result plans 27 detectors several times and takes
+    minutes. References to a generator's output stay above it, so what is
+    asked of these rows later is evaluated on their values."""
+    cols = df.columns
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in cols]))))
+
+
 def keep_rows(df: DataFrame, flag: str) -> DataFrame:
     """Rows whose boolean column ``flag`` is true, without a Filter node.
 
