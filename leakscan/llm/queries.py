@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, cap_filters, chat, minhash, mixing, quality, suffix_dedup, token_file, toxicity, url_rules
+from . import (bpe, cap_filters, chat, code_compress, minhash, mixing, packing, periodic_runs, quality, suffix_dedup,
+               token_file, toxicity, url_rules)
 from .common import table
 
 QUERIES: dict = {}
@@ -95,5 +96,24 @@ def op10(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@_register("op11_periodic_runs")
+def op11(spark, sf_dir):
+    """Runs of repeated words in every document, and the text without the repetitions."""
+    return periodic_runs.digests(table(spark, sf_dir, "documents"))
+
+
+@_register("op12_vector_codes")
+def op12(spark, sf_dir):
+    """Codes of all embeddings by exact integer codebooks, with errors by row and label."""
+    return code_compress.with_label_error(*code_compress.compress(table(spark, sf_dir, "embeddings")))
+
+
+@_register("op13_mixture_packing")
+def op13(spark, sf_dir):
+    """All documents packed into sequences of 1024 tokens, each window in the proportions of the sources."""
+    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=0).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def oracles() -> dict[str, str]:
     return {}
