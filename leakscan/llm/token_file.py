@@ -26,12 +26,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .bpe import IdTable, groups, sums
+from .bpe import IdTable, sums
 from .common import ship
+from .word_ids import slices, words
 
 BLOCK_IDS = 1 << 18
 CACHE = 900_000
 SAMPLE = 256
+MARK = "\x01"
+JOIN = 100
+GROUP_BYTES = 4_000_000
 MAGIC = b"EFTB"
 HEAD = struct.Struct("<4sHHIIQQqQQ")
 SEQ = struct.Struct("<IBQII")
@@ -130,25 +134,35 @@ class WordEncoder:
 
     def __init__(self, path: str):
         import os
-        import re
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.lib = Tokenizer.from_file(path)
         self.size = self.lib.get_vocab_size(with_added_tokens=True)
-        self.find = re.compile(r"[^ \t\n\r\f\v]+").findall
         self.words = IdTable()
+        self.mark = self.lib.encode(MARK, add_special_tokens=False).ids
 
-    def encode(self, texts: list):
+    def _library(self, new: list):
+        """Ids of words, as (counts, all ids). Many go in one string, each with the mark behind it,
+        between spaces a symbol of its own; one call per word takes longer."""
+        if len(self.mark) != 1 or any(MARK in w for w in new):
+            got = [e.ids for e in self.lib.encode_batch_fast(new, add_special_tokens=False)]
+            n = np.fromiter(map(len, got), np.int64, len(got))
+            return n, np.fromiter((i for ids in got for i in ids), np.int32, int(n.sum()))
+        joined = [f" {MARK} ".join(new[k:k + JOIN]) + f" {MARK}" for k in range(0, len(new), JOIN)]
+        flat = np.concatenate([np.array(e.ids, np.int32) for e in self.lib.encode_batch_fast(joined, add_special_tokens=False)])
+        ends = np.flatnonzero(flat == self.mark[0])
+        return np.diff(ends, prepend=-1) - 1, np.delete(flat, ends)
+
+    def encode(self, col):
+        """All ids of a text column, one text after the other, and the count of each text."""
         if len(self.words) > CACHE:
             self.words.clear()
-        units = [self.find(t or "") for t in texts]
-        numbers = self.words.numbers([u for us in units for u in us])
+        word, distinct, counts = words(col)
+        number = self.words.numbers(distinct.to_pylist())
         if self.words.new:
-            got = [e.ids for e in self.lib.encode_batch_fast(self.words.new, add_special_tokens=False)]
-            n = np.fromiter(map(len, got), np.int64, len(got))
-            self.words.add(n, np.fromiter((i for ids in got for i in ids), np.int32, int(n.sum())))
-        flat, n = self.words.gather(numbers)
-        return flat, sums(n, np.fromiter(map(len, units), np.int64, len(units)))
+            self.words.add(*self._library(self.words.new))
+        flat, n = self.words.gather(number[word])
+        return flat, sums(n, counts)
 
 
 _ENCODERS: dict = {}
@@ -188,9 +202,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
             return out
 
         for b in batches:
-            texts, doc_ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
-            for lo, hi in groups(texts, 1_000_000):
-                flat, n = enc.encode(texts[lo:hi])
+            texts, doc_ids = b.column("text"), b.column("doc_id").to_pylist()
+            for lo, hi in slices(texts, GROUP_BYTES):
+                flat, n = enc.encode(texts.slice(lo, hi - lo))
                 held.append((doc_ids[lo:hi], n + 1, np.insert(flat, np.cumsum(n), end_id)))
                 if sum(len(h[2]) for h in held) >= BLOCK_IDS:
                     yield row()
