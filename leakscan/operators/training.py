@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.regex import ustrip
 from ..functions.text import text_length, word_count
+from .boosting import train_with_patience
 
 SEED = 42
 VALIDATION_SHARE = 0.15
@@ -103,23 +104,17 @@ def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction"
 
 
 def train_gbt(features: DataFrame, max_iter: int = 500, step_size: float = 0.05, max_depth: int = 6,
-              seed: int = SEED, validation_tol: float = 0.01):
-    """M8: gradient-boosted trees on (model_score, text_length, word_count)
-    with the validation rows as early-stopping set."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    asm = VectorAssembler(inputCols=["model_score", "text_length", "word_count"], outputCol="features")
-    gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=max_iter, stepSize=step_size,
-                        maxDepth=max_depth, seed=seed, validationIndicatorCol="is_validation",
-                        validationTol=validation_tol)
-    return Pipeline(stages=[asm, gbt]).fit(features)
+              seed: int = SEED, patience: int = 50):
+    """M8: gradient-boosted trees on (model_score, text_length, word_count), cut at the round of the
+    best validation accuracy; training ends after ``patience`` rounds without a better one."""
+    return train_with_patience(features, max_iter, step_size, max_depth, seed, patience)[0]
 
 
 def train_text_classifier(train: DataFrame, reg_params=(0.0, 0.01, 0.1),
                           num_features: int = 1 << 18, max_iter: int = 50):
-    """M9 (re-aimed): tokens of the whole text -> hashed TF -> IDF -> logistic
-    regression; the regParam with the best validation accuracy wins."""
+    """A text classifier without epochs: tokens of the whole text -> hashed TF -> IDF -> logistic
+    regression by L-BFGS; the regParam with the best validation accuracy wins. M9
+    trains by epochs (``epochs.train_by_epochs``)."""
     from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF, IDF, SQLTransformer

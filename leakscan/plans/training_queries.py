@@ -7,7 +7,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import subwords as SW
 from ..operators import training as TR
+from ..operators.boosting import best_round, train_with_patience
+from ..operators.epochs import train_by_epochs
 from ..session import scratch_path
 from ..sources import training_csv as TC
 from . import fixtures as FX
@@ -118,24 +121,54 @@ def q_read_csv(spark, sf):
 # --- training and model persistence: checked on rows and by pytest ---------------
 @reg("train_gbt", None)
 def q_gbt(spark, sf):
-    """M8 on the features with the split's validation rows as early-stop set."""
+    """M8 on the features with the split's validation rows; cut at the best round."""
     f = TR.stratified_split(_features(spark, sf))
     model = TR.train_gbt(f)
     return model.transform(f.where(F.col("is_validation"))).select("id", "label", F.col("prediction").cast("int"))
 
 
+@reg("gbt_rounds", None)
+def q_gbt_rounds(spark, sf):
+    """M8: validation accuracy after every trained round, and the round that is kept."""
+    _, accuracies = train_with_patience(TR.stratified_split(_features(spark, sf)))
+    best, _ = best_round(accuracies, 50)
+    return spark.createDataFrame([(k, a, k == best) for k, a in enumerate(accuracies, 1)], "round int, accuracy double, kept boolean")
+
+
+def _split(spark, sf):
+    return TR.stratified_split(TR.clean_labels_strict(FX.training(spark, sf)))
+
+
 @reg("train_text_classifier", None)
 def q_text_clf(spark, sf):
-    s = TR.stratified_split(TR.clean_labels_strict(FX.training(spark, sf)))
-    model = TR.train_text_classifier(s)
+    """M9: predictions of the best epoch on the validation rows."""
+    s = _split(spark, sf)
+    model, _ = train_by_epochs(s)
     return model.transform(s.where(F.col("is_validation"))).select("id", "label", F.col("prediction").cast("int"))
 
 
+@reg("text_epochs", None)
+def q_text_epochs(spark, sf):
+    """M9: training loss and validation accuracy of every epoch, and the epoch that is kept."""
+    _, metrics = train_by_epochs(_split(spark, sf))
+    return spark.createDataFrame([(m["epoch"], m["train_loss"], m["accuracy"], m["best"]) for m in metrics],
+                                 "epoch int, train_loss double, accuracy double, best boolean")
+
+
+@reg("subword_tokens", None)
+def q_subwords(spark, sf):
+    """Subword ids of every text by longest match, padded to 128, with the mask."""
+    import public_tokenizers
+    pieces = SW.pieces_of_byte_vocabulary(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    d = FX.table(spark, sf, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    t = SW.subword_tokens(d, pieces)
+    return t.select("doc_id", F.array_join("input_ids", " ").alias("input_ids"), F.array_join("attention_mask", "").alias("attention_mask"), "n_pieces")
+
+
 @reg("score_text", None)
 def q_score_text(spark, sf):
     """M2: score every document with a trained text classifier."""
-    s = TR.stratified_split(TR.clean_labels_strict(FX.training(spark, sf)))
-    model = TR.train_text_classifier(s)
+    model, _ = train_by_epochs(_split(spark, sf))
     d = FX.table(spark, sf, "documents").select(F.col("doc_id").cast("bigint").alias("id"), "text")
     return TR.score_with_model(d, model)
 
@@ -143,8 +176,7 @@ def q_score_text(spark, sf):
 @reg("save_load_model", None)
 def q_save_load(spark, sf):
     """Save, load, and score with the loaded model."""
-    s = TR.stratified_split(TR.clean_labels_strict(FX.training(spark, sf)))
-    model = TR.train_text_classifier(s)
+    model, _ = train_by_epochs(_split(spark, sf))
     path = scratch_path(spark, f"model-{uuid.uuid4().hex}")
     TC.save_model(model, path)
     loaded = TC.load_model(path)
