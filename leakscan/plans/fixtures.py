@@ -202,6 +202,24 @@ def processed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("ts").alias("processed_at"), F.col("event_id").cast("bigint").alias("seq"))
 
 
+_LANDED: dict = {}
+
+
+def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages as a scan reads them: landed once per session and sf below the shared
+    checkpoint folder, in row groups of a fixed number of bytes."""
+    import uuid
+    from ..session import scratch_path
+    from ..sources.landing import land_messages, read_landed
+    m = msgs(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _LANDED:
+        path = scratch_path(spark, f"landed-{uuid.uuid4().hex}")
+        land_messages(m, path)
+        _LANDED[key] = path
+    return read_landed(spark, _LANDED[key], m.schema)
+
+
 # --- composed inputs of the alert flow -----------------------------------------
 ALERT_DAY0 = "2024-01-20 00:00:00"
 BATCH_TS = "2024-03-01 00:00:00"
@@ -226,7 +244,7 @@ def ocr_for_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.alerts import analyze_messages
-    return analyze_messages(msgs(spark, sf_dir), ocr_for_messages(spark, sf_dir),
+    return analyze_messages(landed(spark, sf_dir), ocr_for_messages(spark, sf_dir),
                             processed_keys(spark, sf_dir))
 
 
@@ -237,7 +255,7 @@ def alert_created_at():
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.alerts import alert_candidates, build_alerts
-    cands = alert_candidates(msgs(spark, sf_dir), ocr_for_messages(spark, sf_dir), processed_keys(spark, sf_dir))
+    cands = alert_candidates(landed(spark, sf_dir), ocr_for_messages(spark, sf_dir), processed_keys(spark, sf_dir))
     return build_alerts(cands, alert_created_at())
 
 
@@ -251,7 +269,7 @@ def alerts_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
     from ..session import scratch_path
     from ..sources.alert_store import read_alerts, write_alerts
-    key = (id(spark), sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     path = _ALERT_TABLES.get(key)
     if path is None:
         path = scratch_path(spark, f"alerts-{uuid.uuid4().hex}")

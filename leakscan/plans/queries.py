@@ -31,7 +31,7 @@ def leaks_text(arr_col: str = "findings"):
 
 def scan_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Message keys, whole text and model score of every message."""
-    return FX.msgs(spark, sf_dir).select("chat_id", "message_id", "text", "model_score")
+    return FX.landed(spark, sf_dir).select("chat_id", "message_id", "text", "model_score")
 
 
 @register("scan_score")

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from ..sources.landing import land_messages
 from ..sources.messages import MESSAGE_SCHEMA
 from ..streaming import scan_stream as SS
 from . import fixtures as FX
@@ -29,7 +30,7 @@ def _land(spark, sf, path, copies=1, corrupt=False):
         m = m.withColumn("chat_id", F.when(F.col("message_id") % 97 == 0, F.lit(None).cast("bigint"))
                          .otherwise(F.col("chat_id")))
     for _ in range(copies):
-        m.write.mode("append").parquet(path)
+        land_messages(m, path)
 
 
 def _run(spark, sf, p, max_files=None):

@@ -20,6 +20,9 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # bytes that could be scanned while a file is opened: 27 detectors read far less than the
+    # 4 MB that Spark assumes, and no split is made smaller than this
+    "spark.sql.files.openCostInBytes": "262144",
 }
 
 
