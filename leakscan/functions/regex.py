@@ -25,8 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-OPEN = ""
-CLOSE = ""
+# private-use characters, written as escapes so that no editor drops them
+OPEN = "\ue000"
+CLOSE = "\ue001"
 
 SPAN_TYPE = "array<struct<pos:int,raw:string>>"
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog as C
+from ..functions.config_spans import config_spans_sql
 from ..functions.regex import spans_sql, sql_str, ustrip_sql
 
 CONF_TYPE = "decimal(4,2)"
@@ -85,6 +86,12 @@ def scan_pattern(d: C.Detector) -> str:
     return _RUN_START + d.java_pattern if d.name in _FROM_RUN_START else d.java_pattern
 
 
+def found_sql(d: C.Detector, text: str) -> str:
+    """All matches of a detector with their positions: by its pattern, or, for the one pattern whose
+    repetitions make an engine quadratic, by folds over the places that decide."""
+    return config_spans_sql(text) if d.name == "config_fragment" else spans_sql(text, scan_pattern(d))
+
+
 # characters that (?iU) equates with a keyword letter but lower() does not map to it
 FOLD_PRE = ("İ", "i")
 FOLD_FROM = "ıſᲀᲁᲂᲃᲄᲅᲆ"
@@ -147,7 +154,7 @@ def detector_sql(d: C.Detector, text: str = "`text`") -> str:
     """
     wl = ", ".join(sql_str(w) for w in C.WHITELIST)
     len_ok = "TRUE" if d.name in C.SHORT_VALUE_TYPES else f"length(c.v) >= {C.MIN_VALUE_LENGTH}"
-    cand = (f"filter(transform({spans_sql(text, scan_pattern(d))}, "
+    cand = (f"filter(transform({found_sql(d, text)}, "
             f"s -> named_struct('pos', s.pos, 'raw', s.raw, 'v', {ustrip_sql('s.raw')})), "
             f"c -> {len_ok} AND NOT lower(c.v) IN ({wl}))")
     start = f"greatest(0, c.pos - {C.CONTEXT_RADIUS})"
@@ -203,7 +210,7 @@ def detector_steps_sql(d: C.Detector, text: str = "`text`") -> str:
     masked value), before the filters drop anything."""
     wl = ", ".join(sql_str(w) for w in C.WHITELIST)
     len_ok = "TRUE" if d.name in C.SHORT_VALUE_TYPES else f"length(c.v) >= {C.MIN_VALUE_LENGTH}"
-    cand = (f"transform({spans_sql(text, scan_pattern(d))}, "
+    cand = (f"transform({found_sql(d, text)}, "
             f"s -> named_struct('pos', s.pos, 'raw', s.raw, 'v', {ustrip_sql('s.raw')}))")
     start = f"greatest(0, c.pos - {C.CONTEXT_RADIUS})"
     end = f"least(_len, c.pos + length(c.raw) + {C.CONTEXT_RADIUS})"

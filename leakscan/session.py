@@ -23,6 +23,8 @@ DEFAULT_CONF = {
     # bytes that could be scanned while a file is opened: 27 detectors read far less than the
     # 4 MB that Spark assumes, and no split is made smaller than this
     "spark.sql.files.openCostInBytes": "262144",
+    # likewise a shuffled megabyte of texts is a second of scanning, not a task too small to keep
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
 }
 
 
