@@ -12,6 +12,7 @@ from ..session import scratch_path
 from ..sources.landing import land_messages
 from ..sources.messages import MESSAGE_SCHEMA
 from ..streaming import scan_stream as SS
+from ..streaming.isolated import start_isolated_stream
 from . import fixtures as FX
 from . import oracle as O
 from .report_queries import reg
@@ -93,3 +94,19 @@ def q_stream_replay(spark, sf):
     SS.process_batch(batch, 0, **kw)
     SS.process_batch(batch, 0, **kw)
     return _alerts_out(spark, p["alerts"])
+
+
+@reg("stream_quarantine", _STREAM_ORACLE)
+def q_stream_quarantine(spark, sf):
+    """Messages land in a folder a source, beside files that can't be read; those go to the
+    quarantine, and every message of the other files is analyzed."""
+    p = _paths(spark, "quarantine")
+    m = FX.landed(spark, sf)
+    land_messages(m.withColumn("source", F.concat(F.lit("s"), F.pmod("chat_id", F.lit(4)).cast("string"))), p["input"], partition_by="source")
+    m.limit(5).select(F.col("text").alias("value")).coalesce(1).write.text(f"{p['input']}/source=s9")
+    start_isolated_stream(spark, p["input"], quarantine_path=f"{p['dead']}-files", checkpoint_path=p["checkpoint"], schema=STREAM_SCHEMA, glob="part-*",
+                          trigger={"availableNow": True}, sources=FX.sources(spark, sf), ocr=FX.ocr_for_messages(spark, sf), alerts_path=p["alerts"],
+                          dead_letter_path=p["dead"], created_at=F.lit(FX.BATCH_TS).cast("timestamp")).awaitTermination()
+    if spark.read.parquet(f"{p['dead']}-files").where("source = 'source=s9'").isEmpty():
+        raise RuntimeError("the broken files are not in the quarantine")
+    return _alerts_out(spark, p["alerts"])

@@ -49,6 +49,11 @@ def _parts(spark: SparkSession, path: str, batch_id: int) -> tuple[list[str], in
     return ([f"{path}/base={base}"] if base >= 0 else []) + [f"{path}/delta={d}" for d in deltas], base
 
 
+def known(spark: SparkSession, path: str, batch_id: int) -> bool:
+    """Whether the index holds anything of earlier batches."""
+    return bool(_parts(spark, path, batch_id)[0])
+
+
 def _read(spark: SparkSession, folders: list[str], buckets: list[int] | None) -> DataFrame | None:
     """Keys of the folders; with ``buckets`` only their folders are listed and read."""
     out = None
@@ -75,8 +80,21 @@ def _write(keys: DataFrame, folder: str) -> None:
 def compact(spark: SparkSession, path: str, batch_id: int) -> None:
     """A base of all keys of the batches before ``batch_id``, if there are ``COMPACT`` deltas or more."""
     folders, base = _parts(spark, path, batch_id)
-    if len(folders) - (base >= 0) >= COMPACT:
-        _write(_read(spark, folders, None).select(*KEYS).distinct(), f"{path}/base={batch_id - 1}")
+    if len(folders) - (base >= 0) < COMPACT:
+        return
+    _write(_read(spark, folders, None).select(*KEYS).distinct(), f"{path}/base={batch_id - 1}")
+    # what the new base holds is of no more use
+    jvm = spark._jvm
+    for f in folders:
+        old = jvm.org.apache.hadoop.fs.Path(f)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
+def ensure(spark: SparkSession, path: str, batch_id: int, alerted: DataFrame | None) -> None:
+    """An index for a table that has none (an older one, or a lost index): a base of ``alerted``, the
+    keys of all earlier batches. Read once; later batches read the index."""
+    if alerted is not None and not known(spark, path, batch_id):
+        _write(alerted.select(*KEYS).distinct(), f"{path}/base={batch_id - 1}")
 
 
 def without_known(cands: DataFrame, path: str, batch_id: int) -> DataFrame:

@@ -16,9 +16,12 @@ GROUP_BYTES = 1 << 20
 CHECK_ROWS = 8
 
 
-def land_messages(msgs: DataFrame, path: str, mode: str = "append", group_bytes: int = GROUP_BYTES) -> None:
-    """Write ``msgs`` (any columns) where they are: no shuffle, a file per task."""
-    (msgs.write.mode(mode)
+def land_messages(msgs: DataFrame, path: str, mode: str = "append", group_bytes: int = GROUP_BYTES,
+                  partition_by: str | None = None) -> None:
+    """Write ``msgs`` (any columns) where they are: no shuffle, a file per task (and folder of
+    ``partition_by``)."""
+    w = msgs.write.mode(mode)
+    ((w.partitionBy(partition_by) if partition_by else w)
          .option("parquet.block.size", group_bytes)
          .option("parquet.page.size", min(1 << 20, group_bytes))
          .option("parquet.page.size.row.check.min", CHECK_ROWS).option("parquet.page.size.row.check.max", 128)

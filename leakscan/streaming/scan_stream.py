@@ -7,10 +7,10 @@ readStream (file source) -> micro-batch -> ``process_batch``:
 * R1: keep registered sources (left-semi join, the registry is a small
   dimension), analyze (scan, dedup, score, OCR join of media messages),
   keep alert candidates and deduplicate them by key.
-* R2: an alert is written at most once ever: keys already present in the
-  alert table from *earlier* batches are removed (left-anti join). The
-  alert table is the processed set, so no unbounded streaming state is
-  kept; a batch never removes its own rows, so a replay rewrites them.
+* R2: an alert is written at most once ever: keys that *earlier* batches
+  alerted are removed (left-anti join) by the key index, of which a batch
+  reads the buckets its candidates fall into. No streaming state is kept;
+  a batch never removes its own rows, so a replay rewrites them.
 * R4: each batch writes ``batch_id=<i>`` with overwrite, so a replayed
   micro-batch (after a failure between write and commit) produces the
   same rows once. Alerts and the processed mark cannot diverge because
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.alerts import alert_candidates, build_alerts
+from ..sources import key_index
 from ..sources.messages import MESSAGE_SCHEMA
 
 KEYS = ["chat_id", "message_id"]
@@ -51,18 +52,25 @@ def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def _existing_keys(spark: SparkSession, alerts_path: str, batch_id: int) -> DataFrame | None:
+def _alerted_before(spark: SparkSession, alerts_path: str, batch_id: int) -> DataFrame | None:
+    """Keys of all earlier batches by the alert table itself."""
     prior = read_if_there(spark, alerts_path)
     if prior is None or "batch_id" not in prior.columns:
         return None
-    return prior.where(F.col("batch_id") < batch_id).select(*KEYS).distinct()
+    return prior.where(F.col("batch_id") < batch_id).select(*KEYS)
 
 
 def process_batch(batch: DataFrame, batch_id: int, *, sources: DataFrame | None, ocr: DataFrame | None,
-                  alerts_path: str, dead_letter_path: str, created_at=None, model=None) -> None:
+                  alerts_path: str, dead_letter_path: str, created_at=None, model=None, keys_path: str | None = None) -> None:
     """One micro-batch (also callable on a static DataFrame for replays). Without
-    ``created_at`` the alerts carry the batch's own time, which a replay repeats."""
+    ``created_at`` the alerts carry the batch's own time, which a replay repeats.
+
+    The candidates are written once, beside the table (``-staged``); their keys are looked up in the
+    key index (``keys_path``, by default beside the table), which reads the buckets that they fall
+    into and not the alert table. Every write of a batch overwrites the same folder, so a replay after
+    a failure at any point leaves what one run leaves."""
     spark = batch.sparkSession
+    keys_path = keys_path or f"{alerts_path.rstrip('/')}-keys"
     if BATCH_TIME in batch.columns:
         if created_at is None:
             at = batch.select(BATCH_TIME).first()
@@ -77,19 +85,24 @@ def process_batch(batch: DataFrame, batch_id: int, *, sources: DataFrame | None,
     ts = created_at if created_at is not None else F.current_timestamp()
     # duplicates only matter among alert candidates: deduplicate those (few)
     # instead of shuffling the whole micro-batch with its texts
-    cands = alert_candidates(good, ocr, None, model).dropDuplicates(KEYS)
-    alerts = build_alerts(cands, ts)
-    prior = _existing_keys(spark, alerts_path, batch_id)
-    if prior is not None:
-        alerts = alerts.join(prior, KEYS, "left_anti")
-    out = (alerts.select(
+    alerts = build_alerts(alert_candidates(good, ocr, None, model).dropDuplicates(KEYS), ts)
+    staged = f"{alerts_path.rstrip('/')}-staged/batch_id={batch_id}"
+    alerts.select(
         F.col("chat_id").cast("bigint"), F.col("message_id").cast("bigint"),
         F.col("sx_score").cast("float"), F.col("model_score").cast("float"),
         "text_preview", "leaks", "ocr_text", "sender",
         F.date_trunc("millisecond", "date").alias("date"),
-        F.date_trunc("millisecond", "created_at").alias("created_at"))
-        .withColumn("month", F.date_format("created_at", "yyyyMM")))
-    out.write.mode("overwrite").partitionBy("month").parquet(f"{alerts_path}/batch_id={batch_id}")
+        F.date_trunc("millisecond", "created_at").alias("created_at")).write.mode("overwrite").parquet(staged)
+    cands = spark.read.parquet(staged)
+    if not key_index.known(spark, keys_path, batch_id):
+        key_index.ensure(spark, keys_path, batch_id, _alerted_before(spark, alerts_path, batch_id))
+    key_index.compact(spark, keys_path, batch_id)
+    fresh = key_index.without_known(cands, keys_path, batch_id)
+    target = f"{alerts_path}/batch_id={batch_id}"
+    (fresh.select(*cands.columns).withColumn("month", F.date_format("created_at", "yyyyMM"))
+          .write.mode("overwrite").partitionBy("month").parquet(target))
+    # a batch without alerts leaves no readable schema
+    key_index.write_keys(spark.read.schema(cands.schema).parquet(target), keys_path, batch_id)
 
 
 def start_scan_stream(messages: DataFrame, *, sources: DataFrame | None, ocr: DataFrame | None,
