@@ -47,14 +47,53 @@ def decode_alerts(alerts: DataFrame) -> DataFrame:
         sender_from_json(F.col("sender")).alias("sender"), "date", "created_at")
 
 
-def recent_alerts(alerts: DataFrame, n: int = 50) -> DataFrame:
-    """Newest n (TakeOrderedAndProject: each task keeps n rows)."""
+def newest_months(alerts: DataFrame, n: int, kept=None) -> list:
+    """The newest months that hold ``n`` alerts together (all months, if there are less).
+
+    Rows per month come from the files' footers: no column is read. ``kept`` (a function of
+    DataFrames) keeps some of the rows; then the rows it keeps are counted on the newest month, the next two,
+    the next four, and so on, until there are ``n``."""
+    counts = {r["month"]: r["count"] for r in alerts.groupBy("month").count().collect()}
+    # alerts without a time come last
+    left = sorted(counts, key=lambda m: (m is not None, m or 0), reverse=True)
+    chosen, found, step = [], 0, 1
+    while left and found < n:
+        part, left = left[:step], left[step:]
+        chosen += part
+        if kept is None:
+            found += sum(counts[m] for m in part)
+        else:
+            found += kept(_of_months(alerts, part)).count()
+            step *= 2
+    return chosen
+
+
+def _of_months(alerts: DataFrame, months: list) -> DataFrame:
+    here = F.col("month").isin([m for m in months if m is not None])
+    return alerts.where(here | F.col("month").isNull() if None in months else here)
+
+
+def _newest(alerts: DataFrame, n: int) -> DataFrame:
     return decode_alerts(alerts.orderBy(F.col("created_at").desc(), "chat_id", "message_id").limit(n))
 
 
+def recent_alerts(alerts: DataFrame, n: int = 50) -> DataFrame:
+    """Newest n (TakeOrderedAndProject: each task keeps n rows). Of a table by month only the
+    newest months that hold n rows are read."""
+    if "month" in alerts.columns:
+        alerts = _of_months(alerts, newest_months(alerts, n))
+    return _newest(alerts, n)
+
+
 def recent_alerts_by_source(alerts: DataFrame, sources: DataFrame, n: int = 50) -> DataFrame:
     """As S13 but only chats in the registry; an empty registry gives
     no rows. The registry is a small dimension: a left-semi join that
     Spark broadcasts when it is under the broadcast threshold."""
-    kept = alerts.join(sources.select("chat_id").distinct(), "chat_id", "left_semi")
-    return recent_alerts(kept, n)
+    chats = sources.select("chat_id").distinct()
+
+    def kept(df):
+        return df.join(chats, "chat_id", "left_semi")
+
+    if "month" in alerts.columns:
+        alerts = _of_months(alerts, newest_months(alerts, n, kept))
+    return _newest(kept(alerts), n)

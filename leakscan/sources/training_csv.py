@@ -6,8 +6,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .split_csv import read_split_csv
+
 TRAINING_COLUMNS = ["id", "text", "label", "category", "comment"]
-TRAINING_SCHEMA = "id STRING, text STRING, label STRING, category STRING, comment STRING"
 
 
 def csv_options(escape: str = '"') -> dict:
@@ -30,14 +31,15 @@ def read_training_csv(spark: SparkSession, path: str, escape: str = '"') -> Data
 
     ``escape='"'`` reads doubled quotes, ``escape='\\'`` backslash-escaped
     quotes; ``escape='auto'`` accepts both in one file (backslash parse, then
-    single-line doubled-quote fields are unwrapped)."""
+    single-line doubled-quote fields are unwrapped).
+
+    A file is read by as many tasks as its size allows, though fields may hold
+    line breaks (``split_csv``); only the header is read ahead."""
     auto = escape == "auto"
     opts = csv_options("\\" if auto else escape)
-    head = spark.read.options(**opts).option("header", "true").csv(path)
-    if {"text", "label"} <= set(head.columns):
-        df = head.select(*[F.col(c).cast("string") for c in head.columns])
-    else:
-        df = spark.read.options(**opts).option("header", "false").schema(TRAINING_SCHEMA).csv(path)
+    head = spark.read.options(**opts).option("header", "true").csv(path).columns
+    named = {"text", "label"} <= set(head)
+    df = read_split_csv(spark, path, head if named else TRAINING_COLUMNS, named, opts)
     if auto:
         df = df.select(*[_unwrap_doubled(F.col(c)).alias(c) for c in df.columns])
     return df
