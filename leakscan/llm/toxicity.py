@@ -15,7 +15,8 @@ both kinds of labels the score is 0; repeated rows are scored alike; extra colum
 ignored; an empty table gives an empty result. Scores use the text alone.
 
 Labels are fitted on about ``max_labels`` rows at most, chosen by hash of their id; that bounds the
-broadcast of labels and the lexicon, which has ``max_terms`` terms at most.
+broadcast of labels and the lexicon: a term is a word of ``min_share`` of the toxic documents,
+so there are at most 1 / ``min_share`` times the distinct words of a toxic text.
 """
 
 from __future__ import annotations
@@ -41,9 +42,8 @@ FEATURES = ("hits", "strong", "near", "quoted", "density", "address", "kinds")
 @dataclass(frozen=True)
 class Toxicity:
     max_labels: int = 200_000
-    max_terms: int = 400
     min_docs: int = 3
-    min_share: float = 0.002       # of the toxic documents
+    min_share: float = 0.02        # of the toxic documents; so the terms are at most 50 times the words of a toxic text
     min_odds: float = 8.0
 
 
@@ -195,8 +195,8 @@ def held_out(col: str):
 
 
 def learn_lexicon(docs: DataFrame, train: DataFrame, tox: Toxicity = Toxicity()) -> list[tuple[str, float]]:
-    """Terms and weights (log odds), the strongest first (of equal ones the most frequent):
-    ``max_terms`` at most."""
+    """Terms and weights (log odds), the strongest first (of equal ones the most frequent). Odds
+    and support alone decide: every word of ``min_share`` of the toxic documents and ``min_odds``."""
     # training_labels bounds the broadcast
     d = docs.join(F.broadcast(train), "doc_id").select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0))).alias("w"))
     sizes = train.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
@@ -206,7 +206,7 @@ def learn_lexicon(docs: DataFrame, train: DataFrame, tox: Toxicity = Toxicity())
     words = d.where("length(w) BETWEEN 3 AND 40").groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     odds = ((F.col("t") + 0.5) / (bad + 1)) / ((F.col("c") + 0.5) / (good + 1))
     words = words.where(F.col("t") >= max(tox.min_docs, int(tox.min_share * bad))).withColumn("odds", odds).where(F.col("odds") >= tox.min_odds)
-    return [(r.w, float(np.log(r.odds))) for r in words.orderBy(F.desc("odds"), F.desc("t"), "w").limit(tox.max_terms).collect()]
+    return [(r.w, float(np.log(r.odds))) for r in words.orderBy(F.desc("odds"), F.desc("t"), "w").collect()]
 
 
 def features(docs: DataFrame, lexicon: list[tuple[str, float]]) -> DataFrame:

@@ -73,7 +73,14 @@ def test_strongest_terms_and_share_of_usable_labels(spark):
     docs = spark.createDataFrame([(k, t) for k, _, t in rows], "doc_id bigint, text string")
     train = spark.createDataFrame([(k, y) for k, y, _ in rows], "doc_id bigint, toxic int")
     assert [w for w, _ in T.learn_lexicon(docs, train)] == ["scumbag", "topic"]
-    assert [w for w, _ in T.learn_lexicon(docs, train, T.Toxicity(max_terms=1))] == ["scumbag"]
+    assert [w for w, _ in T.learn_lexicon(docs, train, T.Toxicity(min_share=0.3))] == ["topic"]
     labels = spark.createDataFrame([(k, k % 2 if k < 100 else None) for k in range(5000)], "doc_id bigint, toxic int")
     usable = [k for k in range(100) if zlib.crc32(str(k).encode()) % 5]
     assert sorted(r.doc_id for r in T.training_labels(labels, T.Toxicity(max_labels=100)).collect()) == usable
+
+
+def test_lexicon_has_no_cap(spark):
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}ord" for k in range(676)]
+    docs = spark.createDataFrame([(k, " ".join(words) if k < 20 else "clean text") for k in range(200)], "doc_id bigint, text string")
+    train = spark.createDataFrame([(k, int(k < 20)) for k in range(200)], "doc_id bigint, toxic int")
+    assert sorted(w for w, _ in T.learn_lexicon(docs, train)) == sorted(words)
