@@ -14,9 +14,12 @@ only, found by the incidence of members and smaller directions. Members of a dir
 crowded direction is neither cut nor gathered in one task. A job gives sums of links and a
 spanning forest, never pairs.
 
-Defined results: vectors that are null, zero, of another length than ``DIM`` or hold null or
-non-finite components link with nothing and are their own component; repeated rows are vectors
-of their own in one class; extra columns are ignored; an empty table gives an empty result.
+Vectors of each length are a space of their own, with its own directions; the cap is the same
+number of standard deviations of a projection in all of them. Components keep their precision (float or double).
+
+Defined results: vectors that are null, empty, zero or hold null or
+non-finite components link with nothing and are their own component; vectors of different
+lengths don't link; repeated rows are vectors of their own in one class; extra columns are ignored; an empty table gives an empty result.
 Every vector is decoded; tests measure the share of links found against brute force.
 """
 
@@ -29,27 +32,35 @@ from pyspark.sql import functions as F
 from .common import put, ship
 from .components import components
 
-DIM = 64
 CODES = 32
 ROTATIONS = 10
-CAP = 0.46          # projection
+CAP = 3.68          # standard deviations of a projection: 0.46 at 64 dimensions
+MAX_CAP = 0.9       # as a projection, in few dimensions
 BLOCK = 2048
 COSINE = 0.95
 SEED = 4
 
 
-def code(dim: int = DIM, codes: int = CODES):
+def code(dim: int = 64, codes: int = CODES):
     """(slice, code vectors) of the three blocks; the same on every machine."""
     rnd = np.random.Generator(np.random.PCG64(SEED))
     edges = np.linspace(0, dim, 4).astype(int)
     out = []
     for a, b in zip(edges[:-1], edges[1:]):
-        c = rnd.standard_normal((codes, b - a))
-        out.append((slice(a, b), c / np.linalg.norm(c, axis=1, keepdims=True)))
+        # few dimensions need few code vectors: none but the zero vector, both signs, then 4 a dimension
+        c = rnd.standard_normal((min(codes, 1 if a == b else 2 if b - a == 1 else 4 ** min(4, int(b - a))), b - a))
+        if b - a == 1:
+            c = np.array([[1.0], [-1.0]])
+        out.append((slice(a, b), c / np.linalg.norm(c, axis=1, keepdims=True) if a < b else c))
     return out
 
 
-def rotations(dim: int = DIM):
+def cap_of(dim: int) -> float:
+    """The projection that a vector must exceed."""
+    return min(MAX_CAP, CAP / np.sqrt(dim))
+
+
+def rotations(dim: int):
     """Random orthogonal matrices; the same on every machine."""
     rnd = np.random.Generator(np.random.PCG64(SEED + 1))
     return [np.linalg.qr(rnd.standard_normal((dim, dim)))[0] for _ in range(ROTATIONS)]
@@ -57,14 +68,14 @@ def rotations(dim: int = DIM):
 
 def directions(x, blocks, turns):
     """Sorted numbers of the directions of each row, over all rotations."""
-    lists = [decode(x @ r, blocks) for r in turns]
+    lists = [decode(x @ r, blocks, cap_of(x.shape[1])) for r in turns]
     return [np.concatenate([v + k * CODES**3 for k, v in enumerate(own)]).astype(np.int32) for own in zip(*lists)]
 
 
-def decode(x, blocks, cap: float = CAP):
+def decode(x, blocks, cap: float):
     """Directions (sorted numbers) that each row of ``x`` exceeds; the nearest one in any case."""
     p, q, r = (x[:, s] @ c.T for s, c in blocks)
-    k = len(blocks[0][1])
+    k1, k2 = len(blocks[1][1]), len(blocks[2][1])
     need = cap * np.sqrt(3.0)
     out = []
     for a, b, c in zip(p, q, r):
@@ -73,37 +84,42 @@ def decode(x, blocks, cap: float = CAP):
         down = np.argsort(-c)
         n = np.searchsorted(-c[down], pairs[i, j] - need, "right")
         third = down[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        f = (np.repeat(i, n) * k + np.repeat(j, n)) * k + third
+        f = (np.repeat(i, n) * k1 + np.repeat(j, n)) * k2 + third
         if not len(f):
-            f = np.array([(a.argmax() * k + b.argmax()) * k + c.argmax()])
+            f = np.array([(a.argmax() * k1 + b.argmax()) * k2 + c.argmax()])
         out.append(np.sort(f))
     return out
 
 
-def _unit(raw):
-    x = np.stack([np.frombuffer(v, np.float32) for v in raw]).astype(np.float64)
+def _unit(raw, kind):
+    x = np.stack([np.frombuffer(v, kind) for v in raw]).astype(np.float64)
     x /= np.abs(x).max(1, keepdims=True)         # no overflow or underflow in the norms
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _assign(classes: DataFrame) -> DataFrame:
-    """(node, n, x, filters) of every class that can link."""
+def _assign(classes: DataFrame, kind: str) -> DataFrame:
+    """(node, n, dim, x, filters) of every class that can link."""
     import pyarrow as pa
     ship(classes.sparkSession)
 
     def run(batches):
-        blocks, turns = code(), rotations()
+        spaces: dict = {}
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                raw = part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, DIM)
-                raw = [v.tobytes() for v in raw]
-                lists = directions(_unit(raw), blocks, turns)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("node"), part.column("n"), pa.array(raw, pa.binary()), pa.array(lists, pa.list_(pa.int32()))],
-                    names=["node", "n", "x", "filters"])
-
-    return classes.select("node", "n", "embedding").mapInArrow(run, "node string, n bigint, x binary, filters array<int>")
+            lengths = b.column("embedding").value_lengths().to_numpy(zero_copy_only=False)
+            for dim in np.unique(lengths).tolist():
+                if dim not in spaces:
+                    spaces[dim] = code(dim), rotations(dim)
+                own = b.take(pa.array(np.flatnonzero(lengths == dim)))
+                for lo in range(0, own.num_rows, 500):
+                    part = own.slice(lo, 500)
+                    raw = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dim)
+                    raw = [v.tobytes() for v in raw]
+                    lists = directions(_unit(raw, kind), *spaces[dim])
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("node"), part.column("n"), pa.array([dim] * len(raw), pa.int32()), pa.array(raw, pa.binary()), pa.array(lists, pa.list_(pa.int32()))],
+                        names=["node", "n", "dim", "x", "filters"])
+
+    return classes.select("node", "n", "embedding").mapInArrow(run, "node string, n bigint, dim int, x binary, filters array<int>")
 
 
 def linked(x, n, filters, f, block=None):
@@ -139,7 +155,7 @@ def linked(x, n, filters, f, block=None):
     return (hit * n[None, :]).sum(1), root
 
 
-def _link(jobs: DataFrame) -> DataFrame:
+def _link(jobs: DataFrame, kind: str) -> DataFrame:
     """(node, links, root) sums of each job."""
     import pyarrow as pa
     ship(jobs.sparkSession)
@@ -148,11 +164,11 @@ def _link(jobs: DataFrame) -> DataFrame:
         from itertools import groupby
         rows = (r for b in batches for r in b.to_pylist())
         cols: list = [], [], []
-        for (f, lo, hi), own in groupby(rows, key=lambda r: (r["f"], r["lo"], r["hi"])):
+        for (_, f, lo, hi), own in groupby(rows, key=lambda r: (r["dim"], r["f"], r["lo"], r["hi"])):
             own = list(own)
             if len(own) < 2:
                 continue
-            links, root = linked(_unit([r["x"] for r in own]), np.array([r["n"] for r in own], np.int64),
+            links, root = linked(_unit([r["x"] for r in own], kind), np.array([r["n"] for r in own], np.int64),
                                  [np.array(r["filters"], np.int32) for r in own], f,
                                  np.array([r["block"] for r in own]) if lo < hi else None)
             for k in np.flatnonzero(links).tolist():
@@ -163,21 +179,22 @@ def _link(jobs: DataFrame) -> DataFrame:
                 cols = [], [], []
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["node", "links", "root"])
 
-    return jobs.repartition("f", "lo", "hi").sortWithinPartitions("f", "lo", "hi").mapInArrow(run, "node string, links bigint, root string")
+    return jobs.repartition("dim", "f", "lo", "hi").sortWithinPartitions("dim", "f", "lo", "hi").mapInArrow(run, "node string, links bigint, root string")
 
 
 def similar_vectors(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding)."""
-    v = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
-    fine = F.expr(f"embedding IS NOT NULL AND size(embedding) = {DIM} AND forall(embedding, e -> e IS NOT NULL AND NOT isnan(e) AND abs(e) < float('infinity')) AND exists(embedding, e -> e <> 0)")
+    kind = "float32" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "float64"
+    v = vectors.select("vec_id", F.col("embedding").cast(f"array<{'float' if kind == 'float32' else 'double'}>").alias("embedding"))
+    fine = F.expr("embedding IS NOT NULL AND forall(embedding, e -> e IS NOT NULL AND NOT isnan(e) AND abs(e) < float('infinity')) AND exists(embedding, e -> e <> 0)")
     v = v.withColumn("fine", F.coalesce(fine, F.lit(False))).withColumn(
         "node", F.when(F.col("fine"), F.concat_ws("-", F.xxhash64("embedding").cast("string"), F.xxhash64(F.lit(7), "embedding").cast("string"))))
     classes = put(v.where("fine").groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("embedding").alias("embedding")), "classes")
-    assigned = put(_assign(classes), "filters").withColumn("f", F.explode("filters"))
-    counts = assigned.groupBy("f").agg(F.count("*").alias("m")).where("m > 1").select("f", F.ceil(F.col("m") / BLOCK).alias("nb"))
-    jobs = assigned.join(counts, "f").withColumn("block", F.pmod(F.xxhash64("node", "f"), "nb"))
+    assigned = put(_assign(classes, kind), "filters").withColumn("f", F.explode("filters"))
+    counts = assigned.groupBy("dim", "f").agg(F.count("*").alias("m")).where("m > 1").select("dim", "f", F.ceil(F.col("m") / BLOCK).alias("nb"))
+    jobs = assigned.join(counts, ["dim", "f"]).withColumn("block", F.pmod(F.xxhash64("node", "f"), "nb"))
     jobs = jobs.withColumn("peer", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)))
-    found = put(_link(jobs.select("f", F.least("block", "peer").alias("lo"), F.greatest("block", "peer").alias("hi"), "block", "node", "n", "x", "filters")), "links")
+    found = put(_link(jobs.select("dim", "f", F.least("block", "peer").alias("lo"), F.greatest("block", "peer").alias("hi"), "block", "node", "n", "x", "filters"), kind), "links")
     comp = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     own = classes.select("node", "rep", "n").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(comp, "node", "left")
     own = own.withColumn("component", F.coalesce("component", "node"))

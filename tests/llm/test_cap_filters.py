@@ -78,3 +78,32 @@ def test_given_table_and_empty(spark):
     rows = [(r.vec_id, r.embedding, 1, "", 1) for r in df.collect()]
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in C.similar_vectors(df).collect()) == sorted(want(rows).values())
     assert run(spark, []) == []
+
+
+@pytest.mark.parametrize("dim", [2, 7, 16, 33, 128, 300])
+def test_every_length_is_a_space_of_its_own(spark, dim):
+    rnd = np.random.default_rng(dim)
+    x = []
+    for _ in range(20):
+        c = rnd.standard_normal(dim)
+        x += [c / np.linalg.norm(c) + rnd.standard_normal(dim) * rnd.choice([0.0, 0.5, 1.0, 1.5]) * 0.2 / np.sqrt(dim) for _ in range(8)]
+    other = [np.append(v, 0.0) for v in x[:10]]        # equal directions, one more component
+    rows = [(k, [float(v) for v in r]) for k, r in enumerate(x + other)]
+    got = {r.vec_id: r for r in C.similar_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+
+    def links(vs):
+        u = np.array(vs)
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        return ((u @ u.T >= 0.95).sum(1) - 1).tolist()
+
+    want = links(x) + links(other)
+    assert all(got[k].n_links <= w for k, w in enumerate(want))
+    assert sum(r.n_links for r in got.values()) >= 0.97 * sum(want) > 200
+    assert all(got[k].component_id >= len(x) for k in range(len(x), len(rows)))
+
+
+def test_double_components_are_not_narrowed(spark):
+    a = [1.0, 0.0, 1e-9]
+    b = [1.0, 0.0, 1e-9 + 1e-17]
+    df = spark.createDataFrame([(0, a), (1, b), (2, [1e200, 0.0, 1e191])], "vec_id bigint, embedding array<double>")
+    assert [r.n_links for r in C.similar_vectors(df).collect()] == [2, 2, 2]
