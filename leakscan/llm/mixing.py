@@ -18,7 +18,8 @@ equality join on cells of the unit interval.
 
 Defined results: null texts have size 0; documents of size 0 are never taken; null sources
 form one source, last in order; an empty table gives an empty result; repeated rows are
-documents of their own with equal results; ties of the hash are broken by doc_id and size.
+documents of their own with equal results; ties of the hash are broken by doc_id, a hash of the
+text and size. Rows of one doc_id with different texts lie in different buckets.
 """
 
 from __future__ import annotations
@@ -44,8 +45,8 @@ class Mix:
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: words of the whole text."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
+    """doc_id, source, size: words of the whole text; mark: a hash of the text, by which rows of one doc_id differ."""
+    return docs.select("doc_id", "source", F.xxhash64("text").alias("mark"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
 
 
 def targets(sized: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -102,12 +103,12 @@ def blocks(sized: DataFrame, per: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """doc_id, size, first_word (its place among its source's shuffled words) and the columns of ``per``."""
     n = max(1, -(-(sized.count()) // mix.bucket_rows))   # one number
     d = sized.join(per.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    d = d.withColumn("h", F.xxhash64(F.lit(mix.seed), "doc_id"))
+    d = d.withColumn("h", F.xxhash64(F.lit(mix.seed), "doc_id", "mark"))
     # buckets are ranges of the hash, so that (bucket, hash) is the hash's order
     d = d.withColumn("bucket", F.floor((F.col("h") / 18446744073709551616.0 + 0.5) * n))
     sums = d.groupBy("source_no", "bucket").agg(F.sum("size").alias("n")).withColumn(
         "base", F.sum("n").over(Window.partitionBy("source_no").orderBy("bucket")) - F.col("n")).drop("n")
-    within = Window.partitionBy("source_no", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("source_no", "bucket").orderBy("h", "doc_id", "mark", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return d.join(sums, ["source_no", "bucket"]).withColumn("first_word", F.col("base") + F.sum("size").over(within) - F.col("size")).drop("bucket", "base")
 
 

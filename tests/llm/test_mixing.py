@@ -56,3 +56,23 @@ def test_schedule_is_whole_and_even(spark):
     first = Counter(s.source_no for s in slots if s.slot is not None and s.slot < 100)
     total = sum(quota.values())
     assert all(abs(first[k] - 100 * q / total) < 4 for k, q in quota.items())
+
+
+def test_rows_of_one_id_lie_in_many_buckets(spark):
+    df = spark.createDataFrame([(None if k % 2 else 7, "w " * (1 + k % 50) + str(k), "s") for k in range(2000)], "doc_id bigint, text string, source string")
+    mix = mixing.Mix(bucket_rows=100)
+    sized = mixing.sizes(df)
+    laid = mixing.blocks(sized, mixing.targets(sized, mix), mix)
+    assert laid.select("h").distinct().count() == 2000
+    words = sorted((r.first_word, r["size"]) for r in laid.collect())
+    assert all(a + n == b for (a, n), (b, _) in zip(words, words[1:]))
+
+
+def test_repeat_documents_takes_copies_by_the_blocks(spark):
+    df = spark.createDataFrame([(k, "w " * 300, f"s{k % 3}", k) for k in range(90)] + [(900, None, "s0", 0), (901, " ", "s1", 0)],
+                               "doc_id bigint, text string, source string, copies bigint")
+    copies = {r.doc_id: r.copies for r in mixing.mix_documents(df.drop("copies")).collect()}
+    out = mixing.repeat_documents(df)
+    assert out.columns == df.columns
+    got = Counter(r.doc_id for r in out.collect())
+    assert got == Counter({d: n for d, n in copies.items() if n}) and 900 not in got and 901 not in got
