@@ -149,17 +149,13 @@ def quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
 
 
 def keep(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their columns. The texts stay where they
-    are: the first pass makes the references, the second judges each row in place."""
-    refs = put(_final_references(docs, rules), "quality-refs")
+    """The rows of ``docs`` that the rules keep, with their columns. Features are made once and
+    written with the rows, as texts are cheaper to write and read than to count again."""
     cols = docs.columns
     d = docs.withColumn("row__", F.struct(*[f"`{c}`" for c in cols]))
-    judged = judge(features(d, rules, carry=["row__"]), refs, rules)
+    feats = put(features(d, rules, carry=["row__"]), "quality")
+    numbers = feats.drop("row__")
+    first = judge(numbers, references(numbers, rules), rules).where("kept").select(*numbers.columns)
+    refs = put(references(first, rules), "quality-refs")
     # a filter would be pushed below the projections and repeat their expressions; a generator is not
-    return judged.select(F.inline(F.when(F.col("kept"), F.array("row__")).otherwise(F.slice(F.array("row__"), 1, 0))))
-
-
-def _final_references(docs: DataFrame, rules: QualityRules) -> DataFrame:
-    feats = put(features(docs, rules), "quality")
-    first = judge(feats, references(feats, rules), rules).where("kept").select(*feats.columns)
-    return references(first, rules)
+    return judge(feats, refs, rules).select(F.inline(F.when(F.col("kept"), F.array("row__")).otherwise(F.slice(F.array("row__"), 1, 0))))

@@ -70,3 +70,11 @@ def test_labelled_documents(spark):
 def test_no_python_on_the_path(spark):
     df = Q.judge(Q.features(documents(spark)), Q.references(Q.features(documents(spark))))
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_keep_is_the_verdict_of_quality(spark):
+    for make in (documents, edge_docs, empty_docs):
+        df = make(spark)
+        kept = sorted(repr(r.doc_id) for r in Q.quality(df).collect() if r.kept)
+        out = Q.keep(df)
+        assert out.columns == df.columns and sorted(repr(r.doc_id) for r in out.collect()) == kept
