@@ -1,21 +1,24 @@
 """Similar embeddings by spherical-cap filters.
 
 Filter directions form structured random product codes: after a random rotation the dimensions
-are cut into three blocks, each with ``CODES`` random unit vectors, and every triple of code
-vectors is one direction (``CODES``^3 a rotation; ``ROTATIONS`` of them even out the lists). A
-vector is list-decoded to all directions on which its projection exceeds ``CAP``, and the
+are cut into three blocks, each with some random unit vectors, and every triple of code
+vectors is one direction (``ROTATIONS`` codes even out the lists). A
+vector is list-decoded to all directions on which its projection exceeds the cap, and the
 nearest one of each rotation: pairs of code vectors that can't reach the cap with the best
 third are pruned. Vectors close to each other share some of their directions; they join
 on them and the cosine is verified in double precision.
 
+Cap and code size follow from the number of different vectors: a direction is exceeded by about
+``MEMBERS`` unrelated vectors and a vector exceeds about ``LISTED`` directions at any size, so
+that the work of a vector doesn't grow with the table (but for list decoding, by its power 2/3).
+
 Equal vectors are one class. A pair that meets on several directions counts on the smallest one
 only, found by the incidence of members and smaller directions. Members of a direction beyond
 ``BLOCK`` are split into blocks by hash and all pairs of blocks are jobs of their own, so a
 crowded direction is neither cut nor gathered in one task. A job gives sums of links and a
 spanning forest, never pairs.
 
-Vectors of each length are a space of their own, with its own directions; the cap is the same
-number of standard deviations of a projection in all of them. Components keep their precision (float or double).
+Vectors of each length are a space of their own, with its own directions and cap. Components keep their precision (float or double).
 
 Defined results: vectors that are null, empty, zero or hold null or
 non-finite components link with nothing and are their own component; vectors of different
@@ -25,6 +28,8 @@ Every vector is decoded; tests measure the share of links found against brute fo
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,16 +37,17 @@ from pyspark.sql import functions as F
 from .common import put, ship
 from .components import components
 
-CODES = 32
 ROTATIONS = 10
-CAP = 3.68          # standard deviations of a projection: 0.46 at 64 dimensions
+MEMBERS = 8         # unrelated vectors on a direction, besides nearest ones
+LISTED = 16         # directions that a vector exceeds
+LEAST_CODES = 4
 MAX_CAP = 0.9       # as a projection, in few dimensions
 BLOCK = 2048
 COSINE = 0.95
 SEED = 4
 
 
-def code(dim: int = 64, codes: int = CODES):
+def code(dim: int = 64, codes: int = 32):
     """(slice, code vectors) of the three blocks; the same on every machine."""
     rnd = np.random.Generator(np.random.PCG64(SEED))
     edges = np.linspace(0, dim, 4).astype(int)
@@ -55,9 +61,14 @@ def code(dim: int = 64, codes: int = CODES):
     return out
 
 
-def cap_of(dim: int) -> float:
+def size_of(total: int) -> int:
+    """Code vectors of a block, for ``total`` different vectors."""
+    return max(LEAST_CODES, int(np.ceil((LISTED * total / MEMBERS / ROTATIONS) ** (1 / 3))))
+
+
+def cap_of(dim: int, total: int) -> float:
     """The projection that a vector must exceed."""
-    return min(MAX_CAP, CAP / np.sqrt(dim))
+    return min(MAX_CAP, NormalDist().inv_cdf(1 - min(0.1, MEMBERS / total)) / np.sqrt(dim))
 
 
 def rotations(dim: int):
@@ -66,33 +77,38 @@ def rotations(dim: int):
     return [np.linalg.qr(rnd.standard_normal((dim, dim)))[0] for _ in range(ROTATIONS)]
 
 
-def directions(x, blocks, turns):
+def directions(x, blocks, turns, cap: float):
     """Sorted numbers of the directions of each row, over all rotations."""
-    lists = [decode(x @ r, blocks, cap_of(x.shape[1])) for r in turns]
-    return [np.concatenate([v + k * CODES**3 for k, v in enumerate(own)]).astype(np.int32) for own in zip(*lists)]
+    each = int(np.prod([len(c) for _, c in blocks]))
+    lists = [decode(x @ r, blocks, cap) for r in turns]
+    return [np.concatenate([v + k * each for k, v in enumerate(own)]) for own in zip(*lists)]
 
 
 def decode(x, blocks, cap: float):
     """Directions (sorted numbers) that each row of ``x`` exceeds; the nearest one in any case."""
     p, q, r = (x[:, s] @ c.T for s, c in blocks)
-    k1, k2 = len(blocks[1][1]), len(blocks[2][1])
+    k0, k1, k2 = (len(c) for _, c in blocks)
     need = cap * np.sqrt(3.0)
+    best = (p.argmax(1) * k1 + q.argmax(1)) * k2 + r.argmax(1)
+    step = max(1, 1_000_000 // (k0 * k1))
     out = []
-    for a, b, c in zip(p, q, r):
-        pairs = a[:, None] + b[None, :]
-        i, j = np.nonzero(pairs >= need - c.max())
-        down = np.argsort(-c)
-        n = np.searchsorted(-c[down], pairs[i, j] - need, "right")
-        third = down[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        f = (np.repeat(i, n) * k1 + np.repeat(j, n)) * k2 + third
-        if not len(f):
-            f = np.array([(a.argmax() * k1 + b.argmax()) * k2 + c.argmax()])
-        out.append(np.sort(f))
+    for lo in range(0, len(x), step):
+        pairs = p[lo:lo + step, :, None] + q[lo:lo + step, None, :]
+        top = r[lo:lo + step].max(1)
+        row, i, j = np.nonzero(pairs >= (need - top)[:, None, None])
+        third = [np.nonzero(r[lo + row[k:k + 20_000]] >= need - pairs[row[k:k + 20_000], i[k:k + 20_000], j[k:k + 20_000]][:, None])
+                 for k in range(0, len(row), 20_000)]
+        at = np.concatenate([t[0] + 20_000 * k for k, t in enumerate(third)]) if third else np.zeros(0, np.int64)
+        f = (i[at] * k1 + j[at]) * k2 + (np.concatenate([t[1] for t in third]) if third else at)
+        # rows, pairs and thirds come in order, so the numbers of a row do
+        lists = np.split(f, np.searchsorted(row[at], np.arange(1, len(pairs))))
+        out += [v if len(v) else best[lo + k:lo + k + 1] for k, v in enumerate(lists)]
     return out
 
 
-def _unit(raw, kind):
-    x = np.stack([np.frombuffer(v, kind) for v in raw]).astype(np.float64)
+def _unit(raw):
+    """Rows of double precision, scaled to length 1."""
+    x = raw.astype(np.float64)
     x /= np.abs(x).max(1, keepdims=True)         # no overflow or underflow in the norms
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -107,44 +123,49 @@ def _assign(classes: DataFrame, kind: str) -> DataFrame:
         for b in batches:
             lengths = b.column("embedding").value_lengths().to_numpy(zero_copy_only=False)
             for dim in np.unique(lengths).tolist():
-                if dim not in spaces:
-                    spaces[dim] = code(dim), rotations(dim)
                 own = b.take(pa.array(np.flatnonzero(lengths == dim)))
+                if dim not in spaces:
+                    total = own.column("total")[0].as_py()
+                    spaces[dim] = code(dim, size_of(total)), rotations(dim), cap_of(dim, total)
                 for lo in range(0, own.num_rows, 500):
                     part = own.slice(lo, 500)
                     raw = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dim)
-                    raw = [v.tobytes() for v in raw]
-                    lists = directions(_unit(raw, kind), *spaces[dim])
+                    lists = directions(_unit(raw), *spaces[dim])
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("node"), part.column("n"), pa.array([dim] * len(raw), pa.int32()), pa.array(raw, pa.binary()), pa.array(lists, pa.list_(pa.int32()))],
+                        [part.column("node"), part.column("n"), pa.array([dim] * len(raw), pa.int32()), pa.array([v.tobytes() for v in raw], pa.binary()), pa.array(lists, pa.list_(pa.int64()))],
                         names=["node", "n", "dim", "x", "filters"])
 
-    return classes.select("node", "n", "embedding").mapInArrow(run, "node string, n bigint, dim int, x binary, filters array<int>")
+    sized = classes.select("node", "n", "embedding", F.size("embedding").alias("dim"))
+    # one number a length; the side is joined without a hint
+    sized = sized.join(sized.groupBy("dim").agg(F.count("*").alias("total")), "dim")
+    return sized.select("node", "n", "embedding", "total").mapInArrow(run, "node string, n bigint, dim int, x binary, filters array<bigint>")
 
 
 def linked(x, n, filters, f, block=None):
     """Sums of links and a root for each member of one job: pairs with the cosine or more that
-    share no direction below ``f``; of different ``block`` if given."""
+    share no direction below ``f``; of different ``block`` if given. None if there is no such pair."""
     m = len(x)
-    small = [v[v < f] for v in filters]
-    seen, count = np.unique(np.concatenate(small), return_counts=True)
-    seen = seen[count > 1]
-    inc = np.zeros((m, len(seen)), np.float32)
-    if len(seen):
-        who = np.repeat(np.arange(m), list(map(len, small)))
-        at = np.minimum(np.searchsorted(seen, np.concatenate(small)), len(seen) - 1)
-        ok = seen[at] == np.concatenate(small)
-        inc[who[ok], at[ok]] = 1
     hit = np.zeros((m, m), bool)
     for lo in range(0, m, 512):
-        part = x[lo:lo + 512] @ x.T >= COSINE
-        if len(seen):
-            part &= ~(inc[lo:lo + 512] @ inc.T > 0)
-        hit[lo:lo + 512] = part
+        hit[lo:lo + 512] = x[lo:lo + 512] @ x.T >= COSINE
     hit[np.arange(m), np.arange(m)] = False
     hit &= hit.T
     if block is not None:
         hit &= block[:, None] != block[None, :]
+    some = np.flatnonzero(hit.any(1))
+    if not len(some):
+        return None
+    small = [filters[k][filters[k] < f] for k in some]
+    seen, at, count = np.unique(np.concatenate(small), return_inverse=True, return_counts=True)
+    who = np.repeat(np.arange(len(some)), list(map(len, small)))
+    ok = count[at] > 1
+    if ok.any():
+        number = np.cumsum(count > 1) - 1
+        inc = np.zeros((len(some), number[-1] + 1), np.float32)
+        inc[who[ok], number[at[ok]]] = 1
+        for lo in range(0, len(some), 512):
+            met = inc[lo:lo + 512] @ inc.T > 0
+            hit[np.ix_(some[lo:lo + 512], some)] &= ~met
     root = np.arange(m)
     while True:
         low = np.minimum(root, np.where(hit, root[None, :], m).min(1)) if m else root
@@ -155,31 +176,53 @@ def linked(x, n, filters, f, block=None):
     return (hit * n[None, :]).sum(1), root
 
 
+def _runs(batches, keys):
+    """Tables of whole jobs with the bounds of each; rows come sorted by ``keys``. A job has at
+    most two blocks of members, so what is carried to the next batch is bounded."""
+    import pyarrow as pa
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = (t if rest is None else pa.concat_tables([rest, t])).combine_chunks()
+        key = np.stack([t.column(k).to_numpy() for k in keys])
+        bounds = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+        if len(bounds):
+            yield t.slice(0, bounds[-1]).combine_chunks(), np.concatenate([[0], bounds])
+            t = t.slice(bounds[-1])
+        rest = t
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks(), np.array([0, rest.num_rows])
+
+
 def _link(jobs: DataFrame, kind: str) -> DataFrame:
     """(node, links, root) sums of each job."""
     import pyarrow as pa
     ship(jobs.sparkSession)
+    keys = ["dim", "f", "lo", "hi"]
 
     def run(batches):
-        from itertools import groupby
-        rows = (r for b in batches for r in b.to_pylist())
-        cols: list = [], [], []
-        for (_, f, lo, hi), own in groupby(rows, key=lambda r: (r["dim"], r["f"], r["lo"], r["hi"])):
-            own = list(own)
-            if len(own) < 2:
-                continue
-            links, root = linked(_unit([r["x"] for r in own], kind), np.array([r["n"] for r in own], np.int64),
-                                 [np.array(r["filters"], np.int32) for r in own], f,
-                                 np.array([r["block"] for r in own]) if lo < hi else None)
-            for k in np.flatnonzero(links).tolist():
-                for c, v in zip(cols, (own[k]["node"], int(links[k]), own[root[k]]["node"])):
-                    c.append(v)
-            if len(cols[0]) > 20_000:
+        for t, bounds in _runs(batches, keys):
+            dim, f, lo, hi, block, n = (t.column(c).to_numpy() for c in [*keys, "block", "n"])
+            x, lists, node = t.column("x"), t.column("filters"), t.column("node")
+            cols: list = [], [], []
+            for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                if z - a < 2:
+                    continue
+                raw = np.frombuffer(b"".join(x.slice(a, z - a).to_pylist()), kind).reshape(z - a, dim[a])
+                own = lists.slice(a, z - a).combine_chunks()
+                own = own.chunk(0) if isinstance(own, pa.ChunkedArray) else own
+                ends = np.cumsum(own.value_lengths().to_numpy(zero_copy_only=False))
+                got = linked(_unit(raw), n[a:z], np.split(own.flatten().to_numpy(), ends[:-1]), f[a], block[a:z] if lo[a] < hi[a] else None)
+                if got is None:
+                    continue
+                names = node.slice(a, z - a).to_pylist()
+                for k in np.flatnonzero(got[0]).tolist():
+                    for c, v in zip(cols, (names[k], int(got[0][k]), names[got[1][k]])):
+                        c.append(v)
+            if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["node", "links", "root"])
-                cols = [], [], []
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["node", "links", "root"])
 
-    return jobs.repartition("dim", "f", "lo", "hi").sortWithinPartitions("dim", "f", "lo", "hi").mapInArrow(run, "node string, links bigint, root string")
+    return jobs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "node string, links bigint, root string")
 
 
 def similar_vectors(vectors: DataFrame) -> DataFrame:
