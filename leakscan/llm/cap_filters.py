@@ -234,8 +234,10 @@ def similar_vectors(vectors: DataFrame) -> DataFrame:
         "node", F.when(F.col("fine"), F.concat_ws("-", F.xxhash64("embedding").cast("string"), F.xxhash64(F.lit(7), "embedding").cast("string"))))
     classes = put(v.where("fine").groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("embedding").alias("embedding")), "classes")
     assigned = put(_assign(classes, kind), "filters").withColumn("f", F.explode("filters"))
-    counts = assigned.groupBy("dim", "f").agg(F.count("*").alias("m")).where("m > 1").select("dim", "f", F.ceil(F.col("m") / BLOCK).alias("nb"))
-    jobs = assigned.join(counts, ["dim", "f"]).withColumn("block", F.pmod(F.xxhash64("node", "f"), "nb"))
+    # written, so that its size is known before the rows are dealt: only directions of several blocks
+    crowded = put(assigned.groupBy("dim", "f").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("dim", "f", F.ceil(F.col("m") / BLOCK).alias("nb")), "crowded")
+    jobs = assigned.join(crowded, ["dim", "f"], "left").withColumn("nb", F.coalesce("nb", F.lit(1).cast("bigint")))
+    jobs = jobs.withColumn("filters", F.expr("filter(filters, g -> g < f)")).withColumn("block", F.pmod(F.xxhash64("node", "f"), "nb"))
     jobs = jobs.withColumn("peer", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)))
     found = put(_link(jobs.select("dim", "f", F.least("block", "peer").alias("lo"), F.greatest("block", "peer").alias("hi"), "block", "node", "n", "x", "filters"), kind), "links")
     comp = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
