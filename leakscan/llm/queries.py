@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import (bpe, cap_filters, chat, code_compress, minhash, mixing, packing, periodic_runs, quality, suffix_dedup,
-               token_file, toxicity, url_rules)
+from . import (bpe, cap_filters, chat, code_compress, minhash, mixing, oracle_sql, packing, periodic_runs, quality,
+               suffix_dedup, token_file, toxicity, url_rules)
 from .common import table
 
 QUERIES: dict = {}
@@ -116,4 +116,6 @@ def op13(spark, sf_dir):
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    """SQL by query; the others have none, and tests hold them against brute force or the public library."""
+    return {"op7_chat_format": oracle_sql.chat_sql(), "op10_quality_rules": oracle_sql.quality_sql(),
+            "op12_vector_codes": oracle_sql.codes_sql()}
