@@ -2,7 +2,8 @@
 
 A template is parsed into a syntax tree, constants are folded, and the tree becomes nested
 Python closures that write pieces of text and the marks of generation blocks to a sink.
-Conversations stream through the closures turn by turn.
+Conversations stream through the closures turn by turn and leave them in segments of whole turns,
+so that no conversation is held as one string.
 
 Language: text, ``{{ expression }}``, ``{% for x in messages %}..{% endfor %}``,
 ``{% if %}..{% elif %}..{% else %}..{% endif %}``, ``{% set x = expression %}``,
@@ -38,6 +39,9 @@ TEMPLATE = """{% for m in messages %}<|turn|>{{ m.role | escape }}<|says|>{% if
 {{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %}<|end|>
 {% endfor %}"""
 
+#: Characters after which a segment ends in front of the next turn.
+SEGMENT = 16_000
+
 _BREAK = re.compile("|".join(f"(?<={re.escape(c[0])})(?={re.escape(c[1:])})" for c in CONTROL))
 _JOIN = re.compile(r"\\\\|\\")
 
@@ -373,20 +377,26 @@ def _emit(node):
     name, body = node[1], _emit(node[2])
 
     def loop(env, messages, sink):
-        turns, k = iter(messages), 0
-        turn = next(turns, None)
-        while turn is not None:
-            after = next(turns, None)
-            body({**env, name: turn, "loop": {"index": k + 1, "index0": k, "first": k == 0, "last": after is None}}, messages, sink)
-            turn, k = after, k + 1
+        for scope in _scopes(env, name, messages):
+            body(scope, messages, sink)
     return loop
 
 
+def _scopes(env, name, messages):
+    """The names of a loop's body, turn by turn; one turn is read ahead."""
+    turns, k = iter(messages), 0
+    turn = next(turns, None)
+    while turn is not None:
+        after = next(turns, None)
+        yield {**env, name: turn, "loop": {"index": k + 1, "index0": k, "first": k == 0, "last": after is None}}
+        turn, k = after, k + 1
+
+
 class Sink:
     """Text with its length in code points, and the spans of generation blocks."""
 
     def __init__(self):
-        self.parts, self.length, self.spans, self.open = [], 0, [], None
+        self.parts, self.length, self.spans, self.open, self.start = [], 0, [], None, 0
 
     def write(self, text):
         self.parts.append(text)
@@ -401,6 +411,12 @@ class Sink:
         self.spans.append((self.open, self.length))
         self.open = None
 
+    def take(self):
+        """(start, text, spans in that text) of what was written since the last call."""
+        out = self.start, "".join(self.parts), [(a - self.start, z - self.start) for a, z in self.spans]
+        self.parts, self.spans, self.start = [], [], self.length
+        return out
+
 
 def compile_template(source: str):
     """messages -> (formatted text, spans of the loss mask in code points)."""
@@ -413,31 +429,63 @@ def compile_template(source: str):
     return render
 
 
-def format_conversations(rows: DataFrame, template: str = TEMPLATE) -> DataFrame:
-    """conv_id, formatted, loss_spans (array of struct<start, stop>), one row per conversation.
+def _loops(node) -> int:
+    """Loops in a syntax tree."""
+    return isinstance(node, (tuple, list)) and (bool(node) and node[0] == "for") + sum(map(_loops, node))
+
+
+def compile_segments(source: str, limit: int = SEGMENT):
+    """messages -> segments (start, text, loss spans in that text), cut in front of a turn of an
+    outer loop where a segment has ``limit`` characters. A template whose only loop is an outer one reads
+    its messages once, turn by turn; others take a list of them."""
+    tree = fold(parse(source))
+    nodes = tree[1] if tree[0] == "block" else [tree]
+    once = _loops(tree) == 1 and any(x[0] == "for" for x in nodes)
+    parts = [(x[1], _emit(x[2])) if x[0] == "for" else (None, _emit(x)) for x in nodes]
+
+    def segments(messages):
+        env, sink = {}, Sink()
+        messages = messages if once else list(messages)
+        for name, emit in parts:
+            if name is None:
+                emit(env, messages, sink)
+                continue
+            for scope in _scopes(env, name, messages):
+                if sink.length - sink.start >= limit:
+                    yield sink.take()
+                emit(scope, messages, sink)
+        yield sink.take()
+    return segments
+
+
+def format_conversations(rows: DataFrame, template: str = TEMPLATE, limit: int = SEGMENT) -> DataFrame:
+    """conv_id, part, start, formatted, loss_spans (array of struct<start, stop>, places in
+    ``formatted``): the segments of each conversation, ``part`` from 0, ``start`` characters into it. Most
+    conversations are one segment.
 
     One shuffle by conv_id; the sorted rows stream through the closures, so a task holds
-    one conversation at a time, whose formatted text is its output row."""
+    one turn and one segment at a time, however long a conversation is. The segments of a conversation follow
+    each other in one partition."""
     import pyarrow as pa
     ship(rows.sparkSession)
     d = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    schema = "conv_id bigint, formatted string, loss_spans array<struct<start: bigint, stop: bigint>>"
-    arrow = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()),
+    schema = "conv_id bigint, part bigint, start bigint, formatted string, loss_spans array<struct<start: bigint, stop: bigint>>"
+    arrow = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("start", pa.int64()), ("formatted", pa.string()),
                        ("loss_spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
 
     def run(batches):
         from itertools import groupby
-        render = compile_template(template)
+        segments = compile_segments(template, limit)
         turns = (t for b in batches for t in b.to_pylist())
         out, size = [], 0
         for conv_id, own in groupby(turns, key=lambda t: t["conv_id"]):
-            text, spans = render(own)
-            out.append({"conv_id": conv_id, "formatted": text, "loss_spans": [{"start": a, "stop": z} for a, z in spans]})
-            size += len(text)
-            if size > 4_000_000:
-                yield pa.RecordBatch.from_pylist(out, arrow)
-                out, size = [], 0
+            for part, (start, text, spans) in enumerate(segments(own)):
+                out.append({"conv_id": conv_id, "part": part, "start": start, "formatted": text, "loss_spans": [{"start": a, "stop": z} for a, z in spans]})
+                size += len(text)
+                if size > 4_000_000:
+                    yield pa.RecordBatch.from_pylist(out, arrow)
+                    out, size = [], 0
         if out:
             yield pa.RecordBatch.from_pylist(out, arrow)
 
@@ -452,25 +500,39 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(r), unescape(t)) for r, t in _TURN.findall(formatted)]
 
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """Turns and loss mask, read back from the formatted texts (``TEMPLATE``)."""
+def digests(formatted: DataFrame, ordered: bool = False) -> DataFrame:
+    """Turns and loss mask, read back from the formatted segments (``TEMPLATE``), one row per conversation.
+    Hashes are fed segment by segment, so a task holds a few segments at a time. ``ordered``: the segments of
+    each conversation already follow each other in one partition, as ``format_conversations`` gives them."""
     import pyarrow as pa
     ship(formatted.sparkSession)
+    d = formatted.select("conv_id", "part", "formatted", "loss_spans")
+    if not ordered:
+        d = d.repartition("conv_id").sortWithinPartitions("conv_id", "part")
 
     def run(batches):
-        def sha(s):
-            return hashlib.sha256(s.encode("utf-8")).hexdigest()
+        from itertools import groupby
+        names = "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"
+        segments = (r for b in batches for r in b.to_pylist())
+        out: list = []
 
-        for b in batches:
-            cols: dict = {k: [] for k in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")}
-            for text, spans in zip(b.column("formatted").to_pylist(), b.column("loss_spans").to_pylist()):
+        def table():
+            return pa.RecordBatch.from_arrays([pa.array(v, pa.string() if k.endswith("sha256") else pa.int64()) for k, v in zip(names, zip(*out))], names=list(names))
+
+        for conv_id, own in groupby(segments, key=lambda r: r["conv_id"]):
+            said, masked, n_turns, loss_chars, chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+            for r in own:
+                text = r["formatted"]
                 turns = read_back(text)
-                loss = "".join(unescape(text[s["start"]:s["stop"]]) for s in spans)
-                for k, v in zip(cols, (len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text))):
-                    cols[k].append(v)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("conv_id"), *[pa.array(v, pa.string() if k.endswith("sha256") else pa.int64()) for k, v in cols.items()]],
-                names=["conv_id", *cols])
-
-    return formatted.mapInArrow(
-        run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+                loss = "".join(unescape(text[s["start"]:s["stop"]]) for s in r["loss_spans"])
+                said.update("".join(f"{role}\n{t}\n" for role, t in turns).encode("utf-8"))
+                masked.update(loss.encode("utf-8"))
+                n_turns, loss_chars, chars = n_turns + len(turns), loss_chars + len(loss), chars + len(text)
+            out.append((conv_id, n_turns, said.hexdigest(), loss_chars, masked.hexdigest(), chars))
+            if len(out) >= 10_000:
+                yield table()
+                out.clear()
+        if out:
+            yield table()
+
+    return d.mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")

@@ -74,7 +74,7 @@ def op7(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id bigint, turn bigint, role string, text string")
-    return chat.digests(chat.format_conversations(rows.unionByName(own)))
+    return chat.digests(chat.format_conversations(rows.unionByName(own)), ordered=True)
 
 
 @_register("op8_suffix_dedup")

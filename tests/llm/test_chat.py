@@ -22,6 +22,23 @@ def test_language():
     assert r(m) == ("ab1UHI;z2yo1;", [(9, 12)])
 
 
+def test_segments_hold_whole_turns_and_read_once():
+    m = [{"role": ["user", "assistant"][k % 2], "text": "x" * (k % 7), "turn": k} for k in range(50)]
+    whole, spans = chat.compile_template(chat.TEMPLATE)(m)
+    got = list(chat.compile_segments(chat.TEMPLATE, 100)(iter(m)))
+    assert len(got) > 5 and all(100 <= len(t) < 200 for _, t, _ in got[:-1])
+    assert "".join(t for _, t, _ in got) == whole and [a for a, _, _ in got] == [sum(len(t) for _, t, _ in got[:k]) for k in range(len(got))]
+    assert [(a + x, a + z) for a, _, own in got for x, z in own] == spans
+    assert all(t.startswith("<|turn|>") and t.endswith("<|end|>\n") for _, t, _ in got)
+
+
+def test_templates_of_several_loops_see_all_turns():
+    m = [{"role": "user", "text": c, "turn": 0} for c in "abc"]
+    source = "<{% for m in messages %}{{ m.text }}{% endfor %}|{% for m in messages %}{% for o in messages %}{{ o.text }}{% endfor %}{% endfor %}>"
+    assert "".join(t for _, t, _ in chat.compile_segments(source, 2)(iter(m))) == "<abc|abcabcabc>" == chat.compile_template(source)(m)[0]
+    assert [t for _, t, _ in chat.compile_segments("{% if 'a' == 'a' %}no loop{% endif %}", 2)(iter(m))] == ["no loop"]
+
+
 def test_constant_folding():
     tree = chat.fold(chat.parse("a{{ 'b' + 'c' }}{% if 1 == 1 %}d{% else %}{{ x }}{% endif %}{% if false %}{{ y }}{% endif %}"))
     assert tree == ("block", [("print", ("const", "abcd"))])
@@ -56,6 +73,17 @@ def test_conversations(spark):
     assert run(df) == want([tuple(r) for r in df.collect()])
 
 
+def test_segments_give_the_same_in_any_order(spark):
+    """A conversation with a third of all turns, cut into many segments and dealt again."""
+    rows = [(7 if k % 3 == 0 else k, k // 2, ["user", "assistant"][k % 2], f"text {k} </s> \\") for k in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    parts = chat.format_conversations(df, limit=200)
+    most = parts.groupBy("conv_id").count().where("conv_id = 7").collect()[0]["count"]
+    assert most > 100
+    for d in (chat.digests(parts, ordered=True), chat.digests(parts.repartition(5, "part"))):
+        assert sorted((tuple(r)[:5] for r in d.collect()), key=repr) == want(rows)
+
+
 def test_edges(spark):
     rows = [(1, 0, "user", None), (1, 0, "user", None), (1, None, None, "x"), (1, 2, "assistant", ""), (2, 1, "assistant", "</s>" * 9),
             (2, 1, "assistant", "<|turn|>\\"), (None, 0, "user", "q"), (3, 0, "assistant", "l <|end|>\n" * 50000)]
