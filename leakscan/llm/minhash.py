@@ -13,9 +13,12 @@ no pairs are listed. Within a group, similarity (weighted Jaccard on whole shing
 verified exactly: members whose rarest fifth of shingles meet (two sets with similarity 0.8
 must share one of these) form clusters, and in a cluster a pivot is compared with all
 members that are not yet linked with it, until every pair is linked through others or was
-compared. Groups beyond ``BLOCK_UNITS`` shingles are split into blocks by hash; the pairs of
-blocks follow only where links within blocks leave more than one component. So no link
-between candidates is lost and no task holds more than two blocks.
+compared. Groups beyond ``ROUND_UNITS`` shingles are split into blocks by hash; then the
+clusters found meet in rounds, each by its smallest member alone, in blocks dealt anew, as long
+as a round at least halves the clusters of a group (copies of one text come together in a
+round or two, whatever their number). What is left of groups with more than one cluster
+is settled by whole sets in pairs of blocks of ``BLOCK_UNITS``. So no link between candidates is
+lost and no task holds more than two blocks.
 
 Defined results: null, empty and blank texts link with nothing; component_id is the smallest
 doc_id reachable (nulls are ignored while there is another); repeated rows (same doc_id
@@ -38,7 +41,7 @@ from .components import components
 WORDS = 5
 K, ROWS = 320, 8
 BANDS = K // ROWS
-BLOCK_UNITS = 1_000_000
+ROUND_UNITS, BLOCK_UNITS = 50_000, 1_000_000
 CACHE = 250_000
 RANK_BITS = 36
 
@@ -315,6 +318,37 @@ def _verify(members: DataFrame) -> DataFrame:
     return members.select("job", "node", "label", "text").repartition("job").sortWithinPartitions("job", "node").mapInArrow(run, "a string, b string")
 
 
+def _dealt(rows: DataFrame, units: int, salt: int = 0) -> DataFrame:
+    """Adds nb (blocks of a group, of about ``units`` shingles each) and block."""
+    sizes = rows.groupBy("grp").agg(F.ceil(F.sum("n_units") / units).alias("nb"))
+    return rows.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64(F.lit(salt), "node"), "nb"))
+
+
+def _open(state: DataFrame) -> DataFrame:
+    """Groups of more than one cluster, with their number."""
+    return state.where("node = label").groupBy("grp").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def _settle(members: DataFrame, texts: DataFrame, found: DataFrame, labels: DataFrame) -> DataFrame:
+    """More edges for groups of several blocks. ``members`` (grp, node, n_units), ``texts`` (grp, node, text),
+    ``found`` and ``labels``: edges within blocks, and their components. A label is the smallest node of
+    its cluster."""
+    state = put(members.join(labels, "node", "left").select("grp", "node", "n_units", F.coalesce("component", "node").alias("label")), "state")
+    open_, turn = put(_open(state), "open"), 0
+    while not open_.isEmpty():
+        turn += 1
+        heads = _dealt(state.where("node = label").join(open_.select("grp"), "grp"), min(ROUND_UNITS, BLOCK_UNITS), turn)
+        more = put(_verify(heads.join(texts, ["grp", "node"]).withColumn("job", F.concat_ws(":", "grp", "block"))), "links")
+        found = found.unionByName(more)
+        merged = components(more).select(F.col("node").alias("label"), "component")
+        state = put(state.join(merged, "label", "left").select("grp", "node", "n_units", F.coalesce("component", "label").alias("label")), "state")
+        open_ = put(_open(state).join(open_.select("grp", F.col("n").alias("before")), "grp").where("2 * n <= before").select("grp", "n"), "open")
+    rest = _dealt(state.join(_open(state).select("grp"), "grp"), BLOCK_UNITS).join(texts, ["grp", "node"])
+    rest = rest.withColumn("peer", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1))).where("peer <> block OR nb = 1")
+    rest = rest.withColumn("job", F.concat_ws(":", "grp", F.least("peer", "block"), F.greatest("peer", "block")))
+    return put(found.unionByName(_verify(rest)), "links")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, c1, c2, class_id (smallest doc_id with the same text), component_id, kept, n_rows
     (rows with this doc_id and text); one row per input row."""
@@ -323,25 +357,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups_ = candidate_groups(signed).select(F.col("node").alias("c1"), F.col("component").alias("grp"))
     node = F.concat_ws("-", F.col("c1").cast("string"), F.col("c2").cast("string")).alias("node")
     members = put(classes.join(groups_, "c1").select("grp", "rep", "c1", "c2", node, "n_units"), "members")
-    sizes = members.groupBy("grp").agg(F.ceil(F.sum("n_units") / BLOCK_UNITS).alias("nb"))
-    members = members.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("node"), "nb"))
+    members = _dealt(members, min(ROUND_UNITS, BLOCK_UNITS))
     # the texts of candidates alone; c1 and c2 settle rows that share a doc_id
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     hit = [text.doc_id.eqNullSafe(members.rep), F.xxhash64("text") == members.c1, F.xxhash64(F.lit(7), "text") == members.c2]
     with_text = text.join(members, hit[0] & hit[1] & hit[2]).select("grp", "block", "nb", "node", "text")
-    big = members.where("nb > 1").limit(1)
-    if not big.isEmpty():
+    big = not members.where("nb > 1").limit(1).isEmpty()
+    if big:
         with_text = put(with_text, "texts")
     found = put(_verify(with_text.withColumn("job", F.concat_ws(":", "grp", "block")).withColumn("label", F.col("node"))), "links")
     labels = components(found)
-    if not big.isEmpty():
-        state = members.where("nb > 1").join(labels, "node", "left").select("grp", "node", F.coalesce("component", "node").alias("label"))
-        state = put(state, "state")
-        unsettled = state.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("grp")
-        again = with_text.where("nb > 1").join(state.join(unsettled, "grp").drop("grp"), "node")
-        again = again.withColumn("peer", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1))).where("peer <> block")
-        again = again.withColumn("job", F.concat_ws(":", "grp", F.least("peer", "block"), F.greatest("peer", "block")))
-        found = put(found.unionByName(_verify(again)), "links")
+    if big:
+        found = _settle(members.where("nb > 1").select("grp", "node", "n_units"), with_text.where("nb > 1").select("grp", "node", "text"), found, labels)
         labels = components(found)
     own = classes.select("c1", "c2", F.col("rep").alias("class_id"), node)
     own = own.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -68,6 +68,29 @@ def test_blocks_lose_no_link(spark, monkeypatch):
     assert run(df) == want(texts_of(df))
 
 
+def chain(spark):
+    """A chain of texts, each near the one before only; three copies of one text a word apart; and rows of both repeated."""
+    rnd = random.Random(8)
+    cur, rows = [f"w{k}" for k in range(300)], []
+    for _ in range(25):
+        cur = list(cur)
+        k = rnd.randrange(270)
+        cur[k:k + 20] = [f"q{rnd.random()}" for _ in range(20)]
+        rows.append((len(rows), " ".join(cur)))
+    for k in range(40):
+        rows.append((len(rows), " ".join([f"v{j}" for j in range(100)] + [f"x{k}"])))
+    rows += [rows[3], rows[50], rows[50]]
+    return spark.createDataFrame(rows, "doc_id bigint, text string")
+
+
+@pytest.mark.parametrize("rounds, pairs", [(400, 10_000), (400, 700), (10_000, 10_000)])
+def test_rounds_lose_no_link(spark, monkeypatch, rounds, pairs):
+    monkeypatch.setattr(M, "ROUND_UNITS", rounds)
+    monkeypatch.setattr(M, "BLOCK_UNITS", pairs)
+    df = chain(spark)
+    assert run(df) == want(texts_of(df))
+
+
 def test_keep_one(spark):
     df = edge_docs(spark)
     out = M.keep_one(df).collect()
