@@ -2,10 +2,13 @@
 
 ``learn_lexicon`` takes the words that labelled toxic documents use far more often than others
 (smoothed odds of document frequencies). ``Automaton`` puts the terms into a trie and
-intersects it with Levenshtein automata: a state is a set of (trie node, edits left),
-determinized once into a table, so a word is matched by one table walk, and many words at a
-time by numpy. Longer terms allow more edits. ``features`` walks whole texts and scores
-windows of words: hits in quotation marks or near words of reporting count as quoted, dense runs
+intersects it with Levenshtein automata (a swap of two neighbours is one edit): a state is a set
+of (trie node, edits), determinized once in a worker into a table, so a word is matched by one
+table walk, and many words at a time by numpy. Longer terms allow more edits. Words keep digits
+and symbols between letters (st*pid, id1ot) and letters that stand alone are joined (s-c-u-m);
+where such a form is near no term, its parts are looked up. A word that labelled clean documents use
+(``innocent``) is no misspelling; the model learns from each labelled text twice, once as if its
+terms were misspelled. ``features`` walks whole texts and scores windows of words: hits in quotation marks or near words of reporting count as quoted, dense runs
 of hits and hits near a form of address count as abuse. A logistic regression over these
 features gives the score.
 
@@ -16,7 +19,8 @@ ignored; an empty table gives an empty result. Scores use the text alone.
 
 Labels are fitted on about ``max_labels`` rows at most, chosen by hash of their id; that bounds the
 broadcast of labels and the lexicon: a term is a word of ``min_share`` of the toxic documents,
-so there are at most 1 / ``min_share`` times the distinct words of a toxic text.
+so there are at most 1 / ``min_share`` times the distinct words of a toxic text. Innocent words
+are words of these rows, too.
 """
 
 from __future__ import annotations
@@ -48,13 +52,15 @@ class Toxicity:
 
 
 def edits(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
 
 
 class Automaton:
     """Deterministic product of a lexicon trie with Levenshtein automata of its terms.
 
-    ``match`` gives, for each word, the number of the nearest term (-1: none) and its edits."""
+    A state holds the fewest edits by place; a place is a node or, halfway through a swap, the node
+    behind the two letters with the letter still to come. ``match`` gives, for each word, the number
+    of the nearest term (-1: none) and its edits."""
 
     def __init__(self, terms: list[str]):
         self.terms = terms
@@ -80,17 +86,21 @@ class Automaton:
             best = {}
             todo = sorted(state.items(), key=lambda s: s[1])
             while todo:
-                node, e = todo.pop()
-                if e > budget[node] or best.get(node, 99) <= e:
+                place, e = todo.pop()
+                swap = isinstance(place, tuple)
+                if e > budget[place[0] if swap else place] or best.get(place, 99) <= e:
                     continue
-                best[node] = e
-                todo += [(j, e + 1) for j in kids[node].values()]
+                best[place] = e
+                if not swap:
+                    todo += [(j, e + 1) for j in kids[place].values()]
             return frozenset(best.items())
 
         start = close({0: 0})
         self.table, accept, number, todo = [], [], {start: 0}, [start]
         while todo:
             state = todo.pop(0)
+            swaps = [(p, e) for p, e in state if isinstance(p, tuple)]
+            state = [(n, e) for n, e in state if not isinstance(n, tuple)]
             near = min(((e, ends[n]) for n, e in state if ends[n] >= 0 and e <= edits(terms[ends[n]])), default=(0, -1))
             accept.append(near)
             moves: dict = {}
@@ -99,8 +109,17 @@ class Automaton:
                 other[node] = min(other.get(node, 99), e + 1)                 # a letter too many
                 for c, j in kids[node].items():
                     other[j] = min(other.get(j, 99), e + 1)                   # another letter
+            for node, e in state:
+                for first, j in kids[node].items():
+                    for c, k in kids[j].items():
+                        if c != first and e < budget[k]:
+                            to = moves.setdefault(c, dict(other))
+                            to[k, first] = min(to.get((k, first), 99), e + 1)
+            for (node, c), e in swaps:
+                to = moves.setdefault(c, dict(other))
+                to[node] = min(to.get(node, 99), e)
             for c in {c for n, _ in state for c in kids[n]}:
-                moves[c] = dict(other)
+                moves.setdefault(c, dict(other))
                 for node, e in state:
                     if c in kids[node]:
                         moves[c][kids[node][c]] = min(moves[c].get(kids[node][c], 99), e)
@@ -138,17 +157,45 @@ class Automaton:
         return term, cost
 
 
+#: The automaton of the last lexicon that this worker met.
+_LAST: list = [None, None]
+
+
+def automaton(terms: list[str]) -> Automaton:
+    if _LAST[0] != terms:
+        _LAST[:] = [list(terms), Automaton(terms)]
+    return _LAST[1]
+
+
 class Scorer:
     """Context features of whole texts."""
 
-    _TOKEN = re.compile(r"[^\W\d_]+|[\"“”„«»]")
+    #: Letters that stand alone, joined by the same kind of sign; letters with single digits or signs between; quotes.
+    _TOKEN = re.compile(r"(?<!\w)[^\W\d_](?:[-._*+][^\W\d_]){2,}(?!\w)|(?<!\w)[^\W\d_](?: [^\W\d_]){3,}(?!\w)"
+                        r"|[^\W\d_]+(?:[\d*@$!#+][^\W\d_]+)*|[\"“”„«»]")
+    _ALONE = re.compile(r"[^\W\d_](?:[-._*+ ][^\W\d_]){2,}")
+    _PARTS = re.compile(r"[^\W\d_]+")
 
-    def __init__(self, terms: list[str], weights: list[float]):
-        self.automaton, self.weights = Automaton(terms), np.array([*weights, 0.0])
+    def __init__(self, terms: list[str], weights: list[float], innocent: frozenset = frozenset()):
+        self.automaton, self.weights, self.innocent = automaton(terms), np.array([*weights, 0.0]), innocent
         self.words = IdTable()
         self.term, self.cost, self.kind = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int8)
 
-    def features(self, texts: list):
+    def look_up(self, words: list[str]):
+        """Number of the nearest term (-1: none) and its edits, for tokens of ``_TOKEN``."""
+        plain = [w if w.isalpha() else "".join(self._PARTS.findall(w)) if self._ALONE.fullmatch(w) else w for w in words]
+        term, cost = self.automaton.match(plain)
+        term[[k for k in np.flatnonzero(cost > 0).tolist() if plain[k] in self.innocent]] = -1
+        parts = [(k, p) for k in np.flatnonzero(term < 0).tolist() if not plain[k].isalpha() for p in self._PARTS.findall(plain[k])]
+        if parts:
+            t, c = self.look_up([p for _, p in parts])
+            for (k, _), t1, c1 in zip(parts, t.tolist(), c.tolist()):
+                if t1 >= 0 and (term[k] < 0 or c1 < cost[k]):
+                    term[k], cost[k] = t1, c1
+        return term, cost
+
+    def features(self, texts: list, misspelled: bool = False):
+        """``misspelled``: as if no term had been met exactly."""
         if len(self.words) > CACHE:
             self.words.clear()
             self.term, self.cost, self.kind = self.term[:0], self.cost[:0], self.kind[:0]
@@ -156,7 +203,7 @@ class Scorer:
         numbers = self.words.numbers([w for ws in found for w in ws])
         if self.words.new:
             new = self.words.new
-            term, cost = self.automaton.match(new)
+            term, cost = self.look_up(new)
             kind = np.fromiter((1 if w in REPORT else 2 if w in ADDRESS else 3 if w in "\"“”„«»" else 0 for w in new), np.int8, len(new))
             self.term, self.cost, self.kind = (np.concatenate(x) for x in ((self.term, term), (self.cost, cost), (self.kind, kind)))
             self.words.new = []
@@ -169,7 +216,8 @@ class Scorer:
             hit = np.flatnonzero(term >= 0)
             if not len(hit):
                 continue
-            exact = self.cost[own[hit]] == 0
+            cost = np.maximum(self.cost[own[hit]], int(misspelled))
+            exact = cost == 0
             kind = self.kind[own]
             quote = np.cumsum(kind == 3)
             lo, hi = np.maximum(hit - WINDOW, 0), np.minimum(hit + WINDOW + 1, len(ws))
@@ -177,9 +225,9 @@ class Scorer:
             quoted = (quote[hit] % 2 == 1) & (quote[hit] < quote[-1]) | (report[hi] - report[lo] > 0)
             spoken = address[hi] - address[lo] > 0
             run = np.concatenate([[0], np.cumsum(term >= 0)])
-            w = self.weights[term[hit]]
-            out[d] = (np.log1p((exact & ~quoted).sum()), np.log1p((w * (exact & ~quoted)).sum()), np.log1p((~exact & ~quoted).sum()),
-                      np.log1p(quoted.sum()), (run[hi] - run[lo]).max() / WINDOW, np.log1p((spoken & exact).sum()), np.log1p(len(np.unique(term[hit[exact]]))))
+            w = self.weights[term[hit]] * 0.5 ** cost
+            out[d] = (np.log1p((exact & ~quoted).sum()), np.log1p((w * ~quoted).sum()), np.log1p((~exact & ~quoted).sum()),
+                      np.log1p(quoted.sum()), (run[hi] - run[lo]).max() / WINDOW, np.log1p(spoken.sum()), np.log1p(len(np.unique(term[hit]))))
         return out
 
 
@@ -194,32 +242,57 @@ def held_out(col: str):
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def learn_lexicon(docs: DataFrame, train: DataFrame, tox: Toxicity = Toxicity()) -> list[tuple[str, float]]:
-    """Terms and weights (log odds), the strongest first (of equal ones the most frequent). Odds
-    and support alone decide: every word of ``min_share`` of the toxic documents and ``min_odds``."""
+def word_counts(docs: DataFrame, train: DataFrame, tox: Toxicity = Toxicity()) -> DataFrame | None:
+    """w, t, c (labelled documents with the word, toxic and clean) and odds; None without both kinds of labels."""
     # training_labels bounds the broadcast
     d = docs.join(F.broadcast(train), "doc_id").select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0))).alias("w"))
     sizes = train.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     bad, good = int(sizes[0] or 0), int(sizes[1] or 0)
     if not bad or not good:
-        return []
+        return None
     words = d.where("length(w) BETWEEN 3 AND 40").groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     odds = ((F.col("t") + 0.5) / (bad + 1)) / ((F.col("c") + 0.5) / (good + 1))
-    words = words.where(F.col("t") >= max(tox.min_docs, int(tox.min_share * bad))).withColumn("odds", odds).where(F.col("odds") >= tox.min_odds)
+    return words.withColumn("odds", odds).withColumn("enough", F.col("t") >= max(tox.min_docs, int(tox.min_share * bad)))
+
+
+def strongest(words: DataFrame, tox: Toxicity = Toxicity()) -> list[tuple[str, float]]:
+    words = words.where("enough").where(F.col("odds") >= tox.min_odds)
     return [(r.w, float(np.log(r.odds))) for r in words.orderBy(F.desc("odds"), F.desc("t"), "w").collect()]
 
 
-def features(docs: DataFrame, lexicon: list[tuple[str, float]]) -> DataFrame:
+def learn_lexicon(docs: DataFrame, train: DataFrame, tox: Toxicity = Toxicity()) -> list[tuple[str, float]]:
+    """Terms and weights (log odds), the strongest first (of equal ones the most frequent). Odds
+    and support alone decide: every word of ``min_share`` of the toxic documents and ``min_odds``."""
+    words = word_counts(docs, train, tox)
+    return [] if words is None else strongest(words, tox)
+
+
+def innocent(words: DataFrame, lexicon: list[tuple[str, float]], tox: Toxicity = Toxicity()) -> frozenset:
+    """Words near a term that are common words: in ``min_docs`` clean documents, without the odds of a term."""
+    import pyarrow as pa
+    ship(words.sparkSession)
+    terms = [t for t, _ in lexicon]
+
+    def run(batches):
+        for b in batches:
+            term, cost = automaton(terms).match(b.column("w").to_pylist())
+            yield b.filter(pa.array((term >= 0) & (cost > 0)))
+
+    usual = words.where((F.col("c") >= tox.min_docs) & (F.col("odds") < tox.min_odds)).select("w")
+    return frozenset(r.w for r in usual.mapInArrow(run, "w string").collect())
+
+
+def features(docs: DataFrame, lexicon: list[tuple[str, float]], usual: frozenset = frozenset(), misspelled: bool = False) -> DataFrame:
     """doc_id, features (array of double) of every document; map-only."""
     import pyarrow as pa
     ship(docs.sparkSession)
     terms, weights = [t for t, _ in lexicon], [w for _, w in lexicon]
 
     def run(batches):
-        scorer = Scorer(terms, weights)
+        scorer = Scorer(terms, weights, usual)
         for b in batches:
             texts = b.column("text").to_pylist()
-            rows = [scorer.features(texts[lo:hi]) for lo, hi in groups(texts, 1_000_000)]
+            rows = [scorer.features(texts[lo:hi], misspelled) for lo, hi in groups(texts, 1_000_000)]
             flat = np.concatenate([np.zeros((0, len(FEATURES))), *rows])
             offs = (np.arange(len(flat) + 1) * len(FEATURES)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat.reshape(-1)))], names=["doc_id", "features"])
@@ -232,12 +305,18 @@ def score(docs: DataFrame, labels: DataFrame, tox: Toxicity = Toxicity()) -> Dat
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
     train = put(training_labels(labels, tox), "labels")
-    lexicon = learn_lexicon(docs, train, tox)
-    feats = put(features(docs, lexicon), "features")
+    words = word_counts(docs, train, tox)
+    if words is not None:
+        words = put(words, "words")
+    lexicon = [] if words is None else strongest(words, tox)
+    usual = innocent(words, lexicon, tox) if lexicon else frozenset()
+    feats = put(features(docs, lexicon, usual), "features")
     out = feats.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "features")
     if not lexicon:
         return out.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    seen = feats.join(F.broadcast(train), "doc_id").select(array_to_vector("features").alias("features"), F.col("toxic").cast("double").alias("label"))
+    labelled = docs.select("doc_id", "text").join(F.broadcast(train.select("doc_id")), "doc_id")
+    seen = feats.join(F.broadcast(train.select("doc_id")), "doc_id").select("doc_id", "features").unionByName(features(labelled, lexicon, usual, misspelled=True))
+    seen = put(seen, "seen").join(F.broadcast(train), "doc_id").select(array_to_vector("features").alias("features"), F.col("toxic").cast("double").alias("label"))
     model = LogisticRegression(maxIter=50, regParam=1e-3).fit(seen)
     # the fitted function as an expression: a sum over the features
     z = " + ".join([repr(float(model.intercept)) + "D", *[f"features[{k}] * {float(w)!r}D" for k, w in enumerate(model.coefficients)]])

@@ -9,13 +9,15 @@ TERMS = ["idiot", "scum", "pathetic", "worthless", "trash", "réeuxelle", "id"]
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
+    """Edits, a swap of two neighbours being one."""
+    rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a):
         new = [i + 1]
         for j, y in enumerate(b):
-            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
-        row = new
-    return row[-1]
+            swap = rows[-2][j - 1] + 1 if i and j and x == b[j - 1] and a[i - 1] == y else 99
+            new.append(min(rows[-1][j] + (x != y), rows[-1][j + 1] + 1, new[j] + 1, swap))
+        rows.append(new)
+    return rows[-1][-1]
 
 
 def test_automaton_against_distances():
@@ -25,7 +27,10 @@ def test_automaton_against_distances():
         w = list(rnd.choice(TERMS))
         for _ in range(rnd.randint(0, 3)):
             k = rnd.randint(0, len(w))
-            op = rnd.randint(0, 2)
+            op = rnd.randint(0, 3)
+            if op == 3:
+                w[k:k + 2] = w[k:k + 2][::-1]
+                continue
             w = w[:k] + ([rnd.choice("abcdeiotxé")] if op else []) + w[k + (op != 1):]
         words.append("".join(w))
     a = T.Automaton(TERMS)
@@ -84,3 +89,40 @@ def test_lexicon_has_no_cap(spark):
     docs = spark.createDataFrame([(k, " ".join(words) if k < 20 else "clean text") for k in range(200)], "doc_id bigint, text string")
     train = spark.createDataFrame([(k, int(k < 20)) for k in range(200)], "doc_id bigint, toxic int")
     assert sorted(w for w, _ in T.learn_lexicon(docs, train)) == sorted(words)
+
+
+def test_disguised_spellings():
+    s = T.Scorer(["idiot", "stupid", "scum", "moron"], [3.0, 2.0, 2.0, 2.0], frozenset(["scam", "moran"]))
+    seen = s.features(["an id1ot", "so st*pid", "s-c-u-m", "s.t.u.p.i.d", "s t u p i d man", "sutpid", "idoit", "scim", "idiot@home", "stupid-idiot"])
+    assert (seen[:, 1] > 0).all()
+    clean = s.features(["a scam", "by moran", "mo1ran", "a b c d", "u-s-a", "x2y", "well-known", "3rd 5km", "scams", "e-mail me@host", "2 * 3"])
+    assert not clean[[0, 1, 3, 4, 5, 6, 7, 9, 10]].any()
+    assert s.look_up(["s-c-u-m", "stupid", "sutpid"])[1].tolist() == [0, 0, 1]
+
+
+def test_misspelled_texts_are_caught(spark):
+    rnd = random.Random(5)
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    train = T.training_labels(labels)
+    terms = {t for t, _ in T.learn_lexicon(docs, train) if len(t) > 3}
+    toxic = {r.doc_id for r in labels.where("toxic = 1").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id in toxic]
+
+    def spoil(w):
+        if w.lower() not in terms:
+            return w
+        k = rnd.randint(1, len(w) - 2)
+        return rnd.choice([w[:k] + "*" + w[k + 1:], w[:k] + "1" + w[k + 1:], w[:k] + w[k + 1] + w[k] + w[k + 2:], "-".join(w)])
+
+    spoiled = spark.createDataFrame([(d, " ".join(spoil(w) for w in t.split())) for d, t in rows], "doc_id bigint, text string")
+    learn = docs.join(spark.createDataFrame([(d,) for d, _ in rows], "doc_id bigint"), "doc_id", "left_anti").select("doc_id", "text")
+    out = [r.predicted for r in T.score(learn.unionByName(spoiled), labels).collect() if r.doc_id in toxic]
+    assert len(out) == len(rows) and sum(out) > 0.7 * len(out)
+
+
+def test_common_words_are_innocent(spark):
+    rows = [(k, 1, "scum here") for k in range(40)] + [(k, 0, "scam here" if k % 9 == 0 else "scub here" if k == 100 else "here") for k in range(40, 400)]
+    docs = spark.createDataFrame([(k, t) for k, _, t in rows], "doc_id bigint, text string")
+    words = T.word_counts(docs, spark.createDataFrame([(k, y) for k, y, _ in rows], "doc_id bigint, toxic int"))
+    assert T.innocent(words, T.strongest(words)) == {"scam"}
