@@ -17,8 +17,9 @@ compared. Groups beyond ``ROUND_UNITS`` shingles are split into blocks by hash;
 clusters found meet in rounds, each by its smallest member alone, in blocks dealt anew, as long
 as a round at least halves the clusters of a group (copies of one text come together in a
 round or two, whatever their number). What is left of groups with more than one cluster
-is settled by whole sets in pairs of blocks of ``BLOCK_UNITS``. So no link between candidates is
-lost and no task holds more than two blocks.
+is settled by whole sets: blocks of all but the largest cluster meet each other and the blocks of the
+largest, of at most ``BLOCK_UNITS`` each. So no link between candidates is lost and no task
+holds more than two blocks.
 
 Defined results: null, empty and blank texts link with nothing; component_id is the smallest
 doc_id reachable (nulls are ignored while there is another); repeated rows (same doc_id
@@ -343,9 +344,17 @@ def _settle(members: DataFrame, texts: DataFrame, found: DataFrame, labels: Data
         merged = components(more).select(F.col("node").alias("label"), "component")
         state = put(state.join(merged, "label", "left").select("grp", "node", "n_units", F.coalesce("component", "label").alias("label")), "state")
         open_ = put(_open(state).join(open_.select("grp", F.col("n").alias("before")), "grp").where("2 * n <= before").select("grp", "n"), "open")
-    rest = _dealt(state.join(_open(state).select("grp"), "grp"), BLOCK_UNITS).join(texts, ["grp", "node"])
-    rest = rest.withColumn("peer", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1))).where("peer <> block OR nb = 1")
-    rest = rest.withColumn("job", F.concat_ws(":", "grp", F.least("peer", "block"), F.greatest("peer", "block")))
+    # the largest cluster of a group is compared with the rest alone, both in blocks of the rest's size
+    by_label = state.join(_open(state).select("grp"), "grp").groupBy("grp", "label").agg(F.sum("n_units").alias("u"))
+    total = by_label.groupBy("grp").agg(F.sum("u").alias("all"), F.max(F.struct("u", "label")).alias("top"))
+    unit = F.least(F.lit(BLOCK_UNITS), F.greatest(F.lit(min(ROUND_UNITS, BLOCK_UNITS)), F.col("all") - F.col("top.u")))
+    total = total.select("grp", F.col("top.label").alias("main"), F.ceil(F.col("top.u") / unit).alias("n_main"), F.ceil((F.col("all") - F.col("top.u")) / unit).alias("n_rest"))
+    rest = state.join(total, "grp").withColumn("in_main", F.col("label") == F.col("main"))
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("in_main"), F.col("n_main")).otherwise(F.col("n_rest"))))
+    with_main = "transform(sequence(0L, n_main - 1), j -> concat('r', block, 'm', j))"
+    with_rest = "transform(filter(sequence(0L, n_rest - 1), i -> i <> block), i -> concat('r', least(i, block), 'r', greatest(i, block)))"
+    pairs = F.expr(f"CASE WHEN in_main THEN transform(sequence(0L, n_rest - 1), i -> concat('r', i, 'm', block)) ELSE concat({with_main}, {with_rest}) END")
+    rest = rest.select("grp", "node", "label", F.explode(pairs).alias("pair")).join(texts, ["grp", "node"]).withColumn("job", F.concat_ws(":", "grp", "pair"))
     return put(found.unionByName(_verify(rest)), "links")
 
 
