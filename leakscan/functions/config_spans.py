@@ -89,11 +89,11 @@ def brace_spans_sql(text: str) -> str:
 
 def config_spans_sql(text: str) -> str:
     """SQL of all matches of the whole pattern, by position."""
-    keys = " OR ".join(f"instr({text}, '{k}') > 0" for k in KEYS)
+    keys = " OR ".join(f"contains({text}, '{k}')" for k in KEYS)
     empty = f"CAST(array() AS {SPAN_TYPE})"
-    braces = (f"CASE WHEN instr({text}, '{{') > 0 AND instr({text}, '}}') > 0 AND instr({text}, ':') > 0 AND ({keys}) "
+    braces = (f"CASE WHEN contains({text}, '{{') AND contains({text}, '}}') AND contains({text}, ':') AND ({keys}) "
               f"THEN {brace_spans_sql(text)} ELSE {empty} END")
-    dashes = f"CASE WHEN instr({text}, '- ') > 0 THEN {spans_sql(text, DASH_PATTERN)} ELSE {empty} END"
+    dashes = f"CASE WHEN contains({text}, '- ') THEN {spans_sql(text, DASH_PATTERN)} ELSE {empty} END"
     # one element arrays stand for local names: both lists are computed once
     both = f"transform(array(named_struct('b', {braces}, 'd', {dashes})), t -> "
     outside = "filter(t.d, d -> NOT exists(t.b, b -> d.pos >= b.pos AND d.pos < b.pos + length(b.raw)))"

@@ -72,7 +72,7 @@ def spans_sql(text: str, pattern: str) -> str:
         f"acc -> acc.out)"
     )
     return (f"CASE WHEN {text} IS NULL THEN {empty} "
-            f"WHEN instr({text}, {o}) > 0 OR instr({text}, {c}) > 0 THEN {exact} "
+            f"WHEN contains({text}, {o}) OR contains({text}, {c}) THEN {exact} "
             f"ELSE {marked} END")
 
 
