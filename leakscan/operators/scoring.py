@@ -110,6 +110,5 @@ def final_score(f: Column, model: Column, text_len: Column) -> Column:
 
 def model_score_col(model: Column, text: Column) -> Column:
     """M1 part: blank text has model score 0; otherwise the given score."""
-    from ..functions.regex import ustrip
-    blank = text.isNull() | (F.length(ustrip(text)) == 0)
-    return F.when(blank, F.lit(D("0")).cast(MODEL_TYPE)).otherwise(F.coalesce(model.cast(MODEL_TYPE), F.lit(D("0")).cast(MODEL_TYPE)))
+    from .detect import is_blank
+    return F.when(is_blank(text), F.lit(D("0")).cast(MODEL_TYPE)).otherwise(F.coalesce(model.cast(MODEL_TYPE), F.lit(D("0")).cast(MODEL_TYPE)))
