@@ -22,7 +22,17 @@ STREAM_SCHEMA = MESSAGE_SCHEMA + ", model_score DECIMAL(5,3)"
 
 def _paths(spark, tag):
     base = scratch_path(spark, f"stream-{tag}-{uuid.uuid4().hex}")
-    return {k: f"{base}/{k}" for k in ("input", "alerts", "dead", "checkpoint")}
+    return {k: f"{base}/{k}" for k in ("input", "alerts", "dead", "checkpoint", "sources", "ocr")}
+
+
+def _kept(df, path):
+    """The same rows, made once: a micro-batch reads them and doesn't make them anew from the tables."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _sides(spark, sf, p):
+    return dict(sources=_kept(FX.sources(spark, sf), p["sources"]), ocr=_kept(FX.ocr_for_messages(spark, sf), p["ocr"]))
 
 
 def _land(spark, sf, path, copies=1, corrupt=False):
@@ -36,7 +46,7 @@ def _land(spark, sf, path, copies=1, corrupt=False):
 
 def _run(spark, sf, p, max_files=None):
     stream = SS.read_message_stream(spark, p["input"], max_files_per_trigger=max_files, schema=STREAM_SCHEMA)
-    q = SS.start_scan_stream(stream, sources=FX.sources(spark, sf), ocr=FX.ocr_for_messages(spark, sf),
+    q = SS.start_scan_stream(stream, **_sides(spark, sf, p),
                              alerts_path=p["alerts"], dead_letter_path=p["dead"], checkpoint_path=p["checkpoint"],
                              trigger={"availableNow": True}, created_at=F.lit(FX.BATCH_TS).cast("timestamp"))
     q.awaitTermination()
@@ -89,7 +99,7 @@ def q_stream_replay(spark, sf):
     p = _paths(spark, "replay")
     _land(spark, sf, p["input"])
     batch = spark.read.schema(STREAM_SCHEMA).parquet(p["input"])
-    kw = dict(sources=FX.sources(spark, sf), ocr=FX.ocr_for_messages(spark, sf), alerts_path=p["alerts"],
+    kw = dict(**_sides(spark, sf, p), alerts_path=p["alerts"],
               dead_letter_path=p["dead"], created_at=F.lit(FX.BATCH_TS).cast("timestamp"))
     SS.process_batch(batch, 0, **kw)
     SS.process_batch(batch, 0, **kw)
@@ -105,7 +115,7 @@ def q_stream_quarantine(spark, sf):
     land_messages(m.withColumn("source", F.concat(F.lit("s"), F.pmod("chat_id", F.lit(4)).cast("string"))), p["input"], partition_by="source")
     m.limit(5).select(F.col("text").alias("value")).coalesce(1).write.text(f"{p['input']}/source=s9")
     start_isolated_stream(spark, p["input"], quarantine_path=f"{p['dead']}-files", checkpoint_path=p["checkpoint"], schema=STREAM_SCHEMA, glob="part-*",
-                          trigger={"availableNow": True}, sources=FX.sources(spark, sf), ocr=FX.ocr_for_messages(spark, sf), alerts_path=p["alerts"],
+                          trigger={"availableNow": True}, **_sides(spark, sf, p), alerts_path=p["alerts"],
                           dead_letter_path=p["dead"], created_at=F.lit(FX.BATCH_TS).cast("timestamp")).awaitTermination()
     if spark.read.parquet(f"{p['dead']}-files").where("source = 'source=s9'").isEmpty():
         raise RuntimeError("the broken files are not in the quarantine")
