@@ -27,7 +27,6 @@ FINDING_TYPE = ("array<struct<nrank:int,nconf:decimal(4,2),det:int,pos:int,type:
 # Necessary-condition gates (our own optimisation, exact by construction).
 # A Cyrillic letter (or a letter that case-folds to one) is required by every
 # detector whose pattern cannot match without one.
-_CYR = r"[Ѐ-ӿᲀ-᲏]"
 _NEEDS_CYRILLIC = {
     "passport_series_number_request", "passport_rf", "passport_mention", "fio", "address",
     "pdn_auth_combo", "fio_phone_combo", "fio_address_combo", "passport_fio_combo",
@@ -137,8 +136,11 @@ def fold_sql(text: str) -> str:
             f"{sql_str(FOLD_FROM)}, {sql_str(FOLD_TO)})")
 
 
+# UTF-8 bytes without which no character of a kind occurs; the first four begin two-byte characters. Looking
+# for bytes takes no decoding, and a byte found too much costs time only.
+_CYR_BYTES = ("D0", "D1", "D2", "D3", "E1B2")
 # a text without these is folded by lower() alone
-_FOLDS_APART = f"[{FOLD_PRE[0]}{FOLD_FROM}]"
+_FOLDS_APART_BYTES = ("C4B0", "C4B1", "C5BF", "E1B2")
 
 
 def is_blank(t: Column) -> Column:
@@ -163,6 +165,11 @@ def mask(v: Column) -> Column:
             .otherwise(v))
 
 
+def _has_bytes(text: str, found: tuple) -> str:
+    """SQL: the text holds one of these byte strings (hexadecimal); null: false."""
+    return "coalesce(" + " OR ".join(f"contains(CAST({text} AS BINARY), X'{b}')" for b in found) + ", false)"
+
+
 def _word_col(kind: str, word: str) -> str:
     return f"_{kind}{_WORDS.index((kind, word))}"
 
@@ -174,7 +181,8 @@ def _has_word(kind: str, word: str, text: str) -> str:
     return f"(_cyr AND {found})" if re.search("[а-яё]", word) else found
 
 
-def _sql_gate(d: C.Detector) -> str | None:
+def _cheap_conds(d: C.Detector) -> list:
+    """What is known of a text before its folded form is searched, and the detector needs."""
     conds = []
     if d.name in _NEEDS_CYRILLIC:
         conds.append("_cyr")
@@ -182,11 +190,29 @@ def _sql_gate(d: C.Detector) -> str | None:
         conds.append("_dig")
     if d.name in _NEEDS_SIX_DIGITS:
         conds.append("_dig6")
-    for clause in _GATES.get(d.name, []):
-        conds.append("(" + " OR ".join(_word_col(*word) for word in clause) + ")")
+    return conds + [_clause_sql(clause) for clause in _GATES.get(d.name, []) if _is_raw(clause)]
+
+
+def _is_raw(clause: list) -> bool:
+    return all(kind == "r" for kind, _ in clause)
+
+
+def _clause_sql(clause: list) -> str:
+    return "(" + " OR ".join(_word_col(*word) for word in clause) + ")"
+
+
+def _sql_gate(d: C.Detector) -> str | None:
+    conds = _cheap_conds(d) + [_clause_sql(clause) for clause in _GATES.get(d.name, []) if not _is_raw(clause)]
     return " AND ".join(conds) if conds else None
 
 
+def _asked_for(word: tuple, detectors) -> str | None:
+    """SQL: some detector that looks for this word has all else that it needs; None: always."""
+    needs = [" AND ".join(_cheap_conds(d)) for d in detectors
+             if any(word in clause for clause in _GATES.get(d.name, []) if not _is_raw(clause))]
+    return None if "" in needs else " OR ".join(f"({n})" for n in dict.fromkeys(needs))
+
+
 def _sql_mask(v: str) -> str:
     (ln, lk), (mn, mk) = C.MASK_LONG, C.MASK_MEDIUM
     return (f"CASE WHEN length({v}) > {ln} THEN concat(substring({v}, 1, {lk}), {sql_str(C.ELLIPSIS)}, substring({v}, -{lk}, {lk})) "
@@ -197,16 +223,23 @@ def _sql_mask(v: str) -> str:
 def _with_helpers(df: DataFrame, text_col: str, detectors) -> DataFrame:
     """Helper columns of the detectors, each made once per message. Character by character folding
     (``translate``) is left to the few texts that need it."""
-    t = F.col(text_col)
+    t, tsql = F.col(text_col), f"`{text_col}`"
     dig = F.coalesce(t.rlike(r"(?U)\d"), F.lit(False))
+    clauses = [clause for d in detectors for clause in _GATES.get(d.name, [])]
+    raw = sorted({word for clause in clauses if _is_raw(clause) for word in clause})
     low = df.select("*", F.lower(t).alias("_lt"), F.length(t).alias("_len"),
-                    F.coalesce(t.rlike(_CYR), F.lit(False)).alias("_cyr"),
-                    dig.alias("_dig"), is_blank(t).alias("_blank"))
+                    F.expr(_has_bytes(tsql, _CYR_BYTES)).alias("_cyr"),
+                    dig.alias("_dig"), is_blank(t).alias("_blank"),
+                    *[F.expr(_has_word(*word, tsql)).alias(_word_col(*word)) for word in raw])
     six = F.when(F.col("_dig"), t.rlike(r"(?U)\d{6}")).otherwise(F.lit(False))
-    folded = low.select("*", F.when(t.rlike(_FOLDS_APART), F.expr(fold_sql(f"`{text_col}`"))).otherwise(F.col("_lt")).alias("_fold"),
-                        six.alias("_dig6"))
-    words = sorted({word for d in detectors for clause in _GATES.get(d.name, []) for word in clause})
-    return folded.select("*", *[F.expr(_has_word(*word, f"`{text_col}`")).alias(_word_col(*word)) for word in words])
+    apart = F.expr(_has_bytes(tsql, _FOLDS_APART_BYTES))
+    folded = low.select("*", F.when(apart, F.expr(fold_sql(tsql))).otherwise(F.col("_lt")).alias("_fold"), six.alias("_dig6"))
+    words = []
+    for word in sorted({word for clause in clauses if not _is_raw(clause) for word in clause}):
+        asked = _asked_for(word, detectors)
+        found = _has_word(*word, tsql)
+        words.append(F.expr(f"({asked}) AND {found}" if asked else found).alias(_word_col(*word)))
+    return folded.select("*", *words)
 
 
 def detector_sql(d: C.Detector, text: str = "`text`") -> str:

@@ -17,3 +17,19 @@ def test_fold_covers_java_case_equivalences(spark):
     mapping[FOLD_PRE[0]] = FOLD_PRE[1]
     for chx, c in found:
         assert mapping.get(chx) == c, (hex(ord(chx)), c)
+
+
+def test_gates_are_told_by_bytes(spark):
+    """No regular expression reads whole texts for Cyrillic letters or fold characters, and no text is searched
+    for the words of a detector whose cheap conditions fail."""
+    from leakscan import catalog as C
+    from leakscan.operators.detect import _asked_for, _with_helpers
+    texts = ["plain ascii", "Ӿ", "ᲀ", "İ", "ı login", "ſ", "ᲆ", "é ü 日本", None, ""]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, text string")
+    helpers = _with_helpers(df, "text", C.DETECTORS)
+    plan = helpers._jdf.queryExecution().optimizedPlan().toString()
+    assert f"[{FOLD_PRE[0]}{FOLD_FROM}]" not in plan and "Ѐ" not in plan
+    got = {r.id: r for r in helpers.select("id", "_cyr", "_fold").collect()}
+    assert [got[k]["_cyr"] for k in range(10)] == [False, True, True, False, False, False, True, False, False, False]
+    assert [got[k]["_fold"] for k in range(10)] == ["plain ascii", "ӿ", "в", "i", "i login", "s", "ъ", "é ü 日本", None, ""]
+    assert _asked_for(("f", "mail.ru"), C.DETECTORS) and _asked_for(("f", "pass"), C.DETECTORS) is None
