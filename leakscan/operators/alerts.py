@@ -66,9 +66,11 @@ def analyze_messages(msgs: DataFrame, ocr: DataFrame | None, processed: DataFram
     ``processed``: (chat_id, message_id) keys already alerted.
     """
     # the existence join runs before the scan: if it shuffles, it moves the
-    # raw message rows, not texts plus findings arrays
+    # raw message rows, not texts plus findings arrays. The number of partitions is stated: by the bytes
+    # that it reads, adaptive execution would make one task a core of the scan, and the largest decides.
     if processed is not None:
-        msgs = with_processed_flag(msgs, processed)
+        n = int(msgs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        msgs = with_processed_flag(msgs.repartition(n, "chat_id", "message_id"), processed)
     else:
         msgs = msgs.withColumn("is_processed", F.lit(False))
     scored = score_messages(msgs, ocr)

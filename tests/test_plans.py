@@ -70,3 +70,32 @@ def test_scan_has_no_shuffle_of_its_own(spark):
     d = FX.table(spark, SF_SMALL, "documents").select("doc_id", "text").repartition(16)
     p = physical(scan_and_score(d, model_col=None))
     assert p.count("Exchange") == 1  # only the test's own repartition
+
+
+def test_messages_of_a1_are_scanned_in_a_stated_number_of_partitions(spark):
+    """Left to adaptive execution, the scan after the key join gets a task a core or less."""
+    from leakscan.operators.alerts import analyze_messages
+    from leakscan.plans import fixtures as FX
+    m = FX.msgs(spark, SF_SMALL)
+    p = physical(analyze_messages(m, None, FX.processed_keys(spark, SF_SMALL)).select("chat_id", "alert"))
+    assert "REPARTITION_BY_NUM" in p
+
+
+def test_alerts_of_a_month_are_one_file(spark, tmp_path):
+    """A file for each month and writer grew with both."""
+    from leakscan.plans.fixtures import alert_created_at
+    from leakscan.sources.alert_store import read_alerts, write_alerts
+    from pyspark.sql import functions as F
+    rows = spark.range(6000).select((F.col("id") % 9).alias("chat_id"), F.col("id").alias("message_id"))
+    rows = rows.select("*", alert_created_at().alias("created_at"))
+    rows = rows.select("*", F.lit(0.7).alias("sx_score"), F.lit(0.1).alias("model_score"), F.lit("t").alias("text_preview"),
+                       F.lit("[]").alias("leaks"), F.lit("").alias("ocr_text"), F.lit("{}").alias("sender"), F.col("created_at").alias("date"))
+    path = str(tmp_path / "alerts")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_alerts(rows, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert all(len(list(month.glob("*.parquet"))) == 1 for month in (tmp_path / "alerts").glob("month=*"))
+    back = read_alerts(spark, path)
+    assert back.count() == 6000 and back.select("message_id").distinct().count() == 6000
