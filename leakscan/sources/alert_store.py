@@ -22,10 +22,10 @@ def write_alerts(alerts: DataFrame, path: str, mode: str = "append") -> None:
         F.date_trunc("millisecond", F.col("date")).alias("date"),
         F.date_trunc("millisecond", F.col("created_at")).alias("created_at"))
         .withColumn("month", F.date_format("created_at", "yyyyMM")))
-    # hash on (month, key): a hot month is spread over all writers (by month
-    # alone it would get one). A range partitioning would also spread it but
-    # needs a sampling pass, i.e. a second evaluation of the whole scan.
-    (out.repartition("month", "chat_id", "message_id").sortWithinPartitions("created_at", "chat_id")
+    # one writer a month (a month for each of the writers gave a file, growing with both): adaptive execution
+    # joins small months in one task and spreads a month beyond its advisory size over several. A range
+    # partitioning would need a sampling pass, i.e. a second evaluation of the whole scan.
+    (out.hint("rebalance", "month").sortWithinPartitions("month", "created_at", "chat_id")
         .write.mode(mode).partitionBy("month").parquet(path))
 
 
