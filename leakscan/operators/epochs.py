@@ -42,7 +42,8 @@ def write_batches(rows: DataFrame, key: str, batches: int, seed: int) -> str:
     out = rows.select(F.col("label").cast("double").alias("label"), "features",
                       F.when(F.col("is_validation"), F.lit(VALIDATION)).otherwise(number).alias("batch"))
     path = scratch_path(rows.sparkSession, f"epochs-{uuid.uuid4().hex}")
-    out.write.partitionBy("batch").parquet(path)
+    # files by the size of a batch, not one for each task that made features
+    out.hint("rebalance", "batch").write.partitionBy("batch").parquet(path)
     return path
 
 
@@ -136,6 +137,9 @@ def train_by_epochs(rows: DataFrame, key: str = "id", epochs: int = 4, batches:
     from pyspark.ml import PipelineModel
     spark = rows.sparkSession
     ship_package(spark)
+    # a stated number of partitions: by the bytes of compressed text that it reads, adaptive execution would
+    # leave the two passes over all tokens to a few tasks
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
     prep = features_pipeline(num_features).fit(rows.where(~F.col("is_validation")))
     path = write_batches(prep.transform(rows), key, batches, seed)
     w = np.zeros(num_features + 1)

@@ -106,3 +106,13 @@ def test_accuracy_of_every_round_equals_shorter_models(spark, features):
         assert got[k - 1] == pytest.approx(TR.accuracy(short.transform(val)).first()["accuracy"])
         cut = B.first_trees(long, k)
         assert cut.transform(val).select("prediction").collect() == short.transform(val).select("prediction").collect()
+
+
+def test_features_are_made_in_a_stated_number_of_partitions(spark, rows, monkeypatch):
+    """Adaptive execution would leave the tokens of a small compressed shuffle to a few tasks."""
+    seen = []
+    write = E.write_batches
+    monkeypatch.setattr(E, "write_batches", lambda df, *a: seen.append(df.rdd.getNumPartitions()) or write(df, *a))
+    one, metrics = E.train_by_epochs(rows.coalesce(1), epochs=1, batches=2, num_features=1 << 6)
+    assert seen == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
+    assert len(metrics) == 1 and one.stages
