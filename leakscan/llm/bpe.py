@@ -14,7 +14,8 @@ cuts too, so that repeated words are found in a table instead of being matched a
 Defined results: a null text is an empty one and has no ids; decoding gives back the
 exact UTF-8 bytes; repeated rows are encoded alike. Other columns are kept as they are,
 but for input columns called ``ids`` or ``n_tokens``, which are replaced.
-Work is map-only; memory is bounded by a batch and the word table (``CACHE`` entries).
+Work is map-only; memory is bounded by a batch, of which a slice is worked on at a time, and the
+word table (``CACHE`` entries), which is emptied with its task: the worker waits on beside the next stage.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from .common import ship
 NONE = np.int64(1 << 62)
 LONG = 512
 CELLS = 1 << 19
-CACHE = 250_000
+CACHE = 100_000
 GROUP_CHARS = 1_000_000
 
 
@@ -293,6 +294,11 @@ class TextEncoder:
         flat, n = self.words.gather(numbers)
         return flat, sums(n, np.fromiter(map(len, units), np.int64, len(units)))
 
+    def forget(self):
+        """Empty the tables of words and pieces; the merges stay."""
+        self.words.clear()
+        self.pieces.clear()
+
 
 _ENCODERS: dict = {}
 _MERGES: dict = {}
@@ -317,25 +323,38 @@ def groups(texts: list, chars: int = GROUP_CHARS):
         yield lo, len(texts)
 
 
+def slices(batch, size: int = GROUP_CHARS):
+    """Consecutive slices of a record batch with about ``size`` bytes of ``text``, one row at least."""
+    import pyarrow.compute as pc
+    n = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(n, size + (n[lo - 1] if lo else 0), "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def encode_batches(batches, enc: TextEncoder, rest: list[str]):
+    """Record batches with the columns ``rest``, ``ids`` and ``n_tokens``, a slice at a time."""
+    import pyarrow as pa
+    for b in (part for whole in batches for part in slices(whole)):
+        flat, n = enc.encode(b.column("text").to_pylist())
+        offs = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [*[b.column(c) for c in rest], pa.ListArray.from_arrays(pa.array(offs), pa.array(flat)), pa.array(n)],
+            names=[*rest, "ids", "n_tokens"])
+    enc.forget()
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``docs`` with ``ids`` (array of int) and ``n_tokens`` instead of ``text``."""
-    import pyarrow as pa
     ship(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("text", "ids", "n_tokens")]
     schema = docs.select(*[f"`{c}`" for c in rest]).withColumns({
         "ids": F.array().cast("array<int>"), "n_tokens": F.lit(0).cast("bigint")}).schema
 
     def run(batches):
-        enc = encoder(path, pattern)
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            parts = [enc.encode(texts[lo:hi]) for lo, hi in groups(texts)]
-            flat = np.concatenate([np.zeros(0, np.int32), *[p[0] for p in parts]])
-            n = np.concatenate([np.zeros(0, np.int64), *[p[1] for p in parts]])
-            offs = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [*[b.column(c) for c in rest], pa.ListArray.from_arrays(pa.array(offs), pa.array(flat)), pa.array(n)],
-                names=[*rest, "ids", "n_tokens"])
+        return encode_batches(batches, encoder(path, pattern), rest)
 
     return docs.select(*[f"`{c}`" for c in rest], "text").mapInArrow(run, schema)
 

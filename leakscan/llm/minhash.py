@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import IdTable, groups, sums
+from .bpe import IdTable, slices, sums
 from .common import WORD, put, ship
 from .components import components
 
@@ -172,19 +172,13 @@ def sign(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         shingler = Shingler()
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            flat, per, total = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for lo, hi in groups(texts, 1_000_000):
-                units, n = shingler.units(texts[lo:hi])
-                h = bands(signatures(units, n))[n > 0]
-                flat.append(h.reshape(-1).view(np.int64))
-                per.append(np.where(n > 0, BANDS, 0))
-                total.append(n)
-            offs = np.concatenate([[0], np.cumsum(np.concatenate(per))]).astype(np.int32)
+        for b in (part for whole in batches for part in slices(whole)):
+            units, n = shingler.units(b.column("text").to_pylist())
+            h = bands(signatures(units, n))[n > 0]
+            offs = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("c1"), b.column("c2"), pa.array(np.concatenate(total).astype(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(flat)))], names=["doc_id", "c1", "c2", "n_units", "bands"])
+                [b.column("doc_id"), b.column("c1"), b.column("c2"), pa.array(n.astype(np.int64)),
+                 pa.ListArray.from_arrays(pa.array(offs), pa.array(h.reshape(-1).view(np.int64)))], names=["doc_id", "c1", "c2", "n_units", "bands"])
 
     return d.mapInArrow(run, "doc_id bigint, c1 bigint, c2 bigint, n_units bigint, bands array<bigint>")
 

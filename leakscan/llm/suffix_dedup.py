@@ -43,6 +43,7 @@ LENGTH = 100
 ANCHOR = 50
 COLLECTION = 1 << 19
 HOT = 50_000
+ROWS = 500               # whose texts are cut at a time
 FLAT = 1 << 20
 PLACE_BITS = 21          # of a place within a part; fixed, so that hashes compare alike in every text
 LAST = 2**63 - 1
@@ -308,13 +309,11 @@ def _windows(strings: DataFrame) -> DataFrame:
     return strings.select(F.explode(F.expr(f"transform(sequence(0, octet_length(s) - {LENGTH}), i -> struct(substring(s, i + 1, {LENGTH}) AS s, key AS key, start + i AS start))")).alias("w")).select("w.*")
 
 
-def spans(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``bytes`` and ``spans`` (array of struct<start, stop>: the maximal removed runs of
-    bytes). The texts are scanned where they lie and cross the cluster twice by doc_id and hash: to meet
-    their repeated anchors, and their first places."""
-    import pyarrow as pa
+def _with_places(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """doc_id, the columns named in ``carry``, ``bytes``, and what ``removed`` needs to know of each text:
+    ``f_key``, ``gs``, ``firsts``. The texts are scanned where they lie and cross the cluster twice by
+    doc_id and hash: to meet their repeated anchors, and their first places."""
     ship(docs.sparkSession)
-    carry = carry or []
     d = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("key"), F.coalesce("text", F.lit("")).alias("text"), "doc_id", *[f"`{c}`" for c in carry])
     d = d.withColumns({"c1": F.xxhash64("text"), "c2": F.xxhash64(F.lit(7), "text"), "bytes": F.col("text").cast("binary")}).drop("text")
     # different texts, numbered by the id they come with first; a number is one text's alone, ids need not be
@@ -332,15 +331,27 @@ def spans(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     places = put(places.groupBy(F.col("key").alias("p_key")).agg(F.collect_list(F.struct("lo", "hi")).alias("firsts")), "places")
     full = d.join(firsts.join(per_doc, text, "left").join(places, F.col("no") == F.col("p_key"), "left"), row, "left")
     names = ["doc_id", *carry, "bytes", "f_key", "gs", "firsts"]
-    full = full.select(*[f"`{c}`" for c in names])
+    return full.select(*[f"`{c}`" for c in names])
+
+
+def _cuts(batch):
+    """(bytes, removed runs) of each row of a batch of ``_with_places``."""
+    for text, f_key, gs, firsts in zip(*(batch.column(c).to_pylist() for c in ("bytes", "f_key", "gs", "firsts"))):
+        yield text, [{"start": a, "stop": z} for a, z in removed(text, f_key is None, gs or [], firsts or [])]
+
+
+def spans(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """``docs`` with ``bytes`` and ``spans`` (array of struct<start, stop>: the maximal removed runs of
+    bytes)."""
+    import pyarrow as pa
+    carry = carry or []
+    full = _with_places(docs, carry)
     schema = full.select("doc_id", *[f"`{c}`" for c in carry], "bytes").withColumn("spans", F.lit(None).cast("array<struct<start: bigint, stop: bigint>>")).schema
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches):
         for b in batches:
-            out = []
-            for text, f_key, gs, firsts in zip(*(b.column(c).to_pylist() for c in ("bytes", "f_key", "gs", "firsts"))):
-                out.append([{"start": a, "stop": z} for a, z in removed(text, f_key is None, gs or [], firsts or [])])
+            out = [cuts for _, cuts in _cuts(b)]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", *carry, "bytes")], pa.array(out, kind)], names=["doc_id", *carry, "bytes", "spans"])
 
     return full.mapInArrow(run, schema)
@@ -397,16 +408,17 @@ def rest(text: bytes, cuts: list) -> bytes:
 
 def remove(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without their removed bytes. A character that is removed in part stays;
-    a text that loses nothing stays as it is, null texts too; ``n_chars``, if there, is counted again."""
+    a text that loses nothing stays as it is, null texts too; ``n_chars``, if there, is counted again.
+    Runs are found and cut in one step, so that a task has one Python worker."""
     import pyarrow as pa
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    spanned = spans(docs.withColumn("null__", F.col("text").isNull()), [*others, "null__"])
-    schema = spanned.select("doc_id", *[f"`{c}`" for c in others]).withColumn("text", F.lit(None).cast("string")).schema
+    full = _with_places(docs.withColumn("null__", F.col("text").isNull()), [*others, "null__"])
+    schema = full.select("doc_id", *[f"`{c}`" for c in others]).withColumn("text", F.lit(None).cast("string")).schema
 
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, whole.num_rows, ROWS)):
             texts = []
-            for text, cuts, null in zip(*(b.column(c).to_pylist() for c in ("bytes", "spans", "null__"))):
+            for (text, cuts), null in zip(_cuts(b), b.column("null__").to_pylist()):
                 whole = []
                 for c in cuts:
                     a, z = c["start"], c["stop"]
@@ -418,7 +430,7 @@ def remove(docs: DataFrame) -> DataFrame:
                 texts.append(None if null else rest(text, whole).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[b.column(c) for c in others], pa.array(texts, pa.string())], names=["doc_id", *others, "text"])
 
-    out = spanned.mapInArrow(run, schema)
+    out = full.mapInArrow(run, schema)
     if "n_chars" in others:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(schema["n_chars"].dataType))
     return out.select(*[f"`{c}`" for c in docs.columns])

@@ -48,3 +48,21 @@ def test_keeps_other_columns_and_empty_table(spark):
     out = bpe.encode(edge_docs(spark), PATH, P.PATTERN)
     assert dict(out.dtypes)["ids"] == "array<int>" and "lang" in out.columns and "text" not in out.columns
     assert bpe.encode(empty_docs(spark), PATH, P.PATTERN).count() == 0
+
+
+def test_a_task_holds_a_slice_and_leaves_no_words(library):
+    import pyarrow as pa
+    texts = [" ".join(f"w{k}x{i}" for i in range(400)) for k in range(1000)] + [None, "", "w1x1"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    parts = list(bpe.slices(batch))
+    assert len(parts) > 2 and all(p.num_rows == 1 or sum(len(t or "") for t in p.column("text").to_pylist()) <= bpe.GROUP_CHARS for p in parts)
+    enc = bpe.TextEncoder(PATH, P.PATTERN)
+    got, most = [], 0
+    for out in bpe.encode_batches([batch], enc, ["doc_id"]):
+        most = max(most, len(enc.words))
+        got += zip(out.column("doc_id").to_pylist(), out.column("ids").to_pylist(), out.column("n_tokens").to_pylist())
+    new = max(sum(len((t or "").split(" ")) for t in p.column("text").to_pylist()) for p in parts)
+    assert 0 < most <= bpe.CACHE + new < 400 * 1000
+    assert not enc.words and not enc.pieces
+    want = [library.encode_ordinary(t or "") for t in texts]
+    assert got == [(k, ids, len(ids)) for k, ids in enumerate(want)]

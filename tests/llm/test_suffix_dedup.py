@@ -118,3 +118,9 @@ def test_different_texts_with_one_id_or_none(spark):
     got = [(r.doc_id, r.kept_sha256, r.n_removed) for r in S.digests(S.spans(df)).collect()]
     assert sorted(got, key=repr) == sorted(exp, key=repr)
     assert sum(n for *_, n in exp) > 1000
+
+
+def test_remove_cuts_in_one_python_step(spark):
+    """Chained Python steps would take two workers a core, which stay beside the stages that follow."""
+    plan = S.remove(documents(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
