@@ -9,13 +9,15 @@ are one symbol shorter, so the matrix gets narrower with each round. Pieces beyo
 the same ids (checked on the table for each token; otherwise one at a time).
 
 Texts are cut at single spaces between visible characters, where the piece pattern always
-cuts too, so that repeated words are found in a table instead of being matched again.
+cuts too, so that repeated words are found in a table instead of being matched again. Cuts are
+made over the bytes of a whole slice; its distinct words and those of the table meet in Arrow's
+kernels, so that Python sees new words alone.
 
 Defined results: a null text is an empty one and has no ids; decoding gives back the
 exact UTF-8 bytes; repeated rows are encoded alike. Other columns are kept as they are,
 but for input columns called ``ids`` or ``n_tokens``, which are replaced.
 Work is map-only; memory is bounded by a batch, of which a slice is worked on at a time, and the
-word table (``CACHE`` entries), which is emptied with its task: the worker waits on beside the next stage.
+word table (``CACHE`` entries, ``CACHE_BYTES`` of words), which is emptied with its task: the worker waits on beside the next stage.
 """
 
 from __future__ import annotations
@@ -24,16 +26,25 @@ import base64
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
+from .word_ids import texts_of
 
 NONE = np.int64(1 << 62)
 LONG = 512
 CELLS = 1 << 19
-CACHE = 100_000
+CACHE = 250_000
+CACHE_BYTES = 1 << 24
 GROUP_CHARS = 1_000_000
+DIGEST_IDS = 500_000
+#: White space by first byte, and the characters beyond ASCII as numbers of their two or three bytes.
+_BLANK = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+_WIDE = np.array([int.from_bytes(c.encode(), "big") for c in map(chr, range(128, 0x3001)) if c.isspace()])
+_WIDE_LEADS = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 
 
 class PairTable:
@@ -108,6 +119,8 @@ class MatrixBPE:
         by_id = [b""] * n
         for token, rank in ranks.items():
             by_id[rank] = token
+        self.tokens = pa.array(by_id, pa.binary())
+        self.digits = pa.array([b"%d " % k for k in range(n)], pa.binary())
         self.lens = np.array([len(t) for t in by_id], np.int64)
         self.offs = np.concatenate([[0], np.cumsum(self.lens)[:-1]])
         self.blob = np.frombuffer(b"".join(by_id), np.uint8)
@@ -132,7 +145,7 @@ class MatrixBPE:
         return ids
 
     def _bucket(self, m):
-        """Ids of the rows of a padded matrix, as (row, ids) lists."""
+        """(rows, number of ids of each, their ids one after the other) of a padded matrix, in parts."""
         rows = np.arange(len(m))
         out = []
         ranks = self.table.find(m[:, :-1], m[:, 1:])
@@ -142,8 +155,8 @@ class MatrixBPE:
             done = low == NONE
             if done.any():
                 d = m[done]
-                n = (d >= 0).sum(1)
-                out += [(r, row[:k]) for r, row, k in zip(rows[done].tolist(), d, n.tolist())]
+                real = d >= 0
+                out.append((rows[done], real.sum(1), d[real]))
                 go = ~done
                 rows, m, ranks, at, low = rows[go], m[go], ranks[go], at[go], low[go]
                 if not len(rows):
@@ -160,23 +173,27 @@ class MatrixBPE:
                 if ok.any():
                     ranks[k[ok], c[ok]] = self.table.find(m[k[ok], c[ok]], m[k[ok], c[ok] + 1])
 
-    def encode_pieces(self, pieces: list[bytes]) -> list:
+    def encode_pieces(self, pieces: pa.Array) -> pa.ListArray:
         """Ids of each piece (merges never cross pieces)."""
-        out = [None] * len(pieces)
-        lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        data, ends = _bytes(pieces)
+        lens = np.diff(ends)
         width = np.where(lens <= 2, 2, 1 << np.ceil(np.log2(np.maximum(lens, 2))).astype(np.int64))
+        got = []
         for k in np.flatnonzero(lens > LONG).tolist():
-            out[k] = self._long(self.byte_ids[np.frombuffer(pieces[k], np.uint8)])
+            ids = self._long(self.byte_ids[data[ends[k]:ends[k + 1]]])
+            got.append((np.array([k]), np.array([len(ids)]), ids))
         for w in np.unique(width[lens <= LONG]).tolist():
             which = np.flatnonzero((width == w) & (lens <= LONG))
             for lo in range(0, len(which), max(1, CELLS // w)):
                 part = which[lo:lo + max(1, CELLS // w)]
                 n = lens[part]
                 m = np.full((len(part), w), -1, np.int64)
-                m[np.arange(w) < n[:, None]] = self.byte_ids[np.frombuffer(b"".join([pieces[k] for k in part.tolist()]), np.uint8)]
-                for r, ids in self._bucket(m):
-                    out[part[r]] = ids
-        return out
+                m[np.arange(w) < n[:, None]] = self.byte_ids[_bytes(pieces.take(pa.array(part)))[0]]
+                got += [(part[rows], *ids) for rows, *ids in self._bucket(m)]
+        if not got:
+            return _lists(np.zeros(0, np.int64), np.zeros(0, np.int32))
+        which, n, flat = (np.concatenate(x) for x in zip(*got))
+        return _lists(n, flat).take(pa.array(np.argsort(which)))
 
     def decode(self, ids) -> bytes:
         """The bytes of an id array."""
@@ -238,66 +255,117 @@ def sums(values, counts):
     return total[ends] - total[ends - counts]
 
 
+def _bytes(col: pa.Array):
+    """(bytes, offsets into them) of a text or binary column without nulls."""
+    if not len(col):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset:col.offset + len(col) + 1].astype(np.int64)
+    data = np.frombuffer(col.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
+    return data, ends - ends[0]
+
+
+def _lists(counts, flat) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(np.asarray(flat, np.int32)))
+
+
+def _blank(data):
+    """Whether each byte belongs to a white space character."""
+    out = _BLANK[data]
+    at = np.flatnonzero(_WIDE_LEADS[data])
+    if len(at):
+        first, second, third = (np.append(data, np.zeros(2, np.uint8))[at + k].astype(np.int64) for k in range(3))
+        two = first << 8 | second
+        short, long = at[np.isin(two, _WIDE)], at[np.isin(two << 8 | third, _WIDE)]
+        for k, which in enumerate((np.append(short, long), np.append(short, long), long)):
+            out[which + k] = True
+    return out
+
+
+def _units(col: pa.Array):
+    """(units, their number per text): the texts cut at single spaces between visible characters,
+    which stay in front of what follows."""
+    data, ends = _bytes(col)
+    blank = _blank(data)
+    cut = data == 32
+    cut[1:] &= ~blank[:-1]
+    cut[:-1] &= ~blank[1:]
+    cut[ends[:-1][ends[1:] > ends[:-1]]] = True
+    starts = np.flatnonzero(cut)
+    units = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data))
+    return units, np.diff(np.searchsorted(starts, ends))
+
+
+class IdLists:
+    """The ids of distinct texts, as Arrow columns."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self):
+        self.keys, self.ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
+
+    def __len__(self):
+        return len(self.keys)
+
+    def full(self):
+        return len(self) > CACHE or self.keys.nbytes > CACHE_BYTES
+
+    def find(self, col: pa.Array, learn) -> pa.ListArray:
+        """The ids of each row; ``learn`` gives those of distinct rows that are new."""
+        coded = col.dictionary_encode()
+        at = pc.index_in(coded.dictionary, value_set=self.keys)
+        if at.null_count:
+            new = coded.dictionary.filter(pc.is_null(at))
+            at = at.to_numpy(zero_copy_only=False)
+            at = np.where(np.isnan(at), len(self) - 1 + np.cumsum(np.isnan(at)), at).astype(np.int64)
+            ids = learn(new)
+            self.keys, self.ids = pa.concat_arrays([self.keys, new]), pa.concat_arrays([self.ids, ids])
+        else:
+            at = at.to_numpy(zero_copy_only=False)
+        return self.ids.take(pa.array(at[coded.indices.to_numpy(zero_copy_only=False)]))
+
+
 class TextEncoder:
     """Whole texts to ids: pieces by pattern, distinct pieces through the matrices."""
 
     def __init__(self, path: str, pattern: str):
-        import re
-
         import regex
         self.bpe = MatrixBPE(load_ranks(path))
         # White space as the rank files' own library understands it
         self.piece = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
-        # a space beside other white space: no cut there
-        self.uneven = re.compile(r" \s|\s ")
-        self.words, self.pieces = IdTable(), IdTable()
-
-    def _units(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if text[0] == " " or text[-1] == " " or self.uneven.search(text):
-            return self.piece.findall(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def _learn(self):
+        self.words, self.pieces = IdLists(), IdLists()
+
+    def _learn(self, new: pa.Array) -> pa.ListArray:
         """Ids of new words, by their pieces."""
-        new = self.words.new
         # words with one space in front cut each other off when joined; the others go one by one
-        joined = np.array([w[0] == " " and len(w) > 1 and not w[1].isspace() and not w[-1].isspace() for w in new], bool)
-        cut = self.piece.findall("".join([w for w, j in zip(new, joined.tolist()) if j]))
-        ends = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
-        counts = np.zeros(len(new), np.int64)
-        counts[joined] = np.diff(np.searchsorted(ends, np.cumsum([len(w) for w, j in zip(new, joined.tolist()) if j]), "right"), prepend=0)
-        numbers = np.zeros(0, np.int64)
+        data, ends = _bytes(new)
+        blank, first, size = _blank(data), ends[:-1], np.diff(ends)
+        joined = (size > 1) & (data[first] == 32) & ~blank[np.minimum(first + 1, len(data) - 1)] & ~blank[ends[1:] - 1]
+        together = new.filter(pa.array(joined))
+        data, ends = _bytes(together)
+        cut = pa.array(self.piece.findall(data.tobytes().decode("utf-8")), pa.string())
         alone = np.flatnonzero(~joined)
-        own = [self.piece.findall(new[k]) for k in alone.tolist()]
-        counts[alone] = list(map(len, own))
-        numbers = np.zeros(counts.sum(), np.int64)
-        mine = np.repeat(joined, counts)
-        numbers[mine] = self.pieces.numbers(cut)
-        numbers[~mine] = self.pieces.numbers([p for ps in own for p in ps])
-        got = self.bpe.encode_pieces([p.encode("utf-8") for p in self.pieces.new])
-        self.pieces.add(np.fromiter(map(len, got), np.int64, len(got)), np.concatenate([np.zeros(0, np.int64), *got]))
-        flat, n = self.pieces.gather(numbers)
-        self.words.add(sums(n, counts), flat)
-
-    def encode(self, texts: list):
+        own = [self.piece.findall(w) for w in new.take(pa.array(alone)).to_pylist()]
+        counts = np.append(np.diff(np.searchsorted(_bytes(cut)[1], ends)), np.array([len(ps) for ps in own], np.int64))
+        ids = self.pieces.find(pa.concat_arrays([cut, pa.array([p for ps in own for p in ps], pa.string())]), self.bpe.encode_pieces)
+        n = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        return _lists(sums(n, counts), ids.flatten()).take(pa.array(np.argsort(np.append(np.flatnonzero(joined), alone))))
+
+    def encode(self, texts):
         """All ids of the texts, one after the other, and the count of each text."""
         for t in (self.words, self.pieces):
-            if len(t) > CACHE:
+            if t.full():
                 t.clear()
-        units = [self._units(t or "") for t in texts]
-        numbers = self.words.numbers([u for us in units for u in us])
-        if self.words.new:
-            self._learn()
-        flat, n = self.words.gather(numbers)
-        return flat, sums(n, np.fromiter(map(len, units), np.int64, len(units)))
+        units, counts = _units(texts_of(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())))
+        ids = self.words.find(units, self._learn)
+        n = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        return ids.flatten().to_numpy(zero_copy_only=False), sums(n, counts)
 
     def forget(self):
         """Empty the tables of words and pieces; the merges stay."""
         self.words.clear()
         self.pieces.clear()
+        pa.default_memory_pool().release_unused()
 
 
 _ENCODERS: dict = {}
@@ -325,20 +393,14 @@ def groups(texts: list, chars: int = GROUP_CHARS):
 
 def slices(batch, size: int = GROUP_CHARS):
     """Consecutive slices of a record batch with about ``size`` bytes of ``text``, one row at least."""
-    import pyarrow.compute as pc
-    n = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    lo = 0
-    while lo < len(n):
-        hi = max(lo + 1, int(np.searchsorted(n, size + (n[lo - 1] if lo else 0), "right")))
+    for lo, hi in _ranges(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), size):
         yield batch.slice(lo, hi - lo)
-        lo = hi
 
 
 def encode_batches(batches, enc: TextEncoder, rest: list[str]):
     """Record batches with the columns ``rest``, ``ids`` and ``n_tokens``, a slice at a time."""
-    import pyarrow as pa
     for b in (part for whole in batches for part in slices(whole)):
-        flat, n = enc.encode(b.column("text").to_pylist())
+        flat, n = enc.encode(b.column("text"))
         offs = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [*[b.column(c) for c in rest], pa.ListArray.from_arrays(pa.array(offs), pa.array(flat)), pa.array(n)],
@@ -361,7 +423,6 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def digests(encoded: DataFrame, path: str) -> DataFrame:
     """Decodes the ids: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    import pyarrow as pa
     ship(encoded.sparkSession)
 
     def run(batches):
@@ -369,12 +430,14 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
         for b in batches:
             if bpe is None:
                 bpe = encoder_of(path)
-            col = b.column("ids")
+            n = pc.fill_null(b.column("ids").value_lengths(), 0).to_numpy(zero_copy_only=False)
             a, c = [], []
-            for k in range(b.num_rows):
-                ids = col[k].values.to_numpy(zero_copy_only=False) if col[k].is_valid else np.zeros(0, np.int32)
-                a.append(hashlib.sha256(" ".join(map(str, ids.tolist())).encode()).hexdigest())
-                c.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+            for lo, hi in _ranges(n, DIGEST_IDS):
+                ids, ends = b.column("ids")[lo:hi].flatten(), np.append(0, np.cumsum(n[lo:hi].astype(np.int64)))
+                for out, parts, cut in ((a, bpe.digits, 1), (c, bpe.tokens, 0)):
+                    data, offs = _bytes(parts.take(ids))
+                    at = offs[ends].tolist()
+                    out += [hashlib.sha256(data[x:max(x, y - cut)]).hexdigest() for x, y in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), pa.array(a, pa.string()), pa.array(c, pa.string())],
                                              names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -382,6 +445,16 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
         run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
+def _ranges(sizes, limit: int):
+    """Consecutive row ranges with sums of about ``limit``, one row at least."""
+    total = np.cumsum(sizes, dtype=np.int64)
+    lo = 0
+    while lo < len(total):
+        hi = max(lo + 1, int(np.searchsorted(total, limit + (total[lo - 1] if lo else 0), "right")))
+        yield lo, hi
+        lo = hi
+
+
 def encoder_of(path: str) -> MatrixBPE:
     """The merges of an encoder that this worker already has, or new ones."""
     for (p, _), e in _ENCODERS.items():

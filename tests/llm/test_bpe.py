@@ -66,3 +66,25 @@ def test_a_task_holds_a_slice_and_leaves_no_words(library):
     assert not enc.words and not enc.pieces
     want = [library.encode_ordinary(t or "") for t in texts]
     assert got == [(k, ids, len(ids)) for k, ids in enumerate(want)]
+
+
+def test_words_are_learned_once_in_a_task(monkeypatch):
+    """A task's distinct words may fill several slices; what was learned stays for the next ones."""
+    import pyarrow as pa
+    learned = []
+    own = bpe.MatrixBPE.encode_pieces
+    monkeypatch.setattr(bpe.MatrixBPE, "encode_pieces", lambda self, pieces: (learned.append(len(pieces)), own(self, pieces))[1])
+    texts = [" ".join(f"w{k}" for k in range(lo, lo + 1000)) for lo in range(0, 150_000, 1000)] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    assert len(list(bpe.slices(batch))) > 3
+    out = list(bpe.encode_batches([batch], bpe.TextEncoder(PATH, P.PATTERN), ["doc_id"]))
+    assert sum(b.num_rows for b in out) == len(texts) and 150_000 <= sum(learned) < 160_000
+
+
+def test_cuts_beside_wide_white_space(library):
+    rnd = random.Random(8)
+    some = " \n\t\x1c\x85      　​ ab'sté9%😀中"
+    texts = ["", " ", "　 a", "a 　", None] + ["".join(rnd.choice(some) for _ in range(rnd.randint(0, 30))) for _ in range(3000)]
+    flat, n = bpe.TextEncoder(PATH, P.PATTERN).encode(texts)
+    want = [library.encode_ordinary(t or "") for t in texts]
+    assert n.tolist() == list(map(len, want)) and flat.tolist() == [i for ids in want for i in ids]
