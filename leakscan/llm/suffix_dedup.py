@@ -47,6 +47,9 @@ ROWS = 500               # whose texts are cut at a time
 FLAT = 1 << 20
 PLACE_BITS = 21          # of a place within a part; fixed, so that hashes compare alike in every text
 LAST = 2**63 - 1
+#: Multipliers of a string's 8-byte words.
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
+                 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 
 def anchors(data: np.ndarray):
@@ -58,26 +61,23 @@ def anchors(data: np.ndarray):
         return z, z, z
     # 8-byte words by unaligned loads, folded into hashes of ANCHOR bytes
     m = len(data) - ANCHOR + 1
-    words = np.zeros(len(data) - 7, np.uint64)
-    for k in range(8):
-        words |= data[k:len(data) - 7 + k].astype(np.uint64) << np.uint64(8 * k)
-    words *= np.uint64(0x9E3779B97F4A7C15)
+    words = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
     words ^= words >> np.uint64(29)
-    h = np.zeros(m, np.uint64)
-    for at in (0, 8, 16, 24, 32, 40, ANCHOR - 8):
-        h = (h + words[at:at + m]) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(31)
-    # smallest of each 51 by running minima within blocks; the place breaks ties leftmost
+    h, part = np.zeros(m, np.uint64), np.empty(m, np.uint64)
+    for at, odd in zip((0, 8, 16, 24, 32, 40, ANCHOR - 8), _ODD):
+        h += np.multiply(words[at:at + m], odd, out=part)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(31)
+    # smallest of each 51 by minima of 2, 4, ... 32 neighbours; the place breaks ties leftmost
     w = LENGTH - ANCHOR + 1
     bits = np.uint64(PLACE_BITS)
     key = (h >> bits << bits) | np.arange(m, dtype=np.uint64)
-    size = -(-m // w) * w
-    padded = np.full(size, np.uint64(2**64 - 1))
-    padded[:m] = key
-    rows = padded.reshape(-1, w)
-    ahead = np.minimum.accumulate(rows, 1).reshape(-1)
-    back = np.minimum.accumulate(rows[:, ::-1], 1)[:, ::-1].reshape(-1)
-    at = (np.minimum(back[:n], ahead[w - 1:w - 1 + n]) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    wide = 1
+    while 2 * wide <= w:
+        key = np.minimum(key[:-wide], key[wide:])
+        wide *= 2
+    at = (np.minimum(key[:n], key[w - wide:w - wide + n]) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     new = np.ones(n, bool)
     new[1:] = at[1:] != at[:-1]
     starts = np.flatnonzero(new)
@@ -238,25 +238,55 @@ def _repeated(seen: DataFrame) -> DataFrame:
     return seen.repartition("g").sortWithinPartitions("g", "c1", "c2", "key").mapInArrow(run, "g bigint, key bigint, c1 bigint, c2 bigint")
 
 
-def _strings(hits: DataFrame) -> DataFrame:
-    """(g, s, key, start): the runs of repeated anchors, once per text and string; ``key`` is the
-    number of the text from here on."""
+def _lists(col):
+    """(ends, values) of a list column from 0 on; null lists are empty."""
+    import pyarrow.compute as pc
+    return [0, *np.cumsum(pc.fill_null(col.value_lengths(), 0).to_numpy(zero_copy_only=False), dtype=np.int64).tolist()], col.flatten()
+
+
+def _among(values: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Which of the values are in ``few``."""
+    if not len(few):
+        return np.zeros(len(values), bool)
+    few = np.sort(few)
+    return few[np.minimum(np.searchsorted(few, values), len(few) - 1)] == values
+
+
+def string_batches(batches):
+    """The strings of many texts in a batch, about ``FLAT`` bytes of text in each."""
     import pyarrow as pa
 
-    def run(batches):
-        for b in batches:
-            for key, text, gs in zip(b.column("key").to_pylist(), b.column("bytes").to_pylist(), b.column("gs")):
-                s, n, g = runs(text)
-                ok = np.isin(g, gs.values.to_numpy(zero_copy_only=False))
-                seen: dict = {}
-                for at, k, a in zip(s[ok].tolist(), n[ok].tolist(), g[ok].tolist()):
-                    seen.setdefault((a, text[at:at + k + LENGTH - 1]), at)
-                if seen:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([k[0] for k in seen], pa.int64()), pa.array([k[1] for k in seen], pa.binary()),
-                         pa.array([key] * len(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["g", "s", "key", "start"])
+    def batch(key, size, g, s, start):
+        return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(s, pa.binary()), pa.array(np.repeat(key.to_numpy(zero_copy_only=False), size), pa.int64()),
+                                           pa.array(start, pa.int64())], names=["g", "s", "key", "start"])
+
+    for b in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, whole.num_rows, ROWS)):
+        found: list = [], [], []
+        size = []
+        ends, values = _lists(b.column("gs"))
+        gs, held = values.to_numpy(zero_copy_only=False), 0
+        for text, lo, hi in zip(b.column("bytes").to_pylist(), ends[:-1], ends[1:]):
+            s, n, g = runs(text)
+            ok = _among(g, gs[lo:hi])
+            seen: dict = {}
+            for at, k, a in zip(s[ok].tolist(), n[ok].tolist(), g[ok].tolist()):
+                seen.setdefault((a, text[at:at + k + LENGTH - 1]), at)
+            size.append(len(seen))
+            for o, x in zip(found, ([k[0] for k in seen], [k[1] for k in seen], seen.values())):
+                o += x
+            held += len(text)
+            if held >= FLAT:
+                yield batch(b.column("key")[:len(size)], size, *found)
+                b, held = b.slice(len(size)), 0
+                for o in (*found, size):
+                    o.clear()
+        yield batch(b.column("key"), size, *found)
+
 
-    return hits.select("key", "bytes", "gs").mapInArrow(run, "g bigint, s binary, key bigint, start bigint")
+def _strings(hits: DataFrame) -> DataFrame:
+    """(g, s, key, start): the runs of repeated anchors, once per text and string; ``key`` is the
+    number of the text from here on."""
+    return hits.select("key", "bytes", "gs").mapInArrow(string_batches, "g bigint, s binary, key bigint, start bigint")
 
 
 def _firsts(strings: DataFrame) -> DataFrame:
@@ -336,8 +366,13 @@ def _with_places(docs: DataFrame, carry: list[str]) -> DataFrame:
 
 def _cuts(batch):
     """(bytes, removed runs) of each row of a batch of ``_with_places``."""
-    for text, f_key, gs, firsts in zip(*(batch.column(c).to_pylist() for c in ("bytes", "f_key", "gs", "firsts"))):
-        yield text, [{"start": a, "stop": z} for a, z in removed(text, f_key is None, gs or [], firsts or [])]
+    g_ends, gs = _lists(batch.column("gs"))
+    f_ends, firsts = _lists(batch.column("firsts"))
+    gs, lo, hi = (x.to_numpy(zero_copy_only=False) for x in (gs, *firsts.flatten()))
+    copy = batch.column("f_key").is_null().to_pylist()
+    for k, text in enumerate(batch.column("bytes").to_pylist()):
+        f = slice(f_ends[k], f_ends[k + 1])
+        yield text, removed(text, copy[k], gs[g_ends[k]:g_ends[k + 1]], lo[f], hi[f])
 
 
 def spans(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
@@ -347,32 +382,33 @@ def spans(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     carry = carry or []
     full = _with_places(docs, carry)
     schema = full.select("doc_id", *[f"`{c}`" for c in carry], "bytes").withColumn("spans", F.lit(None).cast("array<struct<start: bigint, stop: bigint>>")).schema
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches):
         for b in batches:
             out = [cuts for _, cuts in _cuts(b)]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", *carry, "bytes")], pa.array(out, kind)], names=["doc_id", *carry, "bytes", "spans"])
+            ends = np.append(0, np.cumsum([len(c) for c in out])).astype(np.int32)
+            flat = np.array([x for c in out for x in c], np.int64).reshape(-1, 2)
+            found = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["start", "stop"]))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", *carry, "bytes")], found], names=["doc_id", *carry, "bytes", "spans"])
 
     return full.mapInArrow(run, schema)
 
 
-def removed(text: bytes, copy: bool, gs: list, firsts: list) -> list[tuple[int, int]]:
+def removed(text: bytes, copy: bool, gs: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs of removed bytes: ``copy`` for a later copy of a whole text, ``gs`` the
-    repeated anchors, ``firsts`` the windows that stay."""
+    repeated anchors, ``lo`` to ``hi`` the windows that stay."""
     n = len(text) - LENGTH + 1
-    if n <= 0 or not (copy or gs):
+    if n <= 0 or not (copy or len(gs)):
         return []
     if copy:
         return [(0, len(text))]
     s, k, g = runs(text)
-    ok = np.isin(g, np.array(gs, np.int64))
+    ok = _among(g, gs)
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, s[ok], 1)
     np.add.at(edge, s[ok] + k[ok], -1)
-    for f in firsts:
-        edge[f["lo"]] -= 1
-        edge[f["hi"] + 1] += 1
+    np.add.at(edge, lo, -1)
+    np.add.at(edge, hi + 1, 1)
     covers = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
     if not len(covers):
         return []
@@ -388,8 +424,11 @@ def digests(spanned: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            for text, cuts in zip(b.column("bytes").to_pylist(), b.column("spans").to_pylist()):
-                gone = sum(c["stop"] - c["start"] for c in cuts)
+            ends, cut = _lists(b.column("spans"))
+            cut = list(zip(*(x.to_pylist() for x in cut.flatten())))
+            for text, lo, hi in zip(b.column("bytes").to_pylist(), ends[:-1], ends[1:]):
+                cuts = cut[lo:hi]
+                gone = sum(z - a for a, z in cuts)
                 rows.append((len(text), gone, len(cuts), hashlib.sha256(rest(text, cuts)).hexdigest()))
             cols = list(zip(*rows)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()))]],
@@ -399,10 +438,11 @@ def digests(spanned: DataFrame) -> DataFrame:
 
 
 def rest(text: bytes, cuts: list) -> bytes:
+    """The text without the runs (from, to)."""
     out, at = [], 0
-    for c in cuts:
-        out.append(text[at:c["start"]])
-        at = c["stop"]
+    for a, z in cuts:
+        out.append(text[at:a])
+        at = z
     return b"".join([*out, text[at:]])
 
 
@@ -420,13 +460,12 @@ def remove(docs: DataFrame) -> DataFrame:
             texts = []
             for (text, cuts), null in zip(_cuts(b), b.column("null__").to_pylist()):
                 whole = []
-                for c in cuts:
-                    a, z = c["start"], c["stop"]
+                for a, z in cuts:
                     while a < z and text[a] & 0xC0 == 0x80:
                         a += 1
                     while z > a and z < len(text) and text[z] & 0xC0 == 0x80:
                         z -= 1
-                    whole.append({"start": a, "stop": z})
+                    whole.append((a, z))
                 texts.append(None if null else rest(text, whole).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[b.column(c) for c in others], pa.array(texts, pa.string())], names=["doc_id", *others, "text"])
 

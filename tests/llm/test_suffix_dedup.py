@@ -124,3 +124,24 @@ def test_remove_cuts_in_one_python_step(spark):
     """Chained Python steps would take two workers a core, which stay beside the stages that follow."""
     plan = S.remove(documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_strings_of_many_texts_travel_together(monkeypatch):
+    """A batch of its own for each text cost more than its strings."""
+    import pyarrow as pa
+    rnd = random.Random(4)
+    texts = [bytes(rnd.choice(b"abcd ") for _ in range(rnd.randint(0, 900))) for _ in range(300)]
+    gs = [sorted(set(S.runs(t)[2].tolist()))[::2] or None for t in texts]
+    want = []
+    for k, t in enumerate(texts):
+        first = {}
+        for at, n, g in zip(*(x.tolist() for x in S.runs(t))):
+            if g in (gs[k] or []):
+                first.setdefault((g, t[at:at + n + 99]), at)
+        want += [(g, s, k, at) for (g, s), at in first.items()]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(texts, pa.binary()), pa.array(gs, pa.list_(pa.int64()))], names=["key", "bytes", "gs"])
+    for size in (S.FLAT, 2000):
+        monkeypatch.setattr(S, "FLAT", size)
+        got = list(S.string_batches([batch]))
+        assert len(got) < 100 and (size > 2000 or len(got) > 10)
+        assert [tuple(r[c] for c in ("g", "s", "key", "start")) for b in got for r in b.to_pylist()] == want
