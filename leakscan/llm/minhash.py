@@ -29,21 +29,19 @@ empty tables give empty results. The bands find a pair at similarity 0.8 with pr
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import IdTable, slices, sums
-from .common import WORD, put, ship
+from .bpe import slices, sums
+from .common import put, ship
 from .components import components
+from .word_ids import words
 
 WORDS = 5
 K, ROWS = 320, 8
 BANDS = K // ROWS
 ROUND_UNITS, BLOCK_UNITS = 50_000, 1_000_000
-CACHE = 250_000
 RANK_BITS = 36
 
 
@@ -59,26 +57,16 @@ _CDF = (np.cumsum([1 / np.e / np.prod(np.arange(1, i + 1), dtype=float) for i in
 
 
 class Shingler:
-    """Texts -> sorted unit ids: one id for each shingle and each of its repetitions."""
-
-    def __init__(self):
-        self.find = re.compile(WORD).findall
-        self.words, self.hashes = IdTable(), np.zeros(0, np.uint64)
+    """Texts -> sorted unit ids: one id for each shingle and each of its repetitions. Words are split
+    and told apart by Arrow's kernels; a distinct word of a slice is hashed once."""
 
-    def units(self, texts: list):
+    def units(self, texts):
         """All units, sorted within each text, and their number per text."""
+        import pyarrow as pa
         import xxhash
-        if len(self.words) > CACHE:
-            self.words.clear()
-            self.hashes = self.hashes[:0]
-        found = [self.find(t or "") for t in texts]
-        numbers = self.words.numbers([w for ws in found for w in ws])
-        if self.words.new:
-            new = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8")) for w in self.words.new), np.uint64, len(self.words.new))
-            self.hashes = np.concatenate([self.hashes, new])
-            self.words.new = []
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        h = np.concatenate([self.hashes[numbers], np.zeros(WORDS, np.uint64)])
+        numbers, distinct, n = words(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in distinct.cast(pa.binary()).to_pylist()), np.uint64, len(distinct))
+        h = np.concatenate([hashes[numbers], np.zeros(WORDS, np.uint64)])
         starts = np.cumsum(n) - n
         shingle = np.zeros(len(numbers), np.uint64)
         for k in range(WORDS):
@@ -105,6 +93,7 @@ def signatures(units, counts, k: int = K):
     """Earliest rank per coordinate: (documents, k) array; documents without units get zeros."""
     out = np.full((len(counts), k), np.uint64(2**64 - 1))
     out[counts == 0] = 0
+    flat = out.reshape(-1)
     todo = np.flatnonzero(counts)
     ends = np.cumsum(counts)
     lo = np.zeros(len(counts), np.int64)
@@ -125,14 +114,7 @@ def signatures(units, counts, k: int = K):
             h = mix(np.repeat(seed, n) + (dart.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
             coord = ((h >> np.uint64(40)) * np.uint64(k)) >> np.uint64(24)
             rank = (np.repeat(strip, n) << np.uint64(RANK_BITS)) | (h & np.uint64((1 << RANK_BITS) - 1))
-            key = np.repeat(doc, n).astype(np.int64) * k + coord.astype(np.int64)
-            order = np.lexsort((rank, key))
-            key, rank = key[order], rank[order]
-            first = np.ones(len(key), bool)
-            first[1:] = key[1:] != key[:-1]
-            key, rank = key[first], rank[first]
-            rows = part[key // k]
-            out[rows, key % k] = np.minimum(out[rows, key % k], rank)
+            np.minimum.at(flat, np.repeat(part[doc] * k, n) + coord.astype(np.int64), rank)
         lo[todo] += step[todo]
         todo = todo[(out[todo] == np.uint64(2**64 - 1)).any(1)]
     return out
@@ -173,7 +155,7 @@ def sign(docs: DataFrame) -> DataFrame:
     def run(batches):
         shingler = Shingler()
         for b in (part for whole in batches for part in slices(whole)):
-            units, n = shingler.units(b.column("text").to_pylist())
+            units, n = shingler.units(b.column("text"))
             h = bands(signatures(units, n))[n > 0]
             offs = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(

@@ -123,3 +123,24 @@ def test_pivots_find_chains():
     for i, j in M.links(sets, list(range(15))):
         u.join(i, j)
     assert len({u.find(k) for k in range(15)}) == 1
+
+
+def test_a_column_is_signed_without_sorting_darts(monkeypatch):
+    """Words are told apart by Arrow's kernels, ranks reach their coordinates unsorted."""
+    import re
+
+    import pyarrow as pa
+    rnd = random.Random(6)
+    texts = [None, "", "a", "a b\x0bc", "\x85 d\x1ce"] + [" ".join(rnd.choice(["ab", "é", "ü　x", "the", "\n", "q\x1d"]) for _ in range(rnd.randint(0, 80))) for _ in range(60)]
+    column = pa.array(["dropped", *texts], pa.string())[1:]
+    units, n = M.Shingler().units(column)
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    assert n.tolist() == [max(len(w) - 4, 1) if w else 0 for w in words]
+    alone = [M.signatures(*M.Shingler().units([t]))[0] for t in texts]
+
+    def sorting(*_, **__):
+        raise AssertionError("darts are sorted")
+
+    monkeypatch.setattr(M.np, "lexsort", sorting)
+    got = M.signatures(units, n)
+    assert (got == np.array(alone)).all() and (got < 2**64 - 1).all()
